@@ -19,6 +19,20 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import placements
+
+    return placements(read(spark, sf_dir, "documents")).drop("__row")
+
+
+@query
+def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip

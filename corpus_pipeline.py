@@ -9,20 +9,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrasieve.llm import bpe, simhash
+from terrasieve.llm import bpe, mixing, secrets, simhash, toxicity
 from terrasieve.llm.common import materialise, read
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the least id stays."""
     return simhash.keep_one(docs)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources are repeated up to the limit."""
+    return mixing.mix(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each row's ids and of the bytes they decode to."""
     return bpe.round_trip(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", one_of_each_group),
+    ("secret_scan", redact_secrets),
+    ("source_mixing", mix_sources),
     ("bpe_round_trip", encode),
 ]
 

@@ -47,6 +47,15 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, fold, score
+
+    docs = read(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -26,6 +26,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placements(read(spark, sf_dir, "documents")).drop("__row")
 
 
+@query
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import compare
+
+    return compare(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import report

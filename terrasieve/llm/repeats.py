@@ -25,24 +25,21 @@ is a chunk.
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, texts
+from .chunks import chunk_table, rows
+from .common import materialise, texts
 
 LENGTH = 200
 #: A perfect difference set, fixed values: each difference mod PERIOD but 0 occurs once.
 PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 CHUNK_BYTES = 2_000_000
-BUCKET_BYTES = 48_000_000
 #: Hashes that meet in one range of the order.
 RANGE_HASHES = 1_000_000
 
@@ -153,40 +150,6 @@ def _second(chunk: Chunk, ranges: int, masks: dict[int, bytes], first_ranges: in
     return at, Sent(window_hashes(chunk.data, at, LENGTH), (other >> np.uint64(40)).astype(np.int64) % ranges)
 
 
-CHUNKS = "chunk long, ids array<long>, sizes array<int>, digests array<binary>, blob binary"
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, count = TaskContext.get().partitionId(), 0
-    ids, parts, size = [], [], 0
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + count]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), pa.array([[hashlib.sha256(p).digest() for p in parts]], pa.list_(pa.binary())), pa.array([b"".join(parts)], pa.binary())],
-            names=["chunk", "ids", "sizes", "digests", "blob"],
-        )
-
-    for b in batches:
-        for i, t in zip(b.column(0), b.column(1), strict=True):
-            raw = t.as_buffer().to_pybytes()
-            if parts and size + len(raw) > CHUNK_BYTES:
-                yield out()
-                ids, parts, size, count = [], [], 0, count + 1
-            ids.append(i.as_py()), parts.append(raw)
-            size += len(raw)
-    if parts:
-        yield out()
-
-
-def _chunks(docs: DataFrame, total: int) -> DataFrame:
-    spark = docs.sparkSession
-    name = f"terrasieve_chunks_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    packed = docs.mapInArrow(_pack, CHUNKS)
-    packed.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", scratch_path(spark, "chunks")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def _copies(chunks: DataFrame) -> DataFrame:
     """``chunk, copies``: of each chunk the documents that have copies, and whether one takes
     part for its group."""
@@ -196,10 +159,10 @@ def _copies(chunks: DataFrame) -> DataFrame:
     return marked.groupBy("chunk").agg(F.collect_list(F.struct("k", "stays")).alias("copies"))
 
 
-def _twice(rows: pd.DataFrame) -> pd.DataFrame:
+def _twice(sent: pd.DataFrame) -> pd.DataFrame:
     """Which hashes of one range come from more than one chunk: a bit for each hash sent."""
-    sizes = [len(p) // 8 for p in rows["hashes"]]
-    every = np.frombuffer(b"".join(rows["hashes"]), "<u8")
+    sizes = [len(p) // 8 for p in sent["hashes"]]
+    every = np.frombuffer(b"".join(sent["hashes"]), "<u8")
     order = np.sort(every)
     same = order[1:][order[1:] == order[:-1]]
     hit = np.isin(every, same) if len(same) else np.zeros(len(every), bool)
@@ -207,7 +170,7 @@ def _twice(rows: pd.DataFrame) -> pd.DataFrame:
     for n in sizes:
         masks.append(np.packbits(hit[at : at + n]).tobytes() if hit[at : at + n].any() else None)
         at += n
-    out = pd.DataFrame({"chunk": rows["chunk"], "range": rows["range"], "mask": masks})
+    out = pd.DataFrame({"chunk": sent["chunk"], "range": sent["range"], "mask": masks})
     return out[out["mask"].notna()]
 
 
@@ -225,12 +188,6 @@ def _masks(some) -> dict[int, bytes]:
     return {m["range"]: m["mask"] for m in some or []}
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.slice(k, 1).to_pylist()[0]
-
-
 def _sent(chunk: int, sent: Sent) -> pa.RecordBatch:
     ranges, payloads = sent.payloads()
     return pa.RecordBatch.from_arrays([pa.array([chunk] * len(payloads), pa.int64()), pa.array(ranges, pa.int64()), pa.array(payloads, pa.binary())], names=["chunk", "range", "hashes"])
@@ -240,30 +197,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of every row."""
     own = texts(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = _chunks(own, total)
+    chunks = chunk_table(own, total, CHUNK_BYTES)
     first_ranges = max(1, -(-total * len(COVER) // (PERIOD * RANGE_HASHES)))
     second_ranges = max(1, -(-total // (4 * RANGE_HASHES)))
     copies = _copies(chunks)
     held = chunks.join(copies, "chunk", "left").select("chunk", "sizes", "blob", "copies")
 
     def send_first(batches):
-        for row in _rows(batches):
+        for row in rows(batches):
             yield _sent(row["chunk"], _first(_open(row), first_ranges)[1])
 
     payload = "chunk long, range long, hashes binary"
     masks1 = _answers(held.mapInArrow(send_first, payload), "m1")
 
     def send_second(batches):
-        for row in _rows(batches):
+        for row in rows(batches):
             yield _sent(row["chunk"], _second(_open(row), second_ranges, _masks(row["m1"]), first_ranges)[1])
 
-    from .common import materialise
-
     masks1 = materialise(masks1, "repeats-sampled")
     masks2 = materialise(_answers(held.join(masks1, "chunk", "left").mapInArrow(send_second, payload), "m2"), "repeats-merged")
 
     def finish(batches):
-        for row in _rows(batches):
+        for row in rows(batches):
             c = _open(row)
             at, sent = _second(c, second_ranges, _masks(row["m1"]), first_ranges)
             at = at[sent.answer(_masks(row["m2"]))]

@@ -2,8 +2,10 @@
 
 ``write`` makes one record per page: a response with the whole payload, or, for a payload of
 ``LEAST_REVISIT`` bytes or more that a page with a larger ``page_id`` has too, a revisit that
-refers to that page's response. Records go out through Spark's text sink, whose separator is
-the blank lines that end a record, so archives can be on any store that Spark writes to.
+refers to that page's response. Every record is a gzip member of its own, as the format advises:
+pages are compressed before the one shuffle they take, and what is read back is one member. A
+task writes its archives under new names and returns these; only the names that Spark commits
+are read on, so a task that is run again leaves nothing behind that counts.
 
 ``build_index`` reads the archives in order and makes a line per capture: reversed-host URL key,
 file, offset, length. Lines are range-partitioned and sorted by key and packed into compressed
@@ -24,14 +26,16 @@ equal captures every one is indexed. An empty table gives an empty result. Colum
 from __future__ import annotations
 
 import bisect
+import gzip
 import hashlib
-import io
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +46,9 @@ LEAST_REVISIT = 1000
 BLOCK_LINES = 512
 SEGMENT_BLOCKS = 4096
 FILE_RECORDS = 100_000
+SCAN_BYTES = 1 << 16
+#: Records that a task reads back.
+READ_ROWS = 4096
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
@@ -59,47 +66,80 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, refers_to`` (null: a response)."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    own = own.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest"))
-    small = own.where((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
-    groups = small.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = small.join(groups, "payload_digest").where("page_id < refers_to").distinct()
-    return own.join(revisits, ["page_id", "payload_digest"], "left")
-
-
-def write(pages: DataFrame, path: str) -> None:
-    """Writes the archives below ``path``."""
-    fresh = F.col("refers_to").isNull()
-    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
-    line = lambda name, value: F.concat(F.lit(name + ": "), value.cast("string") if not isinstance(value, str) else F.lit(value), F.lit(END))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END + END))
-    block = F.when(fresh, F.concat(http, F.col("payload"))).otherwise(http)
-    name = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "url", "payload_digest"))
-    urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
-    head = F.concat(
-        F.lit("WARC/1.1" + END),
-        F.when(fresh, line("WARC-Type", "response")).otherwise(F.concat(line("WARC-Type", "revisit"), line("WARC-Profile", PROFILE), line("Refers-To-Page", F.coalesce("refers_to", F.lit(0))))),
-        line("WARC-Record-ID", urn),
-        line("WARC-Date", DATE),
-        line("WARC-Target-URI", uri),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        line("Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit("-"))),
-        line("Content-Type", "application/http;msgtype=response"),
-        line("Content-Length", F.octet_length("block")),
-        F.lit(END),
-    )
-    out = records(pages).withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    out.write.option("lineSep", END + END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def _uri(url):
+    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7F]", "%20")
 
 
-def _open(path: str):
+def revisits(pages: DataFrame) -> DataFrame:
+    """``page_id, payload_digest, refers_to`` of the pages whose payload another page answers."""
+    payload = F.coalesce("html", F.lit(""))
+    own = pages.where(F.octet_length("html") >= LEAST_REVISIT).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("payload_digest")).where("page_id is not null")
+    groups = own.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return own.join(groups, "payload_digest").where("page_id < refers_to").distinct()
+
+
+def _record(page: int | None, uri: str, digest: str, size: int, payload: bytes | None, refers_to: int | None) -> bytes:
+    """One record as a gzip member; without a payload a revisit."""
+    http = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: {size}{END}{END}".encode()
+    block = http + (payload or b"")
+    kind = [("WARC-Type", "response")] if payload is not None else [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("Refers-To-Page", refers_to)]
+    name = uuid.UUID(hashlib.md5(f"{page}|{uri}|{digest}".encode()).hexdigest())
+    fields = [*kind, ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Page-ID", "-" if page is None else page), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(block))]
+    head = "WARC/1.1" + END + "".join(f"{k}: {v}{END}" for k, v in fields) + END
+    return gzip.compress(head.encode() + block + (END + END).encode(), 6, mtime=0)
+
+
+def write(pages: DataFrame, path: str) -> DataFrame:
+    """Writes the archives below ``path``; ``file, records`` of each."""
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                out = []
+                for page, uri, html in zip(*(c.to_pylist() for c in b.slice(k, 200).columns), strict=True):
+                    raw = (html or "").encode()
+                    digest = hashlib.sha1(raw).hexdigest()
+                    out.append((page, uri, digest, len(raw), _record(page, uri, digest, len(raw), raw, None)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "uri", "payload_digest", "size", "member"])
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f, n = "", None, 0
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                for page, uri, digest, size, member, refers_to in zip(*(c.to_pylist() for c in b.slice(k, 200).columns), strict=True):
+                    if f is None:
+                        system, root = _file_system(path)
+                        system.create_dir(root, recursive=True)
+                        name, n = f"{path}/{uuid.uuid4().hex}.warc.gz", 0
+                        f = system.open_output_stream(_file_system(name)[1], compression=None)
+                    f.write(member if refers_to is None else _record(page, uri, digest, size, None, refers_to))
+                    n += 1
+                    if n == FILE_RECORDS:
+                        f.close()
+                        f = None
+                        yield told()
+        if f is not None:
+            f.close()
+            yield told()
+
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), _uri(F.col("url")).alias("uri"), "html")
+    packed = own.mapInArrow(compress, "page_id long, uri string, payload_digest string, size long, member binary")
+    joined = packed.join(revisits(pages), ["page_id", "payload_digest"], "left").select("page_id", "uri", "payload_digest", "size", "member", "refers_to")
+    return materialise(joined.mapInArrow(store, "file string, records long"), "archives")
+
+
+def _file_system(path: str):
     from pyarrow import fs
 
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[5:]
-    system, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _open(path: str):
+    system, name = _file_system(path)
     return system.open_input_file(name)
 
 
@@ -111,26 +151,29 @@ def parse(raw: bytes) -> dict[str, str]:
 
 def scan(path: str) -> Iterator[tuple[int, int, dict[str, str]]]:
     """Offset, length and header of each record of an archive, in order."""
-    f, at = io.BufferedReader(_open(path), 1 << 20), 0
-    while head := f.readline():
-        n = len(head)
-        while (line := f.readline()) not in (b"\r\n", b""):
-            head += line
-            n += len(line)
-        fields = parse(head)
-        body = int(fields["content-length"])
-        length = n + 2 + body
-        f.seek(at + length + 4)
-        yield at, length, fields
-        at += length + 4
-
-
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """``key, file, offset, length`` of every record below ``path``."""
+    with _open(path) as f:
+        at, data = 0, f.read(SCAN_BYTES)
+        while data:
+            member, head, length = zlib.decompressobj(31), b"", 0
+            while not member.eof:
+                if not data and not (data := f.read(SCAN_BYTES)):
+                    raise ValueError(f"{path} breaks off at {at}")
+                out = member.decompress(data)
+                length += len(data) - len(member.unused_data)
+                data = member.unused_data
+                if b"\r\n\r\n" not in head:
+                    head += out
+            yield at, length, parse(head.partition(b"\r\n\r\n")[0])
+            at += length
+            data = data or f.read(SCAN_BYTES)
+
+
+def captures(files: DataFrame) -> DataFrame:
+    """``key, file, offset, length`` of every record of the archives in column ``file``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p in b["path"]:
+            for p in b["file"]:
                 rows = []
                 for at, length, fields in scan(p):
                     rows.append((surt(fields["warc-target-uri"]), p, at, length))
@@ -139,8 +182,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"]).astype({"key": str, "file": str, "offset": "int64", "length": "int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
-    return files.mapInPandas(run, "key string, file string, offset long, length long")
+    # A row stands for an archive, so each gets a task of its own.
+    return files.select("file").repartition(max(1, files.count()), "file").mapInPandas(run, "key string, file string, offset long, length long")
 
 
 @dataclass(frozen=True)
@@ -149,7 +192,7 @@ class Index:
     directory: str
 
 
-def build_index(spark: SparkSession, path: str, to: str, block_lines: int = BLOCK_LINES) -> Index:
+def build_index(spark: SparkSession, files: DataFrame, to: str, block_lines: int = BLOCK_LINES) -> Index:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, count, held = TaskContext.get().partitionId(), 0, []
 
@@ -165,7 +208,7 @@ def build_index(spark: SparkSession, path: str, to: str, block_lines: int = BLOC
         if held:
             yield out(held)
 
-    found = materialise(captures(spark, path), "captures")
+    found = materialise(captures(files), "captures")
     order = ["key", "file", "offset"]
     ordered = found.repartitionByRange(*order).sortWithinPartitions(*order)
     made = Index(f"{to}/blocks", f"{to}/directory")
@@ -230,9 +273,12 @@ def read(found: DataFrame) -> DataFrame:
                 rows = []
                 for p, at, n in b.iloc[k : k + 500][["file", "offset", "length"]].sort_values(["file", "offset"]).itertuples(index=False):
                     if p != name:
+                        if f is not None:
+                            f.close()
                         name, f = p, _open(p)
-                    head, _, block = f.read_at(n, at).partition(b"\r\n\r\n")
+                    head, _, block = zlib.decompress(f.read_at(n, at), 31).partition(b"\r\n\r\n")
                     w = parse(head)
+                    block = block[: int(w["content-length"])]
                     http, _, payload = block.partition(b"\r\n\r\n")
                     fresh = w["warc-type"] == "response"
                     size = len(payload) if fresh else int(parse(http)["content-length"])
@@ -243,7 +289,8 @@ def read(found: DataFrame) -> DataFrame:
                 yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     # Neighbours in an archive are read by one task, a range of offsets each.
-    placed = found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    found = materialise(found, "found")
+    placed = found.repartitionByRange(max(1, -(-found.count() // READ_ROWS)), "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInPandas(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
@@ -251,7 +298,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the archives and their index, looks up every URL and reads the records back."""
     spark = pages.sparkSession
     to = scratch_path(spark, "warc")
-    write(pages, f"{to}/archives")
-    index = build_index(spark, f"{to}/archives", f"{to}/index")
-    urls = pages.select(F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("url"))
+    index = build_index(spark, write(pages, f"{to}/archives"), f"{to}/index")
+    urls = pages.select(_uri(F.col("url")).alias("url"))
     return read(lookup(spark, index, urls)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -36,8 +36,8 @@ def test_round_trip(spark):
 def test_lookup_by_binary_search(spark):
     rows = fixture()
     to = scratch_path(spark, "warc-test")
-    W.write(spark.createDataFrame(rows, SCHEMA), f"{to}/a")
-    index = W.build_index(spark, f"{to}/a", f"{to}/i", block_lines=4)
+    files = W.write(spark.createDataFrame(rows, SCHEMA), f"{to}/a")
+    index = W.build_index(spark, files, f"{to}/i", block_lines=4)
     asked = [rows[5][1], rows[77][1], "http://a.example.com/n", "http://nowhere.example.org/"]
     urls = spark.createDataFrame([(u,) for u in asked], "url string")
     keys = {W.surt(u) for u in asked}

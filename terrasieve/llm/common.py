@@ -61,19 +61,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def next_ids(ids: DataFrame, per_range: int = 1024) -> DataFrame:
-    """``doc_id, next_id`` for distinct, non-null ``doc_id``: the next larger id, and the least
-    id after the largest. No task gets more than a range of about ``per_range`` ids: the id that
-    follows a range's last is looked for among ranges, and the one that follows the last range
-    of a group of ranges among groups."""
-    seen = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).first()
+def id_ranges(docs: DataFrame, per_range: int = 512) -> tuple[Column, DataFrame, int]:
+    """Cuts the ids into ranges of equal width with about ``per_range`` rows each: the range of
+    a ``doc_id`` (from 0), ``range, following`` of the ranges that hold any (after the last: the
+    first), and the least id. The range that follows is looked for in groups of ranges, and the
+    one that follows the last range of a group among groups."""
+    seen = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
     least, span = seen.a or 0, ((seen.b or 0) - (seen.a or 0) + 1)
     width = max(1, span * per_range // max(1, seen.n))
-    held = ids.select("doc_id", F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(least)) / F.lit(width)).cast("long").alias("range"))
-    held = held.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
-    ranges = held.groupBy("range").agg(F.min("doc_id").alias("first")).withColumn("group", F.floor(F.col("range") / per_range))
-    ranges = ranges.withColumn("follows", F.lead("first").over(Window.partitionBy("group").orderBy("range")))
-    groups = ranges.groupBy("group").agg(F.min("first").alias("first"))
+    number = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(least)) / F.lit(width)).cast("long")
+    held = docs.where("doc_id is not null").select(number.alias("range")).distinct().withColumn("group", F.floor(F.col("range") / 1024))
+    held = held.withColumn("after", F.lead("range").over(Window.partitionBy("group").orderBy("range")))
+    groups = held.groupBy("group").agg(F.min("range").alias("first"))
     groups = groups.select("group", F.lead("first").over(Window.orderBy("group")).alias("later"))
-    follows = ranges.join(groups, "group").select("range", F.coalesce("follows", "later", F.lit(least)).alias("follows"))
-    return held.join(follows, "range").select("doc_id", F.coalesce("next_id", "follows").alias("next_id"))
+    return number, held.join(groups, "group").select("range", F.coalesce("after", "later", F.lit(0)).cast("long").alias("following")), least

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, next_ids, texts
+from .common import id_ranges, let, texts
 
 GRAM = 3
 WINDOW = 5
@@ -74,17 +74,23 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next_text`` of every row. Texts are shuffled once by their own id, which
-    serves both joins, and once more to the document before."""
+    """``doc_id, text, next_text`` of every row. Texts are shuffled once, by ranges of ids that
+    hold about as many rows each; within a range the next text is the next row's, and only the
+    first text of each range goes to the range before it."""
     own = texts(docs)
-    after = next_ids(own.select("doc_id").where("doc_id is not null").distinct()).select(F.col("doc_id").alias("before"), "next_id")
-    one = own.where("doc_id is not null").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1")
-    sent = one.join(after, F.col("doc_id") == F.col("next_id")).select(F.col("before").alias("doc_id"), F.col("text").alias("next_text"))
-    placed = own.where("doc_id is not null").join(sent, "doc_id").select("doc_id", "text", "next_text")
-    first = one.join(own.agg(F.min("doc_id").alias("doc_id")), "doc_id").select(F.col("text").alias("next_text"))
-    # One row, by the aggregate above; without any id a text follows itself.
+    number, following, least = id_ranges(own.select("doc_id"))
+    in_range = Window.partitionBy("range").orderBy("doc_id", "text")
+    same_id = Window.partitionBy("range", "doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = own.where("doc_id is not null").withColumn("range", number)
+    placed = placed.select("*", F.lead("text").over(in_range).alias("after"), F.lag("doc_id").over(in_range).isNull().alias("leads"))
+    placed = placed.withColumn("after", F.last("after").over(same_id))
+    leads = placed.where("leads").select(F.col("range").alias("following"), F.col("text").alias("next_text"))
+    last = placed.where("after is null").join(following, "range").join(leads, "following")
+    pairs = placed.where("after is not null").select("doc_id", "text", F.col("after").alias("next_text")).unionByName(last.select("doc_id", "text", "next_text"))
+    # One row, by the aggregate; without any id a text follows itself.
+    first = own.where(F.col("doc_id") == least).agg(F.min("text").alias("next_text"))
     rest = own.where("doc_id is null").join(F.broadcast(first), F.lit(True), "left").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
-    return placed.unionByName(rest)
+    return pairs.unionByName(rest)
 
 
 def compare(docs: DataFrame) -> DataFrame:

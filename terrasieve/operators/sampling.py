@@ -52,8 +52,8 @@ def k_folds(rows: DataFrame, strata: list[str], k: int, seed: int, key: str) ->
 def split(rows: DataFrame, strata: list[str], share: float, seed: int, key: str) -> DataFrame:
     """``rows`` with ``part``: train, or validation for the rounded share of each stratum."""
     out, sizes = ranked(rows, strata, seed, key), _sizes(rows, strata)
-    out = out.join(sizes, [out[s].eqNullSafe(sizes[s]) for s in strata]).withColumn("part", F.when(F.col("rn") <= F.rint(F.col("__n") * share), "validation").otherwise("train"))
-    return out.select(*[out[c] for c in rows.columns], "part")
+    part = F.when(F.col("rn") <= F.rint(F.col("__n") * share), "validation").otherwise("train")
+    return out.join(sizes, [out[s].eqNullSafe(sizes[s]) for s in strata]).select(*[out[c] for c in rows.columns], part.alias("part"))
 
 
 def bags(rows: DataFrame, iterations: int, m: int, seed: int, key: str) -> DataFrame:

@@ -108,7 +108,7 @@ SELECT event_id, TRY_CAST(lon AS DOUBLE) AS x, TRY_CAST(lat AS DOUBLE) AS y FROM
 def alias_and_coerce(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.points import numeric_points
 
-    lon = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.round("value").cast("int").cast("string"))
+    lon = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.rint("value").cast("int").cast("string"))
     lat = F.when(F.col("event_id") % 11 != 0, F.col("user_id").cast("string"))
     return numeric_points(table(spark, sf, "events").select("event_id", lon.alias("Longitude"), lat.alias("LATITUDE"))).select("event_id", "x", "y")
 

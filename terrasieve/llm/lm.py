@@ -14,11 +14,11 @@ Tokens are lower-cased words and one end. Two things are learned from the traini
   (or end the text) apart from those that go on with one, and the output biases start from the
   logs of the counts.
 
-Training: every training document gives a share ``TRAIN_SHARE`` of its windows, drawn by hash,
-so what is gathered grows with the corpus; a corpus with few windows gives more of them, up to
-all, as long as one replica can take them. Windows are dealt to replicas, a fixed number each;
-in a round every replica takes Adam steps from the current weights, and weights are averaged by
-rows seen, by group and then over groups. More data means more replicas, not longer ones.
+Training: one pass over every window of every training document, at all sizes. A chunk is a
+replica, and its windows are dealt to ``ROUNDS`` rounds; in a round every replica takes Adam
+steps from the current weights over its windows of that round, and weights are averaged by
+windows seen: by task, by group and then over groups. More data means more replicas, not longer
+ones.
 
 Scoring: windows of ``WIDTH`` ids overlap by ``CONTEXT``; each id is scored once, in the window
 that gives it at least so much to look back on (less only at the start of a text). The ids of a
@@ -59,9 +59,7 @@ IDS = 4096
 WIDTH, CONTEXT = 32, 6
 DIM, HIDDEN = 16, 32
 CLASS = 64
-TRAIN_SHARE = 0.008
-#: Windows that a replica trains on in a round, rounds, and passes that few windows get at most.
-REPLICA_WINDOWS, ROUNDS, MOST_PASSES = 16_384, 4, 16
+ROUNDS = 4
 BATCH, RATE = 32, 0.03
 SCORE_BATCH = 384
 ADD = 0.1
@@ -117,7 +115,6 @@ class Text:
         crc = [None if i is None else zlib.crc32(str(i).encode()) for i in self.ids]
         self.held_out = np.array([c is not None and c % 10 == 0 for c in crc], bool)
         self.train = np.array([c is not None and c % 10 != 0 for c in crc], bool)
-        self.crc = np.array([c or 0 for c in crc], np.uint64)
 
     def training_counts(self) -> np.ndarray:
         return np.bincount(self.number[np.repeat(self.train, self.lengths)], minlength=len(self.words))
@@ -138,21 +135,13 @@ class Text:
         out[np.arange(int(size.sum())) + np.repeat(doc, size)] = flat[source]  # an end stands before each later document
         return out, lengths + 1
 
-    def training_windows(self, sub: Subwords, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs and targets of the windows that are trained on, and counts of all training
-        ids. Only documents that have such a window are spelled out."""
+    def training_ids(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and lengths of the training documents, and counts of all training ids."""
         flat, edge = sub.encode(self.words)
-        size = np.diff(edge)
-        counts = np.bincount(flat, np.repeat(self.training_counts(), size), minlength=IDS + 1).astype(np.int64)
+        counts = np.bincount(flat, np.repeat(self.training_counts(), np.diff(edge)), minlength=IDS + 1).astype(np.int64)
         counts[IDS] = self.train.sum()
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        lengths = np.bincount(doc, size[self.number], minlength=len(self.lengths)).astype(np.int64) + 1
-        owner, _ = places(lengths)
-        drawn = _drawn(self, owner, share)
-        own = np.bincount(owner[drawn], minlength=len(lengths)) > 0
-        ids, lengths = self.spelled(flat, edge, self.number[own[doc]], self.lengths[own])
-        given, target, *_ = windows(ids, lengths, drawn[own[owner]])
-        return given, target, counts
+        own = np.repeat(self.train, self.lengths)
+        return *self.spelled(flat, edge, self.number[own], self.lengths[self.train]), counts
 
 
 def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,28 +400,28 @@ def _add_up(some: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"counts": [sum(np.frombuffer(x, "<i8") for x in some["counts"]).tobytes()]})
 
 
-def train_share(total_bytes: int) -> float:
-    """A window stands for about 50 bytes of text."""
-    return max(TRAIN_SHARE, min(1.0, REPLICA_WINDOWS * 50 / max(1, total_bytes)))
+def round_windows(ids: np.ndarray, lengths: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of the windows that a replica trains on in round r: each window of its
+    documents is in one round."""
+    given, target, *_ = windows(ids, lengths, slice(r, None, ROUNDS))
+    return given, target
 
 
-def _drawn(text: Text, doc: np.ndarray, share: float) -> np.ndarray:
-    """Which windows are trained on: of training documents, by a hash of id and window number."""
-    h = (text.crc[doc] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(doc), dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x94D049BB133111EB)
-    return text.train[doc] & ((h >> np.uint64(40)).astype(np.float64) < share * 2**24)
+def _replicas(now: bytes, like: dict, place: np.ndarray, rate: float, r: int):
+    """A task's part of a round: its replicas go from the weights of now to their own, and
+    their mean, by windows, is what it answers."""
 
-
-def _replica(now: bytes, like: dict, place: np.ndarray, rate: float, passes: int, seed: int, groups: int):
-    """A replica's part of a round: from the weights of now to its own."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _keep_memory()
-        own = own.sort_values(["chunk", "part"])
-        given, target = (np.frombuffer(b"".join(own[c]), "<i2").astype(np.int32).reshape(-1, WIDTH) for c in ("given", "target"))
-        out = take_steps(unpack_weights(now, like), place, given, target, rate, passes, seed)
-        return pd.DataFrame({"g": [int(own["replica"].iloc[0]) % groups], "n": [len(given)], "w": [pack_weights(out)]})
+        n, total = 0, 0.0
+        for part in parts:
+            for ids, lengths in zip(part["trained"], part["lengths"], strict=True):
+                given, target = round_windows(np.frombuffer(ids, "<i2").astype(np.int32), np.frombuffer(lengths, "<i8"), r)
+                if len(given):
+                    out = take_steps(unpack_weights(now, like), place, given, target, rate, 1, 100 + r)
+                    n, total = n + len(given), total + np.frombuffer(pack_weights(out), "<f4") * float(len(given))
+        if n:
+            yield pd.DataFrame({"n": [n], "w": [(total / n).astype("<f4").tobytes()]})
 
     return run
 
@@ -443,20 +432,15 @@ def _mean(some: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n": [int(some["n"].sum())], "w": [w.astype("<f4").tobytes()]})
 
 
-def train(windows_: DataFrame, counts: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights from windows (``given, target, part`` with packed rows of ids)."""
+def train(replicas: DataFrame, counts: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights from replicas (``trained, lengths``: packed ids and lengths of documents)."""
     w = start_weights(counts, place)
-    n = windows_.agg(F.sum("n")).first()[0] or 0
-    if not n:
-        return w
-    replicas = max(1, round(n / REPLICA_WINDOWS))
-    passes = int(min(MOST_PASSES, max(1, REPLICA_WINDOWS // (n // replicas + 1))))
-    groups = max(1, math.isqrt(replicas))
-    dealt = materialise(windows_.withColumn("replica", F.pmod(F.xxhash64("chunk", "part"), F.lit(replicas))), "lm-windows")
     for r in range(ROUNDS):
-        run = _replica(pack_weights(w), {k: np.empty(x.shape, np.float32) for k, x in w.items()}, place, RATE * (1 - r / ROUNDS), passes, 100 + r, groups)
-        trained = dealt.groupBy("replica").applyInPandas(run, "g int, n long, w binary").groupBy("g").applyInPandas(_mean, "n long, w binary").toPandas()
-        w = unpack_weights(_mean(trained)["w"].iloc[0], w)
+        run = _replicas(pack_weights(w), {k: np.empty(x.shape, np.float32) for k, x in w.items()}, place, RATE * (1 - r / ROUNDS), r)
+        means = replicas.mapInPandas(run, "n long, w binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
+        trained = means.groupBy("g").applyInPandas(lambda some: _mean(some), "n long, w binary").toPandas()
+        if len(trained):
+            w = unpack_weights(_mean(trained)["w"].iloc[0], w)
     return w
 
 
@@ -469,12 +453,12 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     own = texts(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = chunk_table(own, total, CHUNK_BYTES).select("chunk", "ids", "sizes", "blob")
-    ranges, share = max(1, -(-total // (24 * RANGE_WORDS))), train_share(total)
+    ranges = max(1, -(-total // (24 * RANGE_WORDS)))
 
-    gathered_schema = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("part", pa.int32()), ("n", pa.int64()), ("given", pa.binary()), ("target", pa.binary()), ("id_counts", pa.binary())])
+    gathered_schema = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("trained", pa.binary()), ("lengths", pa.binary()), ("id_counts", pa.binary())])
 
     def gather(batches):
-        """Words with counts by range, windows to train on, counts of ids: one pass for all."""
+        """Words with counts by range, documents to train on, counts of ids: one pass for all."""
         _keep_memory()
         sub = Subwords(path)
         for row in rows(batches):
@@ -483,13 +467,13 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             if len(order):
                 h, n = t.hashes[order].astype("<u8"), t.training_counts()[order].astype("<u4")
                 out += [{"range": r, "hashes": x.tobytes(), "counts": y.tobytes()} for r, x, y in zip(own[np.append(0, cuts)].tolist(), np.split(h, cuts), np.split(n, cuts), strict=True)]
-            given, target, id_counts = t.training_windows(sub, share)
-            given, target = given.astype("<i2"), target.astype("<i2")
-            out += [{"part": k, "n": len(given[a : a + 1024]), "given": given[a : a + 1024].tobytes(), "target": target[a : a + 1024].tobytes()} for k, a in enumerate(range(0, len(given), 1024))]
+            ids, lengths, id_counts = t.training_ids(sub)
+            if len(lengths):
+                out.append({"trained": ids.astype("<i2").tobytes(), "lengths": lengths.astype("<i8").tobytes()})
             out.append({"id_counts": id_counts.astype("<i8").tobytes()})
             yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"]} | x for x in out], schema=gathered_schema)
 
-    gathered = materialise(chunks.mapInArrow(gather, "chunk long, range long, hashes binary, counts binary, part int, n long, given binary, target binary, id_counts binary"), "lm-gathered")
+    gathered = materialise(chunks.mapInArrow(gather, "chunk long, range long, hashes binary, counts binary, trained binary, lengths binary, id_counts binary"), "lm-gathered")
     sent = gathered.where("range is not null").select("chunk", "range", "hashes", "counts")
     answers = materialise(sent.groupBy("range").applyInPandas(_totals, "chunk long, range long, totals binary"), "lm-words")
 
@@ -505,7 +489,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     big_v, big_n = int(found[0] or 0) + (ends > 0), int(found[1] or 0) + ends
     opens = np.append(Subwords(path).opens, True)
     place, opening = slots(counts, opens)
-    w = train(gathered.where("n > 0").select("chunk", "part", "n", "given", "target"), counts, place)
+    w = train(gathered.where("trained is not null").select("trained", "lengths"), counts, place)
     packed, like = pack_weights(w), {k: np.empty(x.shape, np.float32) for k, x in w.items()}
     low = big_n + ADD * (big_v + 1)
     log_end = math.log10((ends + ADD) / low)

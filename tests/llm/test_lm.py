@@ -122,3 +122,18 @@ def test_subwords_match_words():
 
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_training_window_is_in_one_round():
+    rows = [(i, "the of and " * (3 * i)) for i in range(60)] + [(None, "the " * 90)]
+    raw = [t.encode() for _, t in rows]
+    text = L.Text({"ids": [i for i, _ in rows], "sizes": [len(t) for t in raw], "blob": b"".join(raw)})
+    sub = L.Subwords(PATH)
+    ids, lengths, counts = text.training_ids(sub)
+    learn = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    whole = [np.append(sub.encode([w.encode() for w in split(t)])[0], L.IDS) for t in learn]
+    assert ids.tolist() == np.concatenate(whole).tolist() and lengths.tolist() == [len(x) for x in whole]
+    assert counts.tolist() == np.bincount(ids, minlength=L.IDS + 1).tolist()
+    dealt = [np.hstack(L.round_windows(ids, lengths, r)).tolist() for r in range(L.ROUNDS)]
+    assert sorted(sum(dealt, [])) == sorted(np.hstack(L.windows(ids, lengths)[:2]).tolist())
+    assert max(map(len, dealt)) - min(map(len, dealt)) <= 1

@@ -22,10 +22,8 @@ ones.
 
 Scoring: windows of ``WIDTH`` ids overlap by ``CONTEXT``; each id is scored once, in the window
 that gives it at least so much to look back on (less only at the start of a text). The ids of a
-word and the chance that it stops there make the word's probability; that is mixed, word by
-word, with the word's share of the training tokens (``COUNT_SHARE`` of the weight, nothing for
-words never seen), which knows frequent words better than a small network does. The score is the
-sum of the log10 of the mixture over the words and the end.
+word and the chance that it stops there make the word's probability. The score is the sum of its
+log10 over the words and the end: the network's alone, counts of words have no part in it.
 
 Null text is empty: one token, the end. Rows with a null ``doc_id`` are scored, never learned
 from, and are not held out. Repeated rows count each. An empty table gives an empty result;
@@ -63,7 +61,6 @@ ROUNDS = 4
 BATCH, RATE = 32, 0.03
 SCORE_BATCH = 384
 ADD = 0.1
-COUNT_SHARE = 0.5
 
 
 def _keep_memory() -> None:
@@ -521,12 +518,8 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             begin = np.flatnonzero(opens[ids])
             lp[begin] -= lo[begin]
             ended = np.append(lo[begin[1:]], 0.0)
-            is_end = ids[begin] == IDS
-            word = np.add.reduceat(lp, begin) + np.where(is_end, 0.0, ended)
-            share = np.full(len(begin), ends / low)
-            share[~is_end] = np.where(c > 0, (c + ADD) / low, 0.0)
-            mixed = (np.logaddexp(np.log(np.maximum(COUNT_SHARE * share, 1e-300)), math.log(1 - COUNT_SHARE) + word)) / math.log(10) if big_n else word / math.log(10)
-            result = np.bincount(np.repeat(np.arange(len(lengths)), t.lengths + 1), mixed, minlength=len(lengths))
+            word = np.add.reduceat(lp, begin) + np.where(ids[begin] == IDS, 0.0, ended)
+            result = np.bincount(np.repeat(np.arange(len(lengths)), t.lengths + 1), word / math.log(10), minlength=len(lengths))
             n = len(t.lengths)
             columns = [pa.array(t.ids, pa.int64()), pa.array(t.held_out), pa.array(t.lengths + 1), pa.array(known), pa.array(np.full(n, big_n)), pa.array(base), pa.array(result)]
             yield pa.RecordBatch.from_arrays(columns, schema=out_schema)

@@ -137,3 +137,20 @@ def test_every_training_window_is_in_one_round():
     dealt = [np.hstack(L.round_windows(ids, lengths, r)).tolist() for r in range(L.ROUNDS)]
     assert sorted(sum(dealt, [])) == sorted(np.hstack(L.windows(ids, lengths)[:2]).tolist())
     assert max(map(len, dealt)) - min(map(len, dealt)) <= 1
+
+
+def test_score_is_the_networks_alone(spark):
+    n = 60
+    rows = [(i, "the of " * n) for i in range(300)] + [(None, "the the " * n)]
+    got = L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # The network knows the order of words, which the base score cannot: held-out texts are likelier.
+    held = [r for r in got if r.held_out]
+    assert held and all(r.score > 0.5 * r.base_score for r in held)
+    # A mixture with the word's share could fall by log10(2) a word below the base score at most.
+    odd = next(r for r in got if r.doc_id is None)
+    assert odd.score < odd.base_score - odd.n_tokens * math.log10(2)
+
+
+def test_network_alone_beats_unigrams_of_words_on_held_out_text(spark):
+    got = L.score(spark.createDataFrame(fixture(), "doc_id long, text string")).where("held_out and n_known = n_tokens").collect()
+    assert got and sum(r.score for r in got) > sum(r.base_score for r in got)

@@ -44,7 +44,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import report
 
-    return report(read(spark, sf_dir, "documents"))
+    return report(read(spark, sf_dir, "documents"), beside=True)
 
 
 @query

@@ -5,8 +5,9 @@ pieces between the matches: a match starts where the pieces and matches before i
 points. The method adds spans of kind ``entropy``: a window of ``WINDOW`` characters slides over
 each candidate string, counts per character are kept incrementally (one character enters, one
 leaves), and the span runs from the first to the last window whose Shannon entropy reaches the
-limit of the candidate's character class. Candidates on the allow-list, and those that overlap a
-base span, add nothing.
+limit of the candidate's character class. Candidates on the allow-list add nothing. With
+``beside``, as the queries have it, base spans are cut out of a candidate and each piece that is
+left is a candidate of its own; without it a candidate that overlaps a base span adds nothing.
 
 Null text counts as empty; null ``doc_id`` stays null; repeated rows each give a row; an empty
 table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored (``redact``
@@ -28,13 +29,16 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Character classes, the narrowest first, and the entropy in bits that a window must reach.
 CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Z0-9]+$", 3.4), (r"^[a-z0-9]+$", 3.4), (r"^[A-Za-z0-9+/_=-]+$", 3.7))
-#: Candidates that are no secrets: no digit or no letter; identifiers and paths of whole words
-#: and numbers; UUIDs.
+#: Letters in the case of words: one letter, or runs of two and more of one case after one
+#: another, with a capital before a small run or not, as in camel case. Possessive throughout,
+#: so that no string is tried in many ways.
+WORDLIKE = r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)++|[A-Za-z])(?![A-Za-z])"
+#: Candidates that are no secrets: no letter; identifiers and paths of whole words and numbers;
+#: UUIDs.
 ALLOW = (
-    r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"^([A-Za-z]+|[0-9]+)([/_=+-]+([A-Za-z]+|[0-9]+))*[/_=+-]*$",
-    r"^[A-Za-z]+[0-9]{1,4}$",
+    rf"^[/_=+-]*+(?>{WORDLIKE}|[0-9]++)(?:[/_=+-]++(?>{WORDLIKE}|[0-9]++))*+[/_=+-]*+$",
+    rf"^{WORDLIKE}[0-9]{{1,4}}$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
 SPAN = "array<struct<start:int,kind:int,stop:int,hit:string>>"
@@ -93,9 +97,34 @@ def _limit(hit: Column) -> Column:
     return out
 
 
-def _entropy(found: Column, base: Column, allow: tuple[str, ...], window: int) -> Column:
+def _pieces(found: Column, base: Column, window: int) -> Column:
+    """What base spans (in order) leave of each candidate, pieces of a window and more."""
+
+    def piece(c: Column, start: Column, stop: Column) -> Column:
+        return F.struct(start.alias("start"), c["kind"].alias("kind"), stop.alias("stop"), F.substring(c["hit"], start - c["start"] + 1, stop - start).alias("hit"))
+
+    def step(c: Column):
+        def take(done: Column, b: Column) -> Column:
+            before = F.greatest(F.least(b["start"], c["stop"]), done["at"])
+            return F.struct(F.greatest(done["at"], b["stop"]).alias("at"), F.concat(done["out"], F.array(piece(c, done["at"], before))).alias("out"))
+
+        return take
+
+    def cut(c: Column) -> Column:
+        near = F.filter(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+        start = F.struct(c["start"].alias("at"), F.array().cast(SPAN).alias("out"))
+        rest = F.aggregate(near, start, step(c), lambda d: F.concat(d["out"], F.array(piece(c, d["at"], F.greatest(d["at"], c["stop"])))))
+        return F.when(F.size(near) > 0, rest).otherwise(F.array(c))
+
+    return F.filter(F.flatten(F.transform(found, cut)), lambda c: c["stop"] - c["start"] >= window)
+
+
+def _entropy(found: Column, base: Column, allow: tuple[str, ...], window: int, beside: bool) -> Column:
+    if beside:
+        found = _pieces(found, base, window)
+
     def open_to(c: Column) -> Column:
-        clear = ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+        clear = F.lit(True) if beside else ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
         for pattern in allow:
             clear = clear & ~c["hit"].rlike(pattern)
         return clear
@@ -109,7 +138,7 @@ def _entropy(found: Column, base: Column, allow: tuple[str, ...], window: int) -
     return F.filter(F.transform(F.filter(found, open_to), span), lambda s: s["hit"].isNotNull())
 
 
-def find(docs: DataFrame, *more: str, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, *more: str, allow: tuple[str, ...] = ALLOW, window: int = WINDOW, beside: bool = False) -> DataFrame:
     """``doc_id, text``, columns named besides, ``base`` and ``added``: arrays of
     ``(start, kind, stop, hit)`` in order, ``kind`` an index of ``KINDS``."""
     text = F.col("text")
@@ -121,7 +150,7 @@ def find(docs: DataFrame, *more: str, allow: tuple[str, ...] = ALLOW, window: in
         )
     )
     out = texts(docs, *more).select("*", base.alias("base"), _spans(text, CANDIDATE, 3).alias("candidates"))
-    added = F.when(F.size("candidates") > 0, _entropy(F.col("candidates"), F.col("base"), allow, window)).otherwise(F.array().cast(SPAN))
+    added = F.when(F.size("candidates") > 0, _entropy(F.col("candidates"), F.col("base"), allow, window, beside)).otherwise(F.array().cast(SPAN))
     return out.select("doc_id", "text", *more, "base", added.alias("added"))
 
 
@@ -130,10 +159,10 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["stop"])), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, beside: bool = False) -> DataFrame:
     """Per document the counts of the base kinds, the digest of the base spans, all spans."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return find(docs).select(
+    return find(docs, beside=beside).select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
@@ -144,12 +173,12 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", beside: bool = False) -> DataFrame:
     """``docs`` with every span replaced by ``mark``, overlapping spans by one; ``n_chars``, if
     it is there, follows. Rows without spans keep their text, null included."""
     columns = docs.columns
     held = docs.select(F.struct(*columns).alias("__row"), "doc_id", "text")
-    found = find(held, "__row").withColumn("__all", F.array_sort(F.concat("base", "added")))
+    found = find(held, "__row", beside=beside).withColumn("__all", F.array_sort(F.concat("base", "added")))
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]

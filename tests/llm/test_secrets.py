@@ -75,3 +75,38 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert S.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_beside(text):
+    base, added = brute(text)[0], []
+    for m in re.finditer(S.CANDIDATE, text or ""):
+        free = [all(not a <= i < b for a, _, b in base) for i in range(m.start(), m.end())]
+        for run in re.finditer("1+", "".join("01"[f] for f in free)):
+            at, piece = m.start() + run.start(), m[0][run.start() : run.end()]
+            if len(piece) < S.WINDOW or any(re.search(a, piece) for a in S.ALLOW):
+                continue
+            limit, w = next(b for p, b in S.CLASSES if re.search(p, piece)), S.WINDOW
+            high = [i for i in range(len(piece) - w + 1) if -sum(n / w * math.log2(n / w) for n in Counter(piece[i : i + w]).values()) >= limit - 1e-9]
+            if high:
+                added.append((at + high[0], 3, at + high[-1] + w))
+    return base, added
+
+
+def test_secrets_beside_base_spans(spark, tmp_path):
+    r = random.Random(8)
+    key = lambda n, more="+": "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    access, run, letters = "AKIA" + "Q7" * 8, "0f3a" * 8, "qWkZrTbVxLpNmGhJcDyFsAeU"
+    k = [key(40) for _ in range(6)]
+    rows = [(1, f"é {access}/{k[0]} x"), (2, f"{k[1]}={access}={k[2]}"), (3, f"{run}-{k[3]}"), (4, f"{k[4]}=/token=abcdefgh {access}/short"), (5, f"{k[5]}_{run}/{run}_word"), (6, f"see {letters} and +some/long_path/ofWordsAndNames/x/"), (7, "ab/cd/" * 40 + "x1y2" * 5 + " " + "ab" * 40 + "1c2")]
+    rows += [(i + 100, t) for i, t in fixture() if i is not None]
+    import __spark_entry__
+
+    spark.createDataFrame([(a, b, "s", len(b or "")) for a, b in rows], "doc_id long, text string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_id, x.spans) for x in __spark_entry__.queries()["op4_secret_spans"](spark, str(tmp_path)).collect()}
+    assert got == {(i, told(sum(brute_beside(t), []))) for i, t in rows}
+    import corpus_pipeline
+
+    clean = {x.doc_id: x.text for x in corpus_pipeline.redact_secrets(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    for i, secret in zip((1, 2, 2, 3, 4, 5), k, strict=True):
+        assert secret[8:-8] not in clean[i]
+    assert letters not in clean[6] and "+some/long_path/ofWordsAndNames/x/" in clean[6]

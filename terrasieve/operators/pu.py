@@ -30,9 +30,10 @@ def standardised(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataF
     return held.select(*[scale(c).alias(c) if c in columns else rows[c] for c in rows.columns])
 
 
-def bagged_scores(positives: DataFrame, unlabeled: DataFrame, columns: list[str], key: str, iterations: int, m: int, trees: int = 20, seed: int = 42) -> DataFrame:
+def bagged_scores(positives: DataFrame, unlabeled: DataFrame, columns: list[str], key: str, iterations: int, m: int, trees: int = 100, seed: int = 42, depth: int = 30) -> DataFrame:
     """``key, iteration, p``: in each iteration a random forest learns positives against m drawn
-    unlabeled rows and scores those that were not drawn."""
+    unlabeled rows and scores those that were not drawn. A depth of 30 is the greatest that
+    Spark has."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -43,7 +44,7 @@ def bagged_scores(positives: DataFrame, unlabeled: DataFrame, columns: list[str]
         own = drawn.where(F.col("iteration") == i)
         train = positives.select(*columns, F.lit(1.0).alias("label")).unionByName(own.where("in_bag").select(*columns, F.lit(0.0).alias("label")))
         rows = standardised(train, train, columns)
-        model = RandomForestClassifier(numTrees=trees, maxDepth=8, seed=seed + i).fit(assembler.transform(rows))
+        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed + i).fit(assembler.transform(rows))
         rest = assembler.transform(standardised(train, own.where("not in_bag").select(key, *columns), columns))
         scored = model.transform(rest).select(key, F.lit(i).alias("iteration"), vector_to_array("probability")[1].alias("p"))
         out = scored if out is None else out.unionByName(scored)

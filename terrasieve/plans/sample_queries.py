@@ -134,8 +134,8 @@ def group_safe_kfold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def random_forest_pu(spark: SparkSession, sf: str) -> DataFrame:
-    columns = [f"f{i}" for i in range(6)]
+    columns = [f"f{i}" for i in range(64)]
     rows = table(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)])
     positives = rows.where("label = 0")
-    scored = P.bagged_scores(positives, rows.where("label <> 0"), columns, "vec_id", 3, positives.count(), trees=10)
+    scored = P.bagged_scores(positives, rows.where("label <> 0"), columns, "vec_id", 50, positives.count())
     return P.reliable_negatives(P.tally_votes(scored, "vec_id", "p", 0.5), 0.5)

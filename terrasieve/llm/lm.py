@@ -6,29 +6,31 @@ Tokens are lower-cased words and one end. Two things are learned from the traini
   each distinct word once, as a 64-bit hash with its count there, to a range of hashes; the
   range answers with the total of each hash, in the order sent. No vocabulary is ever whole in
   one place, and a word that is in every document is one row a chunk.
-* a model over subword ids, in numpy. Ids are byte-pair ids of each word with a space before it,
-  from the first ``IDS`` ranks of a rank file (ranks only build on lower ones, so that is a
-  vocabulary of its own). One block of masked self-attention and one of feed-forward, with
-  residuals and root-mean-square norms; the next id is predicted in two steps, first its class,
-  then its place in the class. Classes go by counts over all training rows, ids that open a word
-  (or end the text) apart from those that go on with one, and the output biases start from the
-  logs of the counts.
+* a model over subword ids (``attention``). Ids are byte-pair ids of each word with a space
+  before it, from the first ``IDS`` ranks of a rank file (ranks only build on lower ones, so that
+  is a vocabulary of its own). Classes of ids go by counts over all training rows, ids that open
+  a word (or end the text) apart from those that go on with one, and the output biases start
+  from the logs of the counts.
 
 Training: one pass over every window of every training document, at all sizes. A chunk is a
-replica, and its windows are dealt to ``ROUNDS`` rounds; in a round every replica takes Adam
-steps from the current weights over its windows of that round, and weights are averaged by
-windows seen: by task, by group and then over groups. More data means more replicas, not longer
-ones.
+replica, and its windows, side by side, are dealt to ``ROUNDS`` rounds; in a round every replica
+takes Adam steps from the current weights over its windows of that round, and weights are
+averaged by windows seen: by task, then in a tree of ``FAN_IN``. More data means more replicas,
+not longer ones.
 
 Scoring: windows of ``WIDTH`` ids overlap by ``CONTEXT``; each id is scored once, in the window
 that gives it at least so much to look back on (less only at the start of a text). The ids of a
 word and the chance that it stops there make the word's probability. The score is the sum of its
 log10 over the words and the end: the network's alone, counts of words have no part in it.
 
+Texts are read once: what training and scoring need of a chunk (ids, and the place of each word
+in what was sent) is a table bucketed by chunk, so that answers meet it without moving it.
+
 Null text is empty: one token, the end. Rows with a null ``doc_id`` are scored, never learned
 from, and are not held out. Repeated rows count each. An empty table gives an empty result;
 without training rows counts are 0 and the model is its start. Columns besides ``doc_id`` and
-``text`` are ignored. Texts are scored whole.
+``text`` are ignored. Texts are scored whole, however long: a document longer than a chunk is a
+chunk.
 """
 
 from __future__ import annotations
@@ -36,10 +38,8 @@ from __future__ import annotations
 import base64
 import contextlib
 import ctypes
-import itertools
 import math
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,18 +48,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import chunk_table, rows
+from .attention import (
+    CONTEXT,
+    IDS,
+    RATE,
+    SCORE_BATCH,
+    WIDTH,
+    log_probabilities,
+    n_classes,
+    slots,
+    start_weights,
+    take_steps,
+    views,
+)
+from .chunks import packed, rows, write_table
 from .common import materialise, texts
 
 CHUNK_BYTES = 4_000_000
 RANGE_WORDS = 1_000_000
-IDS = 4096
-WIDTH, CONTEXT = 32, 6
-DIM, HIDDEN = 16, 32
-CLASS = 64
 ROUNDS = 4
-BATCH, RATE = 32, 0.03
-SCORE_BATCH = 384
+FAN_IN = 32
 ADD = 0.1
 
 
@@ -88,290 +96,111 @@ class Subwords:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each word's begin (one more for the end)."""
-        ids = np.array(self.encoding.encode_ordinary(b"".join([b" " + w for w in words]).decode("utf-8", "replace")), np.int32)
+        joined = b"".join([b" " + w for w in words]).decode("utf-8", "replace")
+        ids = np.array(self.encoding.encode_ordinary(joined), np.int32)
         return ids, np.append(np.flatnonzero(self.opens[ids]), len(ids)) if len(ids) else np.zeros(1, np.int64)
 
 
+_GAP = np.zeros(256, bool)
+_GAP[[32, *range(9, 14)]] = True
+_BYTE = np.random.default_rng(20240301).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word of a chunk, from running sums of its bytes."""
+    n = len(data) + 1
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up), np.cumprod(down, out=down)
+    total = np.zeros(n, np.uint64)
+    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+    return (total[end] - total[start]) * down[start]
+
+
 class Text:
     """A chunk's words: distinct ones, their hashes, and the number of each word in order."""
 
-    def __init__(self, row: dict):
+    def __init__(self, ids: list[int | None], raw: list[bytes]):
         import xxhash
 
-        self.ids, blob, at = row["ids"], row["blob"].lower(), 0
-        known: dict[bytes, int] = defaultdict(itertools.count().__next__)
-        parts = []
-        for n in row["sizes"]:
-            parts.append(np.array(list(map(known.__getitem__, blob[at : at + n].split())), np.int64))
-            at += n
-        self.words = list(known)
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        self.number = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.ids, blob = ids, b" ".join(raw).lower()
+        data = np.frombuffer(blob, np.uint8)
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = ~_GAP[data]
+        turn = np.diff(inside)
+        start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        begin = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
+        self.lengths = np.bincount(np.searchsorted(begin, start, "right") - 1, minlength=len(raw)).astype(np.int64)
+        key = _word_keys(data, start, end)
+        order = np.argsort(key)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[order[1:]] != key[order[:-1]]
+        self.number = np.empty(len(key), np.int64)
+        self.number[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        self.words = [blob[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         digest = xxhash.xxh64_intdigest
-        self.hashes = np.fromiter((digest(w) or 1 for w in self.words), np.uint64, len(self.words))
-        crc = [None if i is None else zlib.crc32(str(i).encode()) for i in self.ids]
+        self.hashes = np.fromiter((digest(w) for w in self.words), np.uint64, len(self.words))
+        crc = [None if i is None else zlib.crc32(str(i).encode()) for i in ids]
         self.held_out = np.array([c is not None and c % 10 == 0 for c in crc], bool)
         self.train = np.array([c is not None and c % 10 != 0 for c in crc], bool)
 
     def training_counts(self) -> np.ndarray:
         return np.bincount(self.number[np.repeat(self.train, self.lengths)], minlength=len(self.words))
 
-    def subwords(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray]:
-        """All documents' ids one after the other, each ended by IDS, and their lengths."""
-        return self.spelled(*sub.encode(self.words))
-
-    def spelled(self, flat: np.ndarray, edge: np.ndarray, number: np.ndarray | None = None, words_in: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The same for documents of ``words_in`` words each, whose words have these numbers."""
-        number, words_in = (self.number, self.lengths) if number is None else (number, words_in)
-        size = np.diff(edge)[number]
-        doc = np.repeat(np.arange(len(words_in)), words_in)
-        lengths = np.bincount(doc, size, minlength=len(words_in)).astype(np.int64)
-        out = np.full(int((lengths + 1).sum()), IDS, np.int32)
-        before = np.cumsum(size) - size
-        source = np.arange(int(size.sum())) - np.repeat(before, size) + np.repeat(edge[:-1][number], size)
-        out[np.arange(int(size.sum())) + np.repeat(doc, size)] = flat[source]  # an end stands before each later document
-        return out, lengths + 1
-
-    def training_ids(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and lengths of the training documents, and counts of all training ids."""
+    def subwords(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All documents' ids one after the other, each ended by IDS, their lengths, and the
+        counts of ids in the training documents."""
         flat, edge = sub.encode(self.words)
         counts = np.bincount(flat, np.repeat(self.training_counts(), np.diff(edge)), minlength=IDS + 1).astype(np.int64)
         counts[IDS] = self.train.sum()
-        own = np.repeat(self.train, self.lengths)
-        return *self.spelled(flat, edge, self.number[own], self.lengths[self.train]), counts
-
-
-def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and number in it of every window."""
-    count = 1 + np.maximum(0, -(-(lengths - WIDTH) // (WIDTH - CONTEXT)))
-    doc = np.repeat(np.arange(len(lengths)), count)
-    return doc, np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        size = np.diff(edge)[self.number]
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        lengths = np.bincount(doc, size, minlength=len(self.lengths)).astype(np.int64)
+        out = np.full(int((lengths + 1).sum()), IDS, np.int16)
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum()))
+        # An end stands before each later document.
+        out[place + np.repeat(doc, size)] = flat[place + np.repeat(edge[:-1][self.number] - before, size)]
+        return out, lengths + 1, counts
 
 
-def windows(ids: np.ndarray, lengths: np.ndarray, kept: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, lengths: np.ndarray, overlap: int = CONTEXT, kept: slice = slice(None)) -> tuple[np.ndarray, ...]:
     """Inputs, targets (-1: not there), first scored column, document and first place (in all
-    ids) of every window (or of those kept). The input at a place is the id before it, the end
-    at the start of a document."""
-    doc, k = (x[kept] for x in places(lengths))
+    ids) of every window, or of those kept. The input at a place is the id before it, the end at
+    the start of a document."""
+    step = WIDTH - overlap
+    count = 1 + np.maximum(0, -(-(lengths - WIDTH) // step))
+    doc = np.repeat(np.arange(len(lengths)), count)[kept]
+    k = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))[kept]
     start = np.cumsum(lengths) - lengths
-    rel = k[:, None] * (WIDTH - CONTEXT) + np.arange(WIDTH)
+    rel = k[:, None] * step + np.arange(WIDTH)
     there = rel < lengths[doc][:, None]
     at = np.where(there, start[doc][:, None] + rel, 0)
-    target = np.where(there, ids[at], -1)
-    given = np.where((rel == 0) | ~there, IDS, ids[np.maximum(at - 1, 0)])
-    return given, target, np.where(k > 0, CONTEXT, 0), doc, start[doc] + k * (WIDTH - CONTEXT)
-
-
-# ---- the model -------------------------------------------------------------------------------
-
-
-def slots(counts: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, int]:
-    """Place of each id, class and member are place // and % CLASS, and the number of classes
-    that open a word. Within both groups ids stand in the order of their counts."""
-    place = np.empty(len(counts), np.int32)
-    order = np.argsort(-counts, kind="stable")
-    first, rest = order[opens[order]], order[~opens[order]]
-    n = -(-len(first) // CLASS)
-    place[first], place[rest] = np.arange(len(first)), n * CLASS + np.arange(len(rest))
-    return place, n
-
-
-def start_weights(counts: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(7)
-    n = int(place.max()) // CLASS + 1
-    draw = lambda *shape, scale: (rng.normal(size=shape) * scale).astype(np.float32)
-    w = {
-        "E": draw(len(counts), DIM, scale=0.5),
-        "P": draw(WIDTH, DIM, scale=0.1),
-        "Q": draw(DIM, DIM, scale=DIM**-0.5),
-        "K": draw(DIM, DIM, scale=DIM**-0.5),
-        "V": draw(DIM, DIM, scale=DIM**-0.5),
-        "O": draw(DIM, DIM, scale=DIM**-0.5),
-        "A": draw(DIM, HIDDEN, scale=DIM**-0.5),
-        "a": np.zeros(HIDDEN, np.float32),
-        "B": draw(HIDDEN, DIM, scale=HIDDEN**-0.5),
-        "C": draw(DIM, n, scale=0.1),
-        "U": draw(n, DIM, CLASS, scale=0.1),
-    }
-    by = np.full(n * CLASS, -1.0)
-    by[place] = np.log(counts + 0.5)
-    by = by.reshape(n, CLASS)
-    w["c"] = np.log(np.where(by > -1, np.exp(by), 0).sum(axis=1)).astype(np.float32)
-    w["u"] = np.where(by == -1.0, -30.0, by).astype(np.float32)  # places that no id has
-    w["c"] -= w["c"].max()
-    w["u"] -= w["u"].max(axis=1, keepdims=True)
-    return w
-
-
-_PAST = np.tril(np.ones((WIDTH, WIDTH), np.float32))
-
-
-_ONES = np.ones((WIDTH, 1), np.float32)
-
-
-def _norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    r = 1 / np.sqrt(np.einsum("...d,...d->...", x, x)[..., None] / DIM + 1e-5)
-    return x * r, r
-
-
-def _norm_back(dy: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return (dy - y * (np.einsum("...d,...d->...", dy, y)[..., None] / DIM)) * r
-
-
-def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The last axis times a matrix, as one product of two matrices."""
-    return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], -1)
-
-
-def _body(w: dict, given: np.ndarray) -> tuple:
-    x = w["E"][given] + w["P"]
-    n1, r1 = _norm(x)
-    q, k, v = _times(n1, w["Q"] * np.float32(DIM**-0.5)), _times(n1, w["K"]), _times(n1, w["V"])
-    s = q @ k.transpose(0, 2, 1)
-    if np.linalg.norm(w["Q"] @ w["K"].T) * DIM**0.5 > 30:  # normed rows have the length of DIM ** 0.5
-        np.minimum(s, 30, out=s)
-    np.exp(s, out=s)
-    s *= _PAST
-    s *= 1 / _times(s, _ONES)
-    o = s @ v
-    y = x + _times(o, w["O"])
-    n2, r2 = _norm(y)
-    f = _times(n2, w["A"])
-    f += w["a"]
-    np.maximum(f, 0, out=f)
-    z = y + _times(f, w["B"])
-    h, r3 = _norm(z)
-    return n1, r1, q, k, v, s, o, n2, r2, f, h, r3
-
-
-def log_probabilities(w: dict, place: np.ndarray, opening: int, given: np.ndarray, target: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Natural logs of the probabilities of the targets that are scored and of the chance that
-    a word opens (or the text ends) there; windows and columns of them."""
-    row, col = np.nonzero((target >= 0) & (np.arange(WIDTH) >= first[:, None]))
-    slot = place[target[row, col]]
-    order = np.argsort((slot // CLASS).astype(np.int16), kind="stable")  # by class
-    row, col, slot = row[order], col[order], slot[order]
-    h = _body(w, given)[-2].reshape(-1, DIM)[row * WIDTH + col]
-    c, m = slot // CLASS, slot % CLASS
-    top = h @ w["C"] + w["c"]
-    length = DIM**0.5  # of rows of h
-    if (length * np.linalg.norm(w["C"], axis=0) + w["c"]).max() > 80:
-        np.minimum(top, 80, out=top)
-    lows_capped = (length * np.linalg.norm(w["U"], axis=1) + w["u"]).max() > 80
-    n, classes = top.shape
-    chosen = top.ravel()[np.arange(n) * classes + c]
-    np.exp(top, out=top)
-    parts = np.ones((classes, 2), np.float32)
-    parts[opening:, 1] = 0
-    sums = top @ parts  # of all classes, and of those that open a word
-    lows, low_sums, ones = np.empty(n, np.float32), np.empty(n, np.float32), np.ones(CLASS, np.float32)
-    edge = np.searchsorted(c, np.arange(classes + 1))
-    for k in range(classes):
-        a, b = edge[k], edge[k + 1]
-        if a < b:
-            low = h[a:b] @ w["U"][k]
-            low += w["u"][k]
-            if lows_capped:
-                np.minimum(low, 80, out=low)
-            lows[a:b] = low.ravel()[np.arange(0, (b - a) * CLASS, CLASS) + m[a:b]]
-            np.exp(low, out=low)
-            low_sums[a:b] = low @ ones
-    out = chosen.astype(np.float64) + lows - np.log(sums[:, 0]) - np.log(low_sums)
-    return out, np.log(np.maximum(sums[:, 1] / sums[:, 0], 1e-30)), row, col
-
-
-def _logsum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-
-
-def gradients(w: dict, place: np.ndarray, given: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the targets, and its gradient."""
-    n1, r1, q, k, v, s, o, n2, r2, f, h, r3 = _body(w, given)
-    g = {name: np.zeros_like(x) for name, x in w.items()}
-    row, col = np.nonzero(target >= 0)
-    hh, slot = h[row, col], place[target[row, col]]
-    c, m, n = slot // CLASS, slot % CLASS, len(row)
-    top = hh @ w["C"] + w["c"]
-    p = np.exp(top - _logsum(top)[:, None])
-    loss = -np.log(np.maximum(p[np.arange(n), c], 1e-30)).sum()
-    p[np.arange(n), c] -= 1
-    p /= n
-    g["C"], g["c"] = hh.T @ p, p.sum(axis=0)
-    dh = p @ w["C"].T
-    order = np.argsort(c, kind="stable")
-    edge = np.searchsorted(c[order], np.arange(len(w["U"]) + 1))
-    for j in np.unique(c):
-        own = order[edge[j] : edge[j + 1]]
-        low = hh[own] @ w["U"][j] + w["u"][j]
-        p = np.exp(low - _logsum(low)[:, None])
-        loss -= np.log(np.maximum(p[np.arange(len(own)), m[own]], 1e-30)).sum()
-        p[np.arange(len(own)), m[own]] -= 1
-        p /= n
-        g["U"][j], g["u"][j] = hh[own].T @ p, p.sum(axis=0)
-        dh[own] += p @ w["U"][j].T
-    full = np.zeros_like(h)
-    full[row, col] = dh
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    dz = _norm_back(full, h, r3)
-    g["B"] = flat(f).T @ flat(dz)
-    df = (dz @ w["B"].T) * (f > 0)
-    g["A"], g["a"] = flat(n2).T @ flat(df), flat(df).sum(axis=0)
-    dy = dz + _norm_back(df @ w["A"].T, n2, r2)
-    g["O"] = flat(o).T @ flat(dy)
-    do = dy @ w["O"].T
-    ds = do @ v.transpose(0, 2, 1)
-    dv = s.transpose(0, 2, 1) @ do
-    ds = s * (ds - np.einsum("bij,bij->bi", ds, s)[..., None])
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    scale = np.float32(DIM**-0.5)
-    g["Q"], g["K"], g["V"] = flat(n1).T @ flat(dq) * scale, flat(n1).T @ flat(dk), flat(n1).T @ flat(dv)
-    dn1 = dq @ (w["Q"] * scale).T + dk @ w["K"].T + dv @ w["V"].T
-    dx = dy + _norm_back(dn1, n1, r1)
-    g["P"] = dx.sum(axis=0)
-    sort = np.argsort(given.ravel(), kind="stable")
-    ids, at = np.unique(given.ravel()[sort], return_index=True)
-    g["E"][ids] = np.add.reduceat(flat(dx)[sort], at, axis=0)
-    return float(loss) / n, g
-
-
-def pack_weights(w: dict[str, np.ndarray]) -> bytes:
-    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype("<f4").tobytes()
-
-
-def unpack_weights(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    flat, at, out = np.frombuffer(raw, "<f4"), 0, {}
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
-        at += like[k].size
-    return out
+    target = np.where(there, ids[at], -1).astype(np.int32)
+    given = np.where((rel == 0) | ~there, IDS, ids[np.maximum(at - 1, 0)]).astype(np.int32)
+    return given, target, np.where(k > 0, overlap, 0), doc, start[doc] + k * step
 
 
-def take_steps(w: dict, place: np.ndarray, given: np.ndarray, target: np.ndarray, rate: float, passes: int, seed: int) -> dict:
-    """Adam over shuffled batches; the rate falls to a half over the steps."""
-    w = {k: x.copy() for k, x in w.items()}
-    m1, m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    rng, t = np.random.default_rng(seed), 0
-    total = passes * -(-len(given) // BATCH)
-    for _ in range(passes):
-        order = rng.permutation(len(given))
-        for a in range(0, len(order), BATCH):
-            own = order[a : a + BATCH]
-            if not (target[own] >= 0).any():
-                continue
-            _, g = gradients(w, place, given[own], target[own])
-            t += 1
-            step = rate * (1 - 0.5 * t / total) * math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            for k, x in g.items():
-                m1[k] += np.float32(0.1) * (x - m1[k])
-                m2[k] += np.float32(0.01) * (x * x - m2[k])
-                w[k] -= np.float32(step) * m1[k] / (np.sqrt(m2[k]) + np.float32(1e-8))
-    return w
+def round_windows(ids: np.ndarray, lengths: np.ndarray, learn: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of the windows that a replica trains on in round r. Windows stand side
+    by side, so each id of its training documents is a target once in all rounds."""
+    given, target, *_ = windows(ids[np.repeat(learn, lengths)], lengths[learn], 0, slice(r, None, ROUNDS))
+    return given, target
 
 
 # ---- Spark -----------------------------------------------------------------------------------
 
 
+def _tree(parts: DataFrame, n: int, combine, schema: str) -> list:
+    """The rows of ``parts (g, ...)`` for g in 0 to n - 1, combined by FAN_IN until few are left."""
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.withColumn("g", F.pmod("g", F.lit(n))).groupBy("g").applyInPandas(combine, f"g long, {schema}")
+    return parts.collect()
+
+
 def _sent(text: Text, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order in which a chunk's words are sent, the range of each in this order, and its cuts."""
     own = (text.hashes >> np.uint64(32)).astype(np.int64) % ranges
@@ -388,57 +217,71 @@ def _totals(sent: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(inverse, n).astype(np.int64)
     told = total[inverse].astype("<u8")
     edge = np.cumsum([0] + [len(x) // 8 for x in sent["hashes"]])
-    out = [(c, r, told[a:b].tobytes()) for c, r, a, b in zip(sent["chunk"], sent["range"], edge[:-1], edge[1:], strict=True)]
-    out.append((None, sent["range"].iloc[0], np.array([(total > 0).sum(), total.sum()], "<u8").tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "range", "totals"]).astype({"chunk": "Int64"})
+    parts = zip(sent["chunk"], sent["range"], edge[:-1], edge[1:], strict=True)
+    out = [(c, r, told[a:b].tobytes(), None, None) for c, r, a, b in parts]
+    out.append((None, sent["range"].iloc[0], None, int((total > 0).sum()), int(total.sum())))
+    return pd.DataFrame(out, columns=["chunk", "range", "totals", "v", "n"]).astype({"chunk": "Int64", "v": "Int64", "n": "Int64"})
 
 
 def _add_up(some: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"counts": [sum(np.frombuffer(x, "<i8") for x in some["counts"]).tobytes()]})
+    total = sum(np.frombuffer(x, "<i8") for x in some["counts"])
+    return pd.DataFrame({"g": some["g"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def round_windows(ids: np.ndarray, lengths: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets of the windows that a replica trains on in round r: each window of its
-    documents is in one round."""
-    given, target, *_ = windows(ids, lengths, slice(r, None, ROUNDS))
-    return given, target
+def _mean(some: pd.DataFrame) -> pd.DataFrame:
+    share = some["n"] / some["n"].sum()
+    w = sum(np.frombuffer(x, "<f4") * np.float32(s) for x, s in zip(some["w"], share, strict=True))
+    return pd.DataFrame({"g": some["g"].iloc[:1], "n": [int(some["n"].sum())], "w": [w.astype("<f4").tobytes()]})
 
 
-def _replicas(now: bytes, like: dict, place: np.ndarray, rate: float, r: int):
+def _replicas(now: np.ndarray, place: np.ndarray, rate: float, r: int):
     """A task's part of a round: its replicas go from the weights of now to their own, and
     their mean, by windows, is what it answers."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         _keep_memory()
-        n, total = 0, 0.0
+        n, total = 0, np.zeros(len(now))
         for part in parts:
-            for ids, lengths in zip(part["trained"], part["lengths"], strict=True):
-                given, target = round_windows(np.frombuffer(ids, "<i2").astype(np.int32), np.frombuffer(lengths, "<i8"), r)
+            for ids, lengths, learn in zip(part["subwords"], part["lengths"], part["learn"], strict=True):
+                own = np.frombuffer(ids, "<i2"), np.frombuffer(lengths, "<i8"), np.frombuffer(learn, bool)
+                given, target = round_windows(*own, r)
                 if len(given):
-                    out = take_steps(unpack_weights(now, like), place, given, target, rate, 1, 100 + r)
-                    n, total = n + len(given), total + np.frombuffer(pack_weights(out), "<f4") * float(len(given))
+                    n, total = n + len(given), total + take_steps(now, place, given, target, rate, 100 + r) * float(len(given))
         if n:
-            yield pd.DataFrame({"n": [n], "w": [(total / n).astype("<f4").tobytes()]})
+            yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "n": [n], "w": [(total / n).astype("<f4").tobytes()]})
 
     return run
 
 
-def _mean(some: pd.DataFrame) -> pd.DataFrame:
-    share = some["n"] / some["n"].sum()
-    w = sum(np.frombuffer(x, "<f4") * np.float32(s) for x, s in zip(some["w"], share, strict=True))
-    return pd.DataFrame({"n": [int(some["n"].sum())], "w": [w.astype("<f4").tobytes()]})
-
-
-def train(replicas: DataFrame, counts: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights from replicas (``trained, lengths``: packed ids and lengths of documents)."""
-    w = start_weights(counts, place)
+def train(replicas: DataFrame, counts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Weights from replicas (``subwords, lengths, learn``: packed ids and lengths of documents,
+    and which of them are for training)."""
+    flat, n = start_weights(counts, place), replicas.rdd.getNumPartitions()
     for r in range(ROUNDS):
-        run = _replicas(pack_weights(w), {k: np.empty(x.shape, np.float32) for k, x in w.items()}, place, RATE * (1 - r / ROUNDS), r)
-        means = replicas.mapInPandas(run, "n long, w binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
-        trained = means.groupBy("g").applyInPandas(lambda some: _mean(some), "n long, w binary").toPandas()
-        if len(trained):
-            w = unpack_weights(_mean(trained)["w"].iloc[0], w)
-    return w
+        means = replicas.mapInPandas(_replicas(flat, place, RATE * (1 - r / ROUNDS), r), "g long, n long, w binary")
+        found = _tree(means, n, _mean, "n long, w binary")
+        if found:
+            flat = np.frombuffer(_mean(pd.DataFrame([x.asDict() for x in found]))["w"].iloc[0], "<f4").copy()
+    return flat
+
+
+def word_scores(w: dict, place: np.ndarray, opening: int, opens: np.ndarray, ids: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The log10 probability of each document of so many ids and words."""
+    given, target, first, _, start = windows(ids, lengths)
+    lp, lo = np.zeros(len(ids)), np.zeros(len(ids))
+    for a in range(0, len(given), SCORE_BATCH):
+        own = slice(a, a + SCORE_BATCH)
+        p, o, r, k = log_probabilities(w, place, opening, given[own], target[own], first[own])
+        at = start[own][r] + k
+        lp[at], lo[at] = p, o
+    # The chance that a word opens is what stops the word before; at the start it is 1.
+    begin = np.flatnonzero(opens[ids])
+    lp[begin] -= lo[begin]
+    ended = np.append(lo[begin[1:]], 0.0)
+    each = np.add.reduceat(lp, begin) + np.where(ids[begin] == IDS, 0.0, ended)
+    return np.bincount(np.repeat(np.arange(len(lengths)), words + 1), each / math.log(10), minlength=len(lengths))
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -449,80 +292,100 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = texts(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = chunk_table(own, total, CHUNK_BYTES).select("chunk", "ids", "sizes", "blob")
     ranges = max(1, -(-total // (24 * RANGE_WORDS)))
-
-    gathered_schema = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("trained", pa.binary()), ("lengths", pa.binary()), ("id_counts", pa.binary())])
+    schema = (
+        "chunk long, range long, hashes binary, counts binary, "
+        "ids array<long>, held_out array<boolean>, learn binary, words binary, lengths binary, subwords binary, number binary, id_counts binary"
+    )
+    binary = ("hashes", "counts", "learn", "words", "lengths", "subwords", "number", "id_counts")
+    fields = [("chunk", pa.int64()), ("range", pa.int64()), ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))]
+    kinds = dict(fields) | {k: pa.binary() for k in binary}
+    layout = pa.schema([(part.split()[0], kinds[part.split()[0]]) for part in schema.split(", ")])
 
     def gather(batches):
-        """Words with counts by range, documents to train on, counts of ids: one pass for all."""
+        """What a chunk sends to ranges of words, and what training and scoring need of it."""
         _keep_memory()
         sub = Subwords(path)
-        for row in rows(batches):
-            t, out = Text(row), []
+        for chunk, ids, raw in packed(batches, CHUNK_BYTES):
+            t = Text(ids, raw)
             order, own, cuts = _sent(t, ranges)
+            where = np.empty(len(order), np.int32)
+            where[order] = np.arange(len(order))
+            out = []
             if len(order):
                 h, n = t.hashes[order].astype("<u8"), t.training_counts()[order].astype("<u4")
-                out += [{"range": r, "hashes": x.tobytes(), "counts": y.tobytes()} for r, x, y in zip(own[np.append(0, cuts)].tolist(), np.split(h, cuts), np.split(n, cuts), strict=True)]
-            ids, lengths, id_counts = t.training_ids(sub)
-            if len(lengths):
-                out.append({"trained": ids.astype("<i2").tobytes(), "lengths": lengths.astype("<i8").tobytes()})
-            out.append({"id_counts": id_counts.astype("<i8").tobytes()})
-            yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"]} | x for x in out], schema=gathered_schema)
-
-    gathered = materialise(chunks.mapInArrow(gather, "chunk long, range long, hashes binary, counts binary, trained binary, lengths binary, id_counts binary"), "lm-gathered")
+                sent = zip(own[np.append(0, cuts)].tolist(), np.split(h, cuts), np.split(n, cuts), strict=True)
+                out += [{"range": r, "hashes": x.tobytes(), "counts": y.tobytes()} for r, x, y in sent]
+            subwords, lengths, counts = t.subwords(sub)
+            out.append(
+                {
+                    "ids": t.ids,
+                    "held_out": t.held_out.tolist(),
+                    "learn": t.train.tobytes(),
+                    "words": t.lengths.tobytes(),
+                    "lengths": lengths.tobytes(),
+                    "subwords": subwords.astype("<i2").tobytes(),
+                    "number": where[t.number].astype("<i4").tobytes(),
+                    "id_counts": counts.astype("<i8").tobytes(),
+                }
+            )
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk} | x for x in out], schema=layout)
+
+    gathered, drop = write_table(own.mapInArrow(gather, schema), total)
     sent = gathered.where("range is not null").select("chunk", "range", "hashes", "counts")
-    answers = materialise(sent.groupBy("range").applyInPandas(_totals, "chunk long, range long, totals binary"), "lm-words")
+    answers = sent.groupBy("range").applyInPandas(_totals, "chunk long, range long, totals binary, v long, n long")
+    answers = materialise(answers, "lm-words")
+    found = answers.where("chunk is null").agg(F.sum("v"), F.sum("n")).first()
+    each = gathered.where("ids is not null")
 
-    def sums(some: pd.DataFrame) -> pd.DataFrame:
-        v, n = np.frombuffer(b"".join(some["totals"]), "<u8").reshape(-1, 2).sum(axis=0).tolist()
-        return pd.DataFrame({"v": [v], "n": [n]})
+    def add(parts):
+        from pyspark import TaskContext
+
+        total = None
+        for part in parts:
+            for x in part["id_counts"]:
+                total = np.frombuffer(x, "<i8") + (0 if total is None else total)
+        if total is not None:
+            yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "counts": [total.tobytes()]})
 
-    # Ranges and chunks are summed in 64 groups, whatever their number.
-    found = answers.where("chunk is null").groupBy(F.pmod("range", F.lit(64))).applyInPandas(sums, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    parts = gathered.where("id_counts is not null").select(F.col("id_counts").alias("counts"), F.pmod(F.xxhash64("chunk"), F.lit(64)).alias("g")).groupBy("g").applyInPandas(_add_up, "counts binary").collect()
+    parts = each.select("id_counts").mapInPandas(add, "g long, counts binary")
+    parts = _tree(parts, each.rdd.getNumPartitions(), _add_up, "counts binary")
     counts = sum((np.frombuffer(r.counts, "<i8") for r in parts), np.zeros(IDS + 1, np.int64))
     ends = int(counts[IDS])
     big_v, big_n = int(found[0] or 0) + (ends > 0), int(found[1] or 0) + ends
     opens = np.append(Subwords(path).opens, True)
     place, opening = slots(counts, opens)
-    w = train(gathered.where("trained is not null").select("trained", "lengths"), counts, place)
-    packed, like = pack_weights(w), {k: np.empty(x.shape, np.float32) for k, x in w.items()}
+    flat = train(each.select("subwords", "lengths", "learn"), counts, place)
     low = big_n + ADD * (big_v + 1)
     log_end = math.log10((ends + ADD) / low)
-    out_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def finish(batches):
         _keep_memory()
-        sub, model = Subwords(path), unpack_weights(packed, like)
+        model = views(flat, n_classes(place))
         for row in rows(batches):
-            t = Text(row)
-            order, own, cuts = _sent(t, ranges)
-            totals = np.zeros(len(order), np.int64)
-            told = {a["range"]: a["totals"] for a in row["answers"] or []}
-            if len(order):
-                totals[order] = np.concatenate([np.frombuffer(told[r], "<u8") for r in own[np.append(0, cuts)].tolist()]).astype(np.int64)
-            doc = np.repeat(np.arange(len(t.lengths)), t.lengths)
-            c = totals[t.number]
-            base = np.bincount(doc, np.log10((c + ADD) / low), minlength=len(t.lengths)) + log_end
-            known = np.bincount(doc, c > 0, minlength=len(t.lengths)).astype(np.int64) + (ends > 0)
-            ids, lengths = t.subwords(sub)
-            given, target, first, _, start = windows(ids, lengths)
-            lp, lo = np.zeros(len(ids)), np.zeros(len(ids))
-            for a in range(0, len(given), SCORE_BATCH):
-                own = slice(a, a + SCORE_BATCH)
-                p, o, r, k = log_probabilities(model, place, opening, given[own], target[own], first[own])
-                at = start[own][r] + k
-                lp[at], lo[at] = p, o
-            # The chance that a word opens is what stops the word before; at the start it is 1.
-            begin = np.flatnonzero(opens[ids])
-            lp[begin] -= lo[begin]
-            ended = np.append(lo[begin[1:]], 0.0)
-            word = np.add.reduceat(lp, begin) + np.where(ids[begin] == IDS, 0.0, ended)
-            result = np.bincount(np.repeat(np.arange(len(lengths)), t.lengths + 1), word / math.log(10), minlength=len(lengths))
-            n = len(t.lengths)
-            columns = [pa.array(t.ids, pa.int64()), pa.array(t.held_out), pa.array(t.lengths + 1), pa.array(known), pa.array(np.full(n, big_n)), pa.array(base), pa.array(result)]
-            yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
+            words, lengths = np.frombuffer(row["words"], "<i8"), np.frombuffer(row["lengths"], "<i8")
+            told = sorted((a["range"], a["totals"]) for a in row["answers"] or [])
+            totals = np.frombuffer(b"".join(x for _, x in told), "<u8").astype(np.int64)
+            doc = np.repeat(np.arange(len(words)), words)
+            c = totals[np.frombuffer(row["number"], "<i4")]
+            base = np.bincount(doc, np.log10((c + ADD) / low), minlength=len(words)) + log_end
+            known = np.bincount(doc, c > 0, minlength=len(words)).astype(np.int64) + (ends > 0)
+            result = word_scores(model, place, opening, opens, np.frombuffer(row["subwords"], "<i2"), lengths, words)
+            columns = [
+                pa.array(row["ids"], pa.int64()),
+                pa.array(row["held_out"], pa.bool_()),
+                pa.array(words + 1),
+                pa.array(known),
+                pa.array(np.full(len(words), big_n)),
+                pa.array(base),
+                pa.array(result),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=list(names))
 
     by_chunk = answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("answers"))
-    return chunks.join(by_chunk, "chunk", "left").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    held = each.select("chunk", "ids", "held_out", "words", "lengths", "subwords", "number").join(by_chunk, "chunk", "left")
+    out = held.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = materialise(out, "lm-scores")
+    drop()
+    return out

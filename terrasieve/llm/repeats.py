@@ -197,7 +197,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of every row."""
     own = texts(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = chunk_table(own, total, CHUNK_BYTES)
+    chunks, _ = chunk_table(own, total, CHUNK_BYTES)
     first_ranges = max(1, -(-total * len(COVER) // (PERIOD * RANGE_HASHES)))
     second_ranges = max(1, -(-total // (4 * RANGE_HASHES)))
     copies = _copies(chunks)

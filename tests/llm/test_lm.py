@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from terrasieve.llm import attention as A
 from terrasieve.llm import lm as L
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,9 +49,9 @@ def test_base_is_exact_and_model_learns(spark):
         assert math.isfinite(g[6]) and g[6] < 0
     # Held-out texts are likelier than under the counts of subword ids alone.
     sub = L.Subwords(PATH)
-    ids = {i: np.append(sub.encode([w.encode() for w in split(t)])[0], L.IDS) for i, t in rows}
+    ids = {i: np.append(sub.encode([w.encode() for w in split(t)])[0], A.IDS) for i, t in rows}
     learn = [i for i in ids if i is not None and zlib.crc32(str(i).encode()) % 10]
-    c = np.bincount(np.concatenate([ids[i] for i in learn]), minlength=L.IDS + 1) + 0.5
+    c = np.bincount(np.concatenate([ids[i] for i in learn]), minlength=A.IDS + 1) + 0.5
     flat = {i: float(np.log10(c[x] / c.sum()).sum()) for i, x in ids.items()}
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > 0.75 * sum(flat[g[0]] for g in held)
@@ -58,19 +59,19 @@ def test_base_is_exact_and_model_learns(spark):
 
 def model():
     rng = np.random.default_rng(1)
-    counts, opens = rng.integers(0, 50, L.IDS + 1), rng.random(L.IDS + 1) < 0.4
-    place, n = L.slots(counts, opens)
-    return L.start_weights(counts, place), place, n, opens
+    counts, opens = rng.integers(0, 50, A.IDS + 1), rng.random(A.IDS + 1) < 0.4
+    place, n = A.slots(counts, opens)
+    return A.views(A.start_weights(counts, place), A.n_classes(place)), place, n, opens
 
 
 def test_probabilities_sum_to_one():
     w, place, n, opens = model()
-    given = np.random.default_rng(2).integers(0, L.IDS, (1, L.WIDTH)).astype(np.int32)
+    given = np.random.default_rng(2).integers(0, A.IDS, (1, A.WIDTH)).astype(np.int32)
     total = opened = 0.0
-    for i in range(L.IDS + 1):
-        target = np.full((1, L.WIDTH), -1, np.int32)
+    for i in range(A.IDS + 1):
+        target = np.full((1, A.WIDTH), -1, np.int32)
         target[0, 9] = i
-        p, o, _, _ = L.log_probabilities(w, place, n, given, target, np.zeros(1, int))
+        p, o, _, _ = A.log_probabilities(w, place, n, given, target, np.zeros(1, int))
         total += math.exp(p[0])
         opened += math.exp(p[0]) * opens[i]
     assert abs(total - 1) < 1e-3 and abs(opened - math.exp(o[0])) < 1e-3
@@ -78,12 +79,12 @@ def test_probabilities_sum_to_one():
 
 def test_windows_score_each_id_once_and_look_back_only():
     rng = np.random.default_rng(5)
-    lengths = np.array([1, 5, L.WIDTH, L.WIDTH + 1, 200])
-    ids = rng.integers(0, L.IDS, lengths.sum()).astype(np.int32)
+    lengths = np.array([1, 5, A.WIDTH, A.WIDTH + 1, 200])
+    ids = rng.integers(0, A.IDS, lengths.sum()).astype(np.int32)
     given, target, first, doc, start = L.windows(ids, lengths)
     seen = np.zeros(len(ids), int)
     for k in range(len(given)):
-        for c in range(first[k], L.WIDTH):
+        for c in range(first[k], A.WIDTH):
             if target[k, c] >= 0:
                 assert target[k, c] == ids[start[k] + c]
                 seen[start[k] + c] += 1
@@ -91,7 +92,7 @@ def test_windows_score_each_id_once_and_look_back_only():
     w, place, n, _ = model()
     other = given.copy()
     other[:, 20:] = 3
-    a, b = (L.log_probabilities(w, place, n, g, target, first) for g in (given, other))
+    a, b = (A.log_probabilities(w, place, n, g, target, first) for g in (given, other))
     early = a[3] < 20
     assert np.allclose(a[0][early], b[0][early], atol=1e-4)
 
@@ -99,20 +100,28 @@ def test_windows_score_each_id_once_and_look_back_only():
 def test_gradients():
     w, place, _, _ = model()
     w = {k: v.astype(np.float64) for k, v in w.items()}
+    g, other = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     rng = np.random.default_rng(4)
-    given = rng.integers(0, L.IDS, (2, L.WIDTH)).astype(np.int32)
-    target = np.where(rng.random((2, L.WIDTH)) < 0.8, rng.integers(0, L.IDS, (2, L.WIDTH)), -1).astype(np.int32)
-    _, g = L.gradients(w, place, given, target)
+    given = rng.integers(0, A.IDS, (2, A.WIDTH)).astype(np.int32)
+    target = np.where(rng.random((2, A.WIDTH)) < 0.8, rng.integers(0, A.IDS, (2, A.WIDTH)), -1).astype(np.int32)
+    A.gradients(w, place, given, target, g)
     for k in w:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         w[k][at] += 1e-5
-        up, _ = L.gradients(w, place, given, target)
+        up = A.gradients(w, place, given, target, other)
         w[k][at] -= 2e-5
-        down, _ = L.gradients(w, place, given, target)
+        down = A.gradients(w, place, given, target, other)
         w[k][at] += 1e-5
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-3 * abs(g[k][at]) + 1e-6, k
 
 
+def test_exponential_of_scores():
+    x = np.concatenate([np.linspace(-85, 85, 100_001), [0.0]]).astype(np.float32)
+    want, got = np.exp(x.astype(np.float64)), x.copy()
+    A._exp(got)
+    assert np.abs(got / want - 1).max() < 3e-4
+
+
 def test_subwords_match_words():
     sub = L.Subwords(PATH)
     ids, edge = sub.encode([b"the", "été".encode(), b"zzzqq", "日".encode()])
@@ -124,19 +133,41 @@ def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_every_training_window_is_in_one_round():
+def test_every_training_id_is_a_target_once():
     rows = [(i, "the of and " * (3 * i)) for i in range(60)] + [(None, "the " * 90)]
-    raw = [t.encode() for _, t in rows]
-    text = L.Text({"ids": [i for i, _ in rows], "sizes": [len(t) for t in raw], "blob": b"".join(raw)})
+    text = L.Text([i for i, _ in rows], [t.encode() for _, t in rows])
     sub = L.Subwords(PATH)
-    ids, lengths, counts = text.training_ids(sub)
-    learn = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
-    whole = [np.append(sub.encode([w.encode() for w in split(t)])[0], L.IDS) for t in learn]
+    ids, lengths, counts = text.subwords(sub)
+    whole = [np.append(sub.encode([w.encode() for w in split(t)])[0], A.IDS) for _, t in rows]
     assert ids.tolist() == np.concatenate(whole).tolist() and lengths.tolist() == [len(x) for x in whole]
-    assert counts.tolist() == np.bincount(ids, minlength=L.IDS + 1).tolist()
-    dealt = [np.hstack(L.round_windows(ids, lengths, r)).tolist() for r in range(L.ROUNDS)]
-    assert sorted(sum(dealt, [])) == sorted(np.hstack(L.windows(ids, lengths)[:2]).tolist())
-    assert max(map(len, dealt)) - min(map(len, dealt)) <= 1
+    learn = np.array([i is not None and zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows])
+    assert text.train.tolist() == learn.tolist()
+    own = np.concatenate([x for x, y in zip(whole, learn, strict=True) if y])
+    assert counts.tolist() == np.bincount(own, minlength=A.IDS + 1).tolist()
+    dealt = [L.round_windows(ids, lengths, learn, r) for r in range(L.ROUNDS)]
+    targets = np.concatenate([t.ravel() for _, t in dealt])
+    assert np.bincount(targets[targets >= 0], minlength=A.IDS + 1).tolist() == counts.tolist()
+    sizes = [len(g) for g, _ in dealt]
+    assert max(sizes) - min(sizes) <= 1
+    for given, target in dealt:  # the input at a place is the target before it
+        both = (target[:, 1:] >= 0) & (target[:, :-1] >= 0)
+        assert (given[:, 1:][both] == target[:, :-1][both]).all()
+
+
+def test_words_of_a_chunk():
+    raw = ["The  öö\tthe\nx", "", " \r\n", "x y\x0bThe Ä", "x" * 300_000].copy()
+    text = L.Text(list(range(5)), [t.encode() for t in raw])
+    assert text.lengths.tolist() == [len(split(t)) for t in raw]
+    assert [text.words[i].decode() for i in text.number] == [w for t in raw for w in split(t)]
+    assert len(set(text.words)) == len(text.words)
+
+
+def test_sums_in_a_tree(spark):
+    import pandas as pd
+
+    parts = spark.createDataFrame([(i, i) for i in range(3000)], "g long, n long").repartition(7)
+    out = L._tree(parts, 3000, lambda some: pd.DataFrame({"g": some["g"].iloc[:1], "n": [some["n"].sum()]}), "n long")
+    assert len(out) <= L.FAN_IN and sum(r.n for r in out) == 2999 * 1500
 
 
 def test_score_is_the_networks_alone(spark):

@@ -36,10 +36,15 @@ TARGET_ENTROPY = 0.95
 MAX_REPETITION = 1.5
 BLOCK_TOKENS = 1_000_000
 RANGE_ROWS = 4096
+GROUP_RANGES = 4096
 SEED = 17
 ROUNDS = 8
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))
+
+
 def token_count(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
@@ -47,14 +52,14 @@ def token_count(text: Column) -> Column:
 def source_tokens(counted: DataFrame) -> DataFrame:
     """``source, n_docs, n_tokens, p`` (share of tokens; the number of sources only)."""
     by = counted.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    total = by.agg(F.sum("n_tokens").alias("total"))
-    return by.crossJoin(F.broadcast(total)).withColumn("p", F.when(F.col("total") > 0, F.col("n_tokens") / F.col("total")).otherwise(0.0))
+    total = counted.agg(F.sum("n_tokens")).first()[0] or 0
+    return by.withColumn("p", F.col("n_tokens") / F.lit(total) if total else F.lit(0.0))
 
 
 def _try(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
     """For each exponent: the exponent, the entropy of its weights as a part of the greatest
     possible, and the most that a source repeats relative to the one that repeats least."""
-    tried = shares.where("p > 0").crossJoin(F.broadcast(shares.sparkSession.createDataFrame([(a,) for a in exponents], "a double")))
+    tried = shares.where("p > 0").select("p", F.explode(F.array(*[F.lit(a) for a in exponents])).alias("a"))
     w, r = F.pow("p", F.col("a")), F.pow("p", F.col("a") - 1)
     sums = tried.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.col("a") * F.log("p")).alias("l"), F.count("*").alias("n"), (F.max(r) / F.min(r)).alias("rep"))
     out = []
@@ -91,18 +96,31 @@ def exponent(shares: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repe
 def weights(shares: DataFrame, a: float, budget: int | None = None) -> DataFrame:
     """``source, n_docs, n_tokens, p, weight, quota``: quota is the tokens to take of each."""
     shares = shares.withColumn("w", F.when(F.col("p") > 0, F.pow("p", F.lit(a))).otherwise(0.0))
-    total = shares.agg(F.sum("w").alias("z"), F.max(F.when(F.col("p") > 0, F.col("n_tokens") / F.col("w"))).alias("scale"))
-    out = shares.crossJoin(F.broadcast(total)).withColumn("weight", F.when(F.col("z") > 0, F.col("w") / F.col("z")).otherwise(0.0))
+    total = shares.agg(F.sum("w").alias("z"), F.max(F.when(F.col("p") > 0, F.col("n_tokens") / F.col("w"))).alias("scale")).first()
+    out = shares.withColumn("weight", F.col("w") / F.lit(total.z) if total.z else F.lit(0.0))
     # weight * (scale * z) is n_tokens for the source that repeats least, and more for others.
-    all_once = F.ceil(F.col("w") * F.col("scale") - 1e-6)
+    all_once = F.ceil(F.col("w") * F.lit(total.scale or 0.0) - 1e-6)
     taken = F.ceil(F.col("weight") * F.lit(float(budget))) if budget is not None else F.greatest(all_once, F.col("n_tokens"))
     return out.select("source", "n_docs", "n_tokens", "p", "weight", F.coalesce(taken, F.lit(0)).cast("long").alias("quota"))
 
 
+def _tokens_before(ranges: DataFrame) -> DataFrame:
+    """``__held, epoch, range, before`` of ``ranges (__held, epoch, range, n)``: the tokens of a
+    source's stream before each of its ranges. Totals of groups of ranges are added up first, so
+    that a source with most of the documents has no long list in one task."""
+    ranges = ranges.withColumn("group", F.floor(F.col("range") / GROUP_RANGES))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    groups = ranges.groupBy("__held", "epoch", "group").agg(F.sum("n").alias("m"))
+    groups = groups.select("__held", "epoch", "group", F.coalesce(F.sum("m").over(earlier("__held").orderBy("epoch", "group")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(earlier("__held", "epoch", "group").orderBy("range")), F.lit(0))
+    out = ranges.select("__held", "epoch", "group", "range", inside.alias("inside")).join(groups, ["__held", "epoch", "group"])
+    return out.select("__held", "epoch", "range", (F.col("base") + F.col("inside")).alias("before"))
+
+
 def placements(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repetition: float = MAX_REPETITION, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """``doc_id, source, weight, epoch, block, position, n_tokens, __row``: where each document
     stands in the mixture; a row for each time it does. ``__row`` tells repeated rows apart."""
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("__row"))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("n_tokens"), _row_key().alias("__row"))
     counted = materialise(counted, "mixing-tokens")
     shares = materialise(source_tokens(counted), "mixing-sources")
     a = exponent(shares, target_entropy, max_repetition)
@@ -116,24 +134,30 @@ def placements(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repe
     stream = stream.withColumn("key", key).withColumn("range", F.floor(F.col("key") / (2.0**63) * F.col("n_ranges")).cast("long"))
     held = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
     stream = materialise(stream.withColumn("__held", held), "mixing-stream")
-    order = Window.partitionBy("__held").orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
-    before = stream.groupBy("__held", "epoch", "range").agg(F.sum("n_tokens").alias("n")).select("__held", "epoch", "range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    before = _tokens_before(stream.groupBy("__held", "epoch", "range").agg(F.sum("n_tokens").alias("n")))
     within = Window.partitionBy("__held", "epoch", "range").orderBy("key", "doc_id", "__row").rowsBetween(Window.unboundedPreceding, -1)
     stream = stream.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, ["__held", "epoch", "range"])
     stream = stream.withColumn("at", F.col("before") + F.col("inside"))
     taken = stream.where((F.col("at") < F.col("quota")) | ((F.col("weight") == 0) | (F.col("n_all") == 0)) | ((F.col("n_tokens") == 0) & (F.col("at") <= F.col("quota")) & (F.col("epoch") == 0)))
     share = F.greatest(F.col("weight") * F.lit(float(block_tokens)), F.lit(1.0))
-    taken = taken.withColumn("block", F.floor(F.when(F.col("weight") > 0, F.col("at") / share).otherwise(F.pmod(F.col("key"), F.lit(1024)))).cast("long"))
+    taken = taken.withColumn("block", F.floor(F.when(F.col("weight") > 0, F.col("at") / share).otherwise(F.col("range"))).cast("long"))
     place = Window.partitionBy("block").orderBy("key", "doc_id", "__row")
     return taken.withColumn("position", F.row_number().over(place).cast("long")).select("doc_id", "source", F.round("weight", 9).alias("weight"), "epoch", "block", "position", "n_tokens", "__row")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture takes it, with all their columns."""
-    placed = placements(docs, **how).select("doc_id", "__row").groupBy("doc_id", "__row").agg(F.count("*").alias("__times"))
-    # Equal rows have taken their places together; each of them stands for its part.
-    base = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    copies = base.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "__key").agg(F.count("*").alias("__copies"))
-    times = placed.join(copies, placed["doc_id"].eqNullSafe(copies["doc_id"]) & (placed["__row"] == copies["__key"])).select(placed["doc_id"].alias("__id"), "__row", F.greatest(F.lit(1), F.floor(F.col("__times") / F.col("__copies"))).cast("int").alias("__n"))
-    out = base.join(times, base["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")))
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__one")).drop("__one")
+    """The rows of ``docs``, each as often as the mixture takes it, with all their columns.
+
+    Rows that agree in id, text and source have taken their places together: each of k such rows
+    stands for a k-th of them, rounded down, and what is left of the division goes to one of
+    them. So the result has a row for each placement.
+    """
+    placed = placements(docs, **how).groupBy(F.col("doc_id").alias("__a"), F.col("__row").alias("__b")).agg(F.count("*").alias("__t"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), _row_key().alias("__key"))
+    copies = own.groupBy(F.col("__id").alias("__c"), F.col("__key").alias("__d")).agg(F.count("*").alias("__k"))
+    times = placed.join(copies, F.col("__a").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__d"))).select("__a", "__b", F.floor(F.col("__t") / F.col("__k")).cast("int").alias("__n"), (F.col("__t") % F.col("__k")).cast("int").alias("__left"))
+    rows = own.join(times, F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__key") == F.col("__b")))
+    left = rows.where("__left > 0").groupBy("__id", "__key").agg(F.any_value("__all").alias("__all"), F.max("__left").alias("__n"))
+    every = rows.select("__all", "__n").unionByName(left.select("__all", "__n")).where("__n > 0")
+    every = every.select("__all", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
+    return every.select(*[F.col("__all").getField(c).alias(c) for c in docs.columns])

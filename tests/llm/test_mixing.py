@@ -73,6 +73,7 @@ def test_ranges_count_on(spark, monkeypatch):
     rows = corpus()
     whole = sorted(M.placements(docs(spark, rows)).drop("position").collect())
     monkeypatch.setattr(M, "RANGE_ROWS", 7)
+    monkeypatch.setattr(M, "GROUP_RANGES", 3)
     assert sorted(M.placements(docs(spark, rows)).drop("position").collect()) == whole
 
 
@@ -84,6 +85,29 @@ def test_mix_keeps_columns_and_rows(spark):
     assert set(got) == set(rows) and max(got.values()) <= 4
 
 
+@pytest.mark.parametrize("budget", [3, 7, 9, 40])
+def test_mix_has_a_row_for_each_placement_of_equal_rows(spark, budget):
+    rows = [(1, "a b c", "x", 1)] * 5 + [(2, "a b c", "x", 1), (1, "a b c", "y", 1), (1, "a b c", "y", 2), (None, None, None, None), (None, "", "x", 1)]
+    how = {"budget": budget, "max_repetition": 10.0}
+    key = lambda d, s: (str(d), str(s))
+    want = Counter(key(r.doc_id, r.source) for r in M.placements(docs(spark, rows), **how).collect())
+    got = Counter(key(r.doc_id, r.source) for r in M.mix(docs(spark, rows), **how).collect())
+    assert got == want
+
+
+def test_mix_with_clashing_columns(spark):
+    names = ["__row", "__key", "__n", "__all", "n_tokens", "block", "key", "range", "epoch", "p"]
+    rows = [(i, "a b " * i, "s", *[i] * len(names)) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = M.mix(df)
+    assert out.columns == df.columns and set(map(tuple, out.collect())) == set(rows)
+
+
+def test_very_long_text(spark):
+    got = M.mix(docs(spark, [(1, "w " * 400_000, "a", 1), (2, "w", "b", 1)])).select("doc_id", "text").distinct().collect()
+    assert sorted((r.doc_id, len(r.text)) for r in got) == [(1, 800_000), (2, 1)]
+
+
 def test_empty_table(spark):
     assert M.placements(docs(spark, [])).count() == 0
     assert M.mix(docs(spark, [])).count() == 0

@@ -8,15 +8,22 @@ fingerprint has the perfect binary Golay code, 4,096 words that cover all 23-bit
 radius 3. A fingerprint is the guest of its own anchor and is replicated to every anchor that a
 fingerprint within the threshold of it could own (the anchors within covering radius plus
 threshold). So both ends of a link meet at the anchor of either end, and comparing guests with
-owners per anchor finds every link. From ``TWO_BLOCKS`` distinct fingerprints on, a second block
-of 23 bits makes the anchor a pair of code words, 16.7 million in all, and the bits that differ
-are shared out between the blocks; the links found are the same either way.
+owners per anchor finds every link.
 
-Equal fingerprints are one node (pre-aggregated), and an anchor emits one link per guest to
-the least node of its group there, not all pairs, so copies never multiply.
+An anchor that more than ``OWNERS`` fingerprints own is deep: its fingerprints go to pairs of
+code words, the second of another block of 23 bits, and the bits that differ are shared out
+between the blocks. Where an anchor or a pair still has more owners than that, owners are dealt
+to slices and its guests go to all of them. So work at one place is bounded whatever the number
+of fingerprints and however alike they are; the links found are the same either way.
+
+Equal fingerprints are one node (pre-aggregated). Places are worked on many at a time, as arrays;
+each answers with one link per fingerprint to the least one that it reaches there, not all pairs,
+so copies never multiply.
 
 Null text is empty: fingerprint zero, which links like any other. Rows with a null ``doc_id``
-are fingerprinted and get the component of their fingerprint. Repeated rows each give a row.
+are fingerprinted and get the component of their fingerprint. Repeated rows each give a row; an
+empty table gives an empty result. Texts are taken whole, however long, and columns besides
+``doc_id`` and ``text`` are ignored (``keep_one`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -35,8 +42,10 @@ from .components import connected_components
 THRESHOLD = 3
 SHINGLE = 3
 BLOCK = 23
-#: Distinct fingerprints from which anchors are pairs of code words.
-TWO_BLOCKS = 2_000_000
+#: Owners that an anchor, or a slice of one, should have at most.
+OWNERS = 8192
+#: Copies of fingerprints that one task should take, and pairs that it looks at together.
+COPIES, PAIRS = 2_000_000, 2_000_000
 #: Generator polynomial of the binary Golay code, a fixed value.
 GOLAY = 0xAE3
 
@@ -104,23 +113,42 @@ def _blocks(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (fp & mask).astype(np.int64), (fp >> np.uint64(BLOCK) & mask).astype(np.int64)
 
 
-def anchor_keys(fp: np.ndarray, two: bool) -> np.ndarray:
+#: Keys of pairs of code words have this bit set, and the second word BLOCK bits up.
+_PAIR = 1 << 62
+
+
+def _is_deep(low: np.ndarray, deep: np.ndarray) -> np.ndarray:
+    """Which anchors of a block are in ``deep`` (sorted)."""
+    if not len(deep):
+        return np.zeros(low.shape, bool)
+    return deep[np.minimum(np.searchsorted(deep, low), len(deep) - 1)] == low
+
+
+def anchor_keys(fp: np.ndarray, deep: np.ndarray) -> np.ndarray:
+    """The place that each fingerprint owns."""
     low, high = _blocks(fp)
-    return anchor(low) | anchor(high) << BLOCK if two else anchor(low)
+    own = anchor(low)
+    return np.where(_is_deep(own, deep), own | anchor(high) << BLOCK | _PAIR, own)
 
 
-def replicas(fp: np.ndarray, two: bool, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and the anchors that each row is sent to."""
+def replicas(fp: np.ndarray, deep: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and the places that each row is sent to."""
     errors, weights = reach(threshold)
     low, high = _blocks(fp)
     s, t = syndrome(low), syndrome(high)
     keys, bits = low[:, None] ^ errors[s], weights[s]
-    if two:
-        keys = keys[:, :, None] | (high[:, None] ^ errors[t])[:, None, :] << BLOCK
-        bits = bits[:, :, None] + weights[t][:, None, :]
-        keys, bits = keys.reshape(len(fp), -1), bits.reshape(len(fp), -1)
     rows, at = np.nonzero(bits <= threshold)
-    return rows, keys[rows, at]
+    keys, bits = keys[rows, at], bits[rows, at]
+    further = _is_deep(keys, deep)
+    out = [(rows[~further], keys[~further])]
+    own = np.flatnonzero(further)
+    for k in range(0, len(own), 65_536):
+        r = rows[own[k : k + 65_536]]
+        more = bits[own[k : k + 65_536], None] + weights[t[r]]
+        i, j = np.nonzero(more <= threshold)
+        pair = keys[own[k : k + 65_536]][i] | (high[r[i]] ^ errors[t[r[i]], j]) << BLOCK | _PAIR
+        out.append((r[i], pair))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -148,82 +176,135 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit integer."""
+    """``doc_id, digest, fp``: a hash of the text, and the fingerprint as a signed integer."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(shingle_hashes(t)) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
-
-    return texts(docs).mapInPandas(run, "doc_id long, fp long")
-
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "fp": fp.view(np.int64)})
+
+    held = texts(docs)
+    return held.withColumn("digest", F.xxhash64("text")).mapInPandas(run, "doc_id long, digest long, fp long")
+
+
+def _roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``parent`` (the least member of each set, for each element) with the sets of i and j united."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _slice_of(fp: np.ndarray) -> np.ndarray:
+    """A number by which owners are dealt to slices."""
+    h = fp * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(33)).astype(np.int64)
+
+
+def group_links(place: np.ndarray, part: np.ndarray, parts: np.ndarray, fp: np.ndarray, deep: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among copies of fingerprints sent to places (each in so many parts, and one of
+    them): from each that is linked at one of these places to the least one that it reaches."""
+    order = np.lexsort((fp, part, place))
+    place, part, parts, fp = place[order], part[order], parts[order], fp[order]
+    nodes, node = np.unique(fp, return_inverse=True)
+    first = np.ones(len(fp), bool)
+    first[1:] = (place[1:] != place[:-1]) | (part[1:] != part[:-1])
+    start = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    size = np.diff(np.append(start, len(fp)))
+    owners = np.flatnonzero((anchor_keys(fp, deep) == place) & (_slice_of(fp) % parts == part))
+    owners = owners[size[group[owners]] > 1]
+    parent, pairs = np.arange(len(nodes)), size[group[owners]]
+    edge = np.append(0, np.cumsum(pairs))
+    at = 0
+    while at < len(owners):
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + PAIRS, "right")) - 1)
+        n = pairs[at:end]
+        i = np.repeat(owners[at:end], n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[owners[at:end]]], n)
+        near = np.flatnonzero(_popcount(fp[i] ^ fp[j]) <= threshold)
+        parent = _roots(parent, node[i[near]], node[j[near]])
+        at = end
+    linked = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[linked], nodes[parent[linked]]
+
+
+def _owned(distinct: DataFrame, deep: np.ndarray) -> DataFrame:
+    """``place, n``: how many fingerprints own each place."""
 
-def _group_links(owners: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links at one anchor as (guest, least guest of its group): a spanning star per group."""
-    parent = np.arange(len(guests))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            place, n = np.unique(anchor_keys(b["fp"].to_numpy().view(np.uint64), deep), return_counts=True)
+            yield pd.DataFrame({"place": place, "n": n})
 
-    order = np.sort(guests)
-    step = max(1, 2_000_000 // max(1, len(order)))
-    for k in range(0, len(owners), step):
-        part = owners[k : k + step]
-        i, j = np.nonzero(_popcount(part[:, None] ^ order[None, :]) <= threshold)
-        own = np.searchsorted(order, part)[i]
-        for a, b in zip(own[own != j].tolist(), j[own != j].tolist(), strict=True):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    root = np.array([find(x) for x in range(len(order))], np.int64)
-    linked = np.flatnonzero(root != np.arange(len(order)))
-    return order[linked], order[root[linked]]
+    return distinct.select("fp").mapInPandas(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
-def links(distinct: DataFrame, two: bool, threshold: int = THRESHOLD) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``a, b`` of fingerprints (column ``fp``, distinct) that link: enough of them to make the
     components, all between fingerprints that are linked in fact or through others."""
+    owned = _owned(distinct, np.zeros(0, np.int64)).collect()  # 4,096 rows at most
+    deep = np.sort(np.array([r.place for r in owned if r.n > OWNERS], np.int64))
+    copies = sum(r.n for r in owned) * (71 if not len(deep) else 303)
+    buckets = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-copies // COPIES))
+    many = _owned(distinct, deep).where(F.col("n") > OWNERS).select("place", F.ceil(F.col("n") / OWNERS).alias("parts"))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 4096 >> 5 * two):
-                fp = b["fp"].to_numpy()[k : k + (4096 >> 5 * two)].view(np.uint64)
-                rows, keys = replicas(fp, two, threshold)
-                order = np.argsort(keys, kind="stable")
-                rows, keys = rows[order], keys[order]
-                cut = np.flatnonzero(np.diff(keys)) + 1
-                yield pd.DataFrame({"anchor": keys[np.concatenate([[0], cut])] if len(keys) else keys, "fps": [fp[r].tobytes() for r in np.split(rows, cut)] if len(keys) else []})
-
-    def compare(batches: pd.DataFrame) -> pd.DataFrame:
-        guests = np.frombuffer(b"".join(batches["fps"]), np.uint64)
-        owners = guests[anchor_keys(guests, two) == batches["anchor"].iloc[0]]
-        a, b = _group_links(owners, guests, threshold)
-        return pd.DataFrame({"a": a.view(np.uint64).view(np.int64), "b": b.view(np.uint64).view(np.int64)})
-
-    sent = distinct.select("fp").mapInPandas(send, "anchor long, fps binary")
-    return sent.groupBy("anchor").applyInPandas(compare, "a long, b long").distinct()
+            for k in range(0, len(b), 4096):
+                fp = b["fp"].to_numpy()[k : k + 4096].view(np.uint64)
+                rows, places = replicas(fp, deep, threshold)
+                order = np.argsort(places, kind="stable")
+                rows, places = rows[order], places[order]
+                cut = np.flatnonzero(np.diff(places)) + 1
+                yield pd.DataFrame({"place": places[np.append(0, cut)], "fps": [fp[r].tobytes() for r in np.split(rows, cut)]})
+
+    def compare(some: pd.DataFrame) -> pd.DataFrame:
+        n = np.array([len(x) // 8 for x in some["fps"]])
+        fp = np.frombuffer(b"".join(some["fps"]), np.uint64)
+        place, part, parts = (np.repeat(some[c].to_numpy(), n) for c in ("place", "part", "parts"))
+        a, b = group_links(place, part, parts, fp, deep, threshold)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    sent = distinct.select("fp").mapInPandas(send, "place long, fps binary").join(many, "place", "left")
+    sent = sent.withColumn("parts", F.coalesce("parts", F.lit(1))).select("place", "fps", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = sent.groupBy(F.pmod(F.xxhash64("place", "part"), F.lit(buckets)).alias("bucket"))
+    return dealt.applyInPandas(compare, "a long, b long").distinct()
+
+
+def _classes(marked: DataFrame, threshold: int) -> DataFrame:
+    """``fp, node, class`` of every fingerprint: its least ``doc_id``, and the least fingerprint
+    of its component."""
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    found = connected_components(links(nodes, threshold))
+    return materialise(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("class")), "classes")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, fp, component_id`` for every row: the smallest ``doc_id`` reachable by links.
     A component whose rows all have a null ``doc_id`` has a null ``component_id``."""
     marked = materialise(fingerprints(docs), "simhash")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    two = nodes.count() >= TWO_BLOCKS
-    found = connected_components(links(nodes, two, threshold))
-    classes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("class"))
-    classes = materialise(classes, "classes")
+    classes = _classes(marked, threshold)
     least = classes.groupBy("class").agg(F.min("node").alias("component_id"))
     known = classes.select("fp", "class").join(least, "class").select("fp", "component_id")
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row whose ``doc_id``
-    is the component's id (one, if that row is repeated). Rows with a null ``doc_id`` stay."""
-    found = near_duplicates(docs, threshold)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` without near-duplicates: one row of each component stays, the one
+    with the least ``doc_id`` (of different texts with this id the one of the least hash; of
+    rows with the same id and text any one). Rows with a null ``doc_id`` all stay."""
+    marked = materialise(fingerprints(docs), "simhash").where("doc_id is not null")
+    classes = _classes(marked, threshold).select("fp", "class")
+    first = marked.join(classes, "fp").groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    stay = first.select(F.col("first.doc_id").alias("__a"), F.col("first.digest").alias("__b")).distinct()
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__digest"))
+    kept = own.join(stay, (F.col("__id") == F.col("__a")) & (F.col("__digest") == F.col("__b")), "left_semi")
+    kept = kept.groupBy("__id", "__digest").agg(F.any_value("__all").alias("__all")).select("__all")
+    kept = kept.unionByName(own.where("__id is null").select("__all"))
+    return kept.select(*[F.col("__all").getField(c).alias(c) for c in docs.columns])

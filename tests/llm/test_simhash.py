@@ -36,15 +36,66 @@ def test_code_covers_within_radius_three():
 
 def test_replicas_reach_every_owner():
     rng = np.random.default_rng(1)
-    for two in (False, True):
+    for share in (0.0, 0.5, 1.0):
+        words, _ = S.golay()
+        deep = words[rng.random(len(words)) < share]
         x = rng.integers(0, 2**63, 40).astype(np.uint64)
-        rows, keys = S.replicas(x, two)
+        rows, keys = S.replicas(x, deep)
         sent = set(zip(rows.tolist(), keys.tolist(), strict=True))
+        assert len(sent) == len(rows)
         for _ in range(50):
             y = x.copy()
             for _ in range(3):
                 y ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
-            assert all((i, k) in sent for i, k in enumerate(S.anchor_keys(y, two).tolist()))
+            assert all((i, k) in sent for i, k in enumerate(S.anchor_keys(y, deep).tolist()))
+
+
+def near_sets(rng):
+    """Fingerprints by chance, chains of near ones, and a hot cluster of very many near ones."""
+    out = [rng.integers(0, 2**63, 300).astype(np.uint64)]
+    for base in out[0][:40]:
+        x = base
+        for _ in range(6):
+            for b in rng.integers(0, 64, 3):
+                x ^= np.uint64(1) << np.uint64(b)
+            out.append(np.array([x]))
+    hot = np.full(400, out[0][0])
+    for _ in range(2):
+        hot ^= np.uint64(1) << rng.integers(46, 64, len(hot)).astype(np.uint64)
+    return np.unique(np.concatenate([*out, hot]))
+
+
+def brute_sets(x):
+    root = {int(i): int(i) for i in x}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, a in enumerate(x):
+        for b in x[k + 1 :][np.bitwise_count(x[k + 1 :] ^ a) <= 3]:
+            p, q = find(int(a)), find(int(b))
+            root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in root}
+
+
+def test_places_of_every_kind_find_every_link(spark, monkeypatch):
+    x = near_sets(np.random.default_rng(3))
+    want = brute_sets(x)
+    df = spark.createDataFrame([(int(i),) for i in x.view(np.int64)], "fp long")
+    for owners, copies, pairs in ((8192, 2_000_000, 2_000_000), (1, 5_000, 700), (20, 5_000, 50_000)):
+        monkeypatch.setattr(S, "OWNERS", owners)
+        monkeypatch.setattr(S, "COPIES", copies)
+        monkeypatch.setattr(S, "PAIRS", pairs)
+        got = {r.node % 2**64: r.component % 2**64 for r in S.connected_components(S.links(df)).collect()}
+        sets = {}
+        for i, c in want.items():
+            sets.setdefault(c, set()).add(i)
+        found = {}
+        for i in want:
+            found.setdefault(got.get(i, i), set()).add(i)
+        assert sorted(map(sorted, sets.values())) == sorted(map(sorted, found.values())), owners
 
 
 def test_against_brute_force(spark):
@@ -70,12 +121,21 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in comp.values()})
 
 
-def test_random_links_are_all_found():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 30).astype(np.uint64)
-    near = base ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64))
-    a, b = S._group_links(np.concatenate([base, near]), np.concatenate([base, near]), 3)
-    assert len(a) == 30 and (np.bitwise_count(a ^ b) <= 3).all()
+def test_keep_one_of_each_component(spark):
+    rows = [(1, "a b c d e", 5), (1, "q r s t u", 6), (1, "a b c d e", 7), (2, "q r s t u", 8), (3, "A b  c d e", 9), (4, "z", 1), (None, "z", 2), (None, None, 3), (5, None, 4), (6, "", 4)]
+    names = "doc_id long, text string, __stay int"
+    df = spark.createDataFrame(rows, names).selectExpr("*", "1 fp", "2 class", "3 __all", "4 digest", "5 __id")
+    out = S.keep_one(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect())
+    assert got == [(1, "a b c d e"), (1, "q r s t u"), (4, "z"), (5, None)]
+    assert out.where("doc_id is null").count() == 2
+
+
+def test_very_long_text(spark):
+    t = " ".join(str(i % 977) for i in range(300_000))
+    got = S.near_duplicates(spark.createDataFrame([(7, t), (3, t + " x")], "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {3} and {r.fp % 2**64 for r in got} >= {brute_fp(t)}
 
 
 def test_empty_table(spark):

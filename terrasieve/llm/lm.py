@@ -67,6 +67,8 @@ from .common import materialise, texts
 CHUNK_BYTES = 4_000_000
 RANGE_WORDS = 1_000_000
 ROUNDS = 4
+#: Bytes of text whose replicas one task trains; it answers with one set of weights a round.
+TASK_BYTES = 32_000_000
 FAN_IN = 32
 ADD = 0.1
 
@@ -355,7 +357,8 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     big_v, big_n = int(found[0] or 0) + (ends > 0), int(found[1] or 0) + ends
     opens = np.append(Subwords(path).opens, True)
     place, opening = slots(counts, opens)
-    flat = train(each.select("subwords", "lengths", "learn"), counts, place)
+    replicas = each.select("subwords", "lengths", "learn")
+    flat = train(replicas.coalesce(max(own.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)), counts, place)
     low = big_n + ADD * (big_v + 1)
     log_end = math.log10((ends + ADD) / low)
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

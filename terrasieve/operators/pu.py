@@ -30,22 +30,44 @@ def standardised(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataF
     return held.select(*[scale(c).alias(c) if c in columns else rows[c] for c in rows.columns])
 
 
-def bagged_scores(positives: DataFrame, unlabeled: DataFrame, columns: list[str], key: str, iterations: int, m: int, trees: int = 100, seed: int = 42, depth: int = 30) -> DataFrame:
+def bagged_scores(
+    positives: DataFrame,
+    unlabeled: DataFrame,
+    columns: list[str],
+    key: str,
+    iterations: int,
+    m: int,
+    trees: int = 100,
+    seed: int = 42,
+    depth: int = 30,
+    parallel: int = 8,
+) -> DataFrame:
     """``key, iteration, p``: in each iteration a random forest learns positives against m drawn
     unlabeled rows and scores those that were not drawn. A depth of 30 is the greatest that
-    Spark has."""
+    Spark has. ``parallel`` models are trained at the same time; rows never come to the driver,
+    and draws are made once."""
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    drawn, out = bags(unlabeled, iterations, m, seed, key), None
+    drawn = bags(unlabeled, iterations, m, seed, key).persist()
+    known = positives.select(*columns, F.lit(1.0).alias("label")).persist()
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    for i in range(iterations):  # a model each; rows never come to the driver
+
+    def one(i: int) -> DataFrame:
         own = drawn.where(F.col("iteration") == i)
-        train = positives.select(*columns, F.lit(1.0).alias("label")).unionByName(own.where("in_bag").select(*columns, F.lit(0.0).alias("label")))
-        rows = standardised(train, train, columns)
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed + i).fit(assembler.transform(rows))
+        train = known.unionByName(own.where("in_bag").select(*columns, F.lit(0.0).alias("label")))
+        rows = assembler.transform(standardised(train, train, columns)).select("features", "label")
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed + i, maxMemoryInMB=1024)
+        model = forest.fit(rows)
         rest = assembler.transform(standardised(train, own.where("not in_bag").select(key, *columns), columns))
-        scored = model.transform(rest).select(key, F.lit(i).alias("iteration"), vector_to_array("probability")[1].alias("p"))
-        out = scored if out is None else out.unionByName(scored)
+        return model.transform(rest).select(key, F.lit(i).alias("iteration"), vector_to_array("probability")[1].alias("p"))
+
+    with ThreadPool(parallel) as pool:
+        scored = pool.map(one, range(iterations))
+    out = scored[0]
+    for more in scored[1:]:
+        out = out.unionByName(more)
     return out

@@ -27,3 +27,59 @@ def check(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     if broken:
         raise ValueError(f"quality rules are broken: {broken}")
     return rows
+
+
+def final_set_rules(rows: DataFrame, cluster: str, label: str, key: str, n_clusters: int, most_gap: int = 1) -> DataFrame:
+    """``rule, n`` of a set ready for training: labels and clusters in their domains, ids unique,
+    both classes in every cluster, and class counts per cluster within ``most_gap``."""
+    domain = violations(rows, {"label is 0 or 1": F.col(label).isin(0, 1), "cluster in domain": F.col(cluster).between(0, n_clusters - 1), "id is there": F.col(key).isNotNull()})
+    twice = repeated_keys(rows, [key]).agg(F.count("*").alias("n")).select(F.lit("id is unique").alias("rule"), "n")
+    counts = rows.groupBy(cluster).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    seen = counts.agg(
+        F.count_if((F.col("p") == 0) | (F.col("q") == 0)).alias("one"),
+        F.count_if(F.abs(F.col("p") - F.col("q")) > most_gap).alias("gap"),
+        (n_clusters - F.count("*")).alias("none"),
+    )
+    per = [("both classes in a cluster", "one"), ("counts of a cluster are close", "gap"), ("every cluster is there", "none")]
+    clusters = seen.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(c).cast("long").alias("n")) for r, c in per])).alias("v")).select("v.rule", "v.n")
+    return domain.unionByName(twice).unionByName(clusters)
+
+
+def common_set_rules(rows: DataFrame, key: str, part: str, n_parts: int, valid: str, label: str) -> DataFrame:
+    """``rule, n`` of outputs that must agree: every id in all parts and once in each, every row
+    valid, one label for each id."""
+    by = rows.groupBy(key).agg(F.count_distinct(part).alias("parts"), F.count("*").alias("n"), F.count_distinct(label).alias("labels"))
+    ids = by.agg(F.count_if(F.col("parts") < n_parts).alias("a"), F.count_if(F.col("n") > F.col("parts")).alias("b"), F.count_if(F.col("labels") > 1).alias("c"))
+    per = [("id is in every part", "a"), ("id is once in a part", "b"), ("id has one label", "c")]
+    out = ids.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(c).alias("n")) for r, c in per])).alias("v")).select("v.rule", "v.n")
+    return out.unionByName(violations(rows, {"row is valid": F.col(valid)}))
+
+
+def prediction_rules(rows: DataFrame, model: str, fold: str, key: str, p: str, label: str, n_folds: int) -> DataFrame:
+    """``model, rule, n`` of predictions: folds and labels in their domains, probabilities from 0
+    to 1, and ids once in a fold."""
+    rules = {
+        "fold in domain": F.col(fold).between(0, n_folds - 1),
+        "probability in range": F.col(p).between(0, 1),
+        "label is 0 or 1": F.col(label).isin(0, 1),
+    }
+    one = rows.groupBy(model).agg(*[F.count_if(F.coalesce(~c, F.lit(True))).alias(k) for k, c in rules.items()])
+    each = one.select(model, F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"`{k}`").alias("n")) for k in rules])).alias("v")).select(model, "v.rule", "v.n")
+    twice = repeated_keys(rows, [model, fold, key]).groupBy(model).agg(F.count("*").alias("n"))
+    models = rows.select(model).distinct().join(twice, model, "left").select(model, F.lit("id is once in a fold").alias("rule"), F.coalesce("n", F.lit(0)).alias("n"))
+    return each.unionByName(models)
+
+
+def statistics_rules(stats: DataFrame) -> DataFrame:
+    """``rule, n`` of channel statistics ``mean, sd``: finite, and a deviation above 0."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return violations(stats, {"mean is finite": finite("mean"), "sd is finite": finite("sd"), "sd is positive": F.col("sd") > 0})
+
+
+def require_columns(rows: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
+    """``rows`` if they have the columns (``exact``: these, in this order), else an error."""
+    if exact and rows.columns != columns:
+        raise ValueError(f"columns are {rows.columns}, not {columns}")
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"columns are missing: {missing}")
+    return rows

@@ -14,22 +14,32 @@ def draw_key(seed: int | str, *key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def ranked(rows: DataFrame, strata: list[str], seed: int | str, key: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``rn``: the place of each row in its stratum in digest order, from 1."""
-    digest = draw_key(seed, *extra, key)
-    held = rows.withColumn("__digest", digest).withColumn("__head", F.conv(F.substring("__digest", 1, 8), 16, 10).cast("double"))
-    return running_totals(held, strata, "__head", ["__digest", key], {"rn": F.lit(1)}).drop("__digest", "__head")
+def share_key(digest: str) -> Column:
+    """The first 32 bits of a hexadecimal digest as a number in [0, 1)."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _sizes(rows: DataFrame, strata: list[str]) -> DataFrame:
-    return rows.groupBy(*strata).agg(F.count("*").alias("__n"))
+def ranked(rows: DataFrame, strata: list[str], seed: int | str, key: str, extra: tuple[str, ...] = (), wanted: Column | None = None) -> DataFrame:
+    """``rows`` with ``rn``: the place of each row in its stratum in digest order, from 1.
+    ``wanted`` (see ``running_totals``) leaves out ranges that hold no row of interest."""
+    held = rows.withColumn("__digest", draw_key(seed, *extra, key)).withColumn("__head", share_key("__digest"))
+    out = running_totals(held, strata, "__head", ["__digest", key], {"rn": F.lit(1)}, uniform=True, wanted=wanted)
+    return out.drop("__digest", "__head")
 
 
-def sample_n(rows: DataFrame, strata: list[str], n: Column, seed: int, key: str) -> DataFrame:
+def _with_sizes(rows: DataFrame, strata: list[str]) -> DataFrame:
+    """``rows`` with ``__n``, the size of the stratum."""
+    sizes = rows.groupBy(*[F.col(s).alias(f"__of_{s}") for s in strata]).agg(F.count("*").alias("__n"))
+    if not strata:
+        return rows.join(sizes, F.lit(True))  # one row
+    same = [F.col(s).eqNullSafe(F.col(f"__of_{s}")) for s in strata]
+    return rows.join(sizes, same).select(*rows.columns, "__n")
+
+
+def sample_n(rows: DataFrame, strata: list[str], n: Column, seed: int | str, key: str) -> DataFrame:
     """``n`` rows of each stratum (or all): ``n`` may use ``__n``, the size of the stratum."""
-    out = ranked(rows, strata, seed, key)
-    sizes = _sizes(rows, strata)
-    return out.join(sizes, [out[s].eqNullSafe(sizes[s]) for s in strata]).where(F.col("rn") <= n).select(*[out[c] for c in rows.columns])
+    out = ranked(_with_sizes(rows, strata), strata, seed, key, wanted=F.col("__before_rn") < n)
+    return out.where(F.col("rn") <= n).select(*rows.columns)
 
 
 def proportional(rows: DataFrame, strata: list[str], fraction: float, seed: int, key: str, least: int = 2) -> DataFrame:
@@ -49,11 +59,11 @@ def k_folds(rows: DataFrame, strata: list[str], k: int, seed: int, key: str) ->
     return ranked(rows, strata, seed, key).withColumn("fold", ((F.col("rn") - 1) % k).cast("int")).drop("rn")
 
 
-def split(rows: DataFrame, strata: list[str], share: float, seed: int, key: str) -> DataFrame:
+def split(rows: DataFrame, strata: list[str], share: float, seed: int, key: str, rounded=F.rint) -> DataFrame:
     """``rows`` with ``part``: train, or validation for the rounded share of each stratum."""
-    out, sizes = ranked(rows, strata, seed, key), _sizes(rows, strata)
-    part = F.when(F.col("rn") <= F.rint(F.col("__n") * share), "validation").otherwise("train")
-    return out.join(sizes, [out[s].eqNullSafe(sizes[s]) for s in strata]).select(*[out[c] for c in rows.columns], part.alias("part"))
+    out = ranked(_with_sizes(rows, strata), strata, seed, key)
+    part = F.when(F.col("rn") <= rounded(F.col("__n") * share), "validation").otherwise("train")
+    return out.select(*rows.columns, part.alias("part"))
 
 
 def bags(rows: DataFrame, iterations: int, m: int, seed: int, key: str) -> DataFrame:
@@ -78,22 +88,15 @@ def common_ids(rows: DataFrame, key: str, part: str, n_parts: int) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(part).alias("n")).where(F.col("n") == n_parts).select(key)
 
 
-def group_folds(groups: DataFrame, group: str, k: int) -> DataFrame:
-    """Folds of whole groups with even label counts: groups (``group, n_pos, n_neg``), the
-    largest first, go to the fold that then has the least sum of squared counts. Only the
-    group table is dealt out by one task, in chunks of its own order by size."""
-    def deal(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["n_pos", "n_neg", group], ascending=[False, False, True])
-        held, out = np.zeros((k, 2)), []
-        for p, n in zip(pdf["n_pos"], pdf["n_neg"], strict=True):
-            cost = [(((held + np.array([[p, n]]) * (np.arange(k) == i)[:, None]) ** 2).sum(), i) for i in range(k)]
-            best = min(cost)[1]
-            held[best] += (p, n)
-            out.append(best)
-        return pdf.assign(fold=out)[[group, "fold"]]
-
-    kind = groups.schema[group].dataType.simpleString()
-    dealt = groups.withColumn("__part", F.pmod(F.xxhash64(group), F.lit(1 + groups.count() // 100_000)))
-    return dealt.groupBy("__part").applyInPandas(lambda pdf: deal(pdf), f"{group} {kind}, fold int")
+def group_folds(groups: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:
+    """Folds of whole groups with even label counts: groups (``group, n_pos, n_neg``) are dealt
+    to the folds by size, the largest first, there and back again (0, 1, ..., k - 1, k - 1, ...,
+    0, 0, ...). Groups of the same counts stand in digest order."""
+    held = groups.withColumn("__digest", draw_key(seed, group))
+    # Rises as groups get smaller; the digest spreads groups of one size over ranges.
+    size = F.col("n_pos") * F.lit(4194304.0) + F.col("n_neg") * F.lit(4.0)
+    held = held.withColumn("__order", share_key("__digest") - size)
+    ties = [F.desc("n_pos"), F.desc("n_neg"), F.col("__digest"), F.col(group)]
+    out = running_totals(held, [], "__order", ties, {"__rn": F.lit(1)})
+    turn, place = F.floor((F.col("__rn") - 1) / k), (F.col("__rn") - 1) % k
+    return out.select(group, F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))

@@ -57,6 +57,21 @@ def monitor_value(auc: Column, loss: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(auc), auc), -loss)
 
 
+def outcome(gain: Column, gate: Column) -> Column:
+    """Effective: better, and by more than the gate."""
+    return F.when((gain > 0) & (gain > gate), "Effective").otherwise("Weak transfer")
+
+
+def rate_tag(rate: Column) -> Column:
+    """A rate in the short form of %g, without plus signs and with p for the point."""
+    size = F.floor(F.log10(F.abs(rate) * (1 + 1e-12))).cast("int")
+    digits = F.round(rate / F.pow(F.lit(10.0), size), 5)
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    power = F.concat(trimmed(F.format_string("%.5f", digits)), F.lit("e"), F.when(size < 0, "-").otherwise(""), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    plain = trimmed(F.format_string("%.10f", F.round(rate, 10)))
+    return F.replace(F.when((size < -4) | (size >= 6), power).otherwise(plain), F.lit("."), F.lit("p"))
+
+
 def raster_kind(name: Column) -> Column:
     """Kind of a raster by keywords of its name; the order of the tests matters."""
     low = F.lower(name)

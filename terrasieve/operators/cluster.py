@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uniform
 from .geo import nearest_centre
 
 
@@ -19,59 +20,143 @@ def lloyd_step(points: DataFrame, centres: DataFrame) -> DataFrame:
     return out.select("k", F.coalesce("mx", "cx").alias("cx"), F.coalesce("my", "cy").alias("cy"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("inertia", F.lit(0.0)).alias("inertia"))
 
 
-def k_means(points: DataFrame, start: list[tuple[float, float]], most: int = 50, tolerance: float = 1e-4) -> list[tuple[float, float]]:
-    """Lloyd's steps from given centres until none moves by more than the tolerance. Only the
-    centres, k rows, come to the driver."""
-    spark, now = points.sparkSession, [(float(x), float(y)) for x, y in start]
+Places = list[tuple[float, float]]
+
+
+def _with_runs(points: DataFrame, runs: dict[int, Places]) -> DataFrame:
+    """Every point beside every run (``run, centres``). Runs are a table of one row, not part of
+    the plan, so that all steps share one compiled plan."""
+    held = [([(r, [(x, y, k) for k, (x, y) in enumerate(places)]) for r, places in runs.items()],)]
+    frame = points.sparkSession.createDataFrame(held, "runs array<struct<run: long, centres: array<struct<cx: double, cy: double, k: int>>>>")
+    return points.select("id", "x", "y").join(F.broadcast(frame), F.lit(True)).select("id", "x", "y", F.explode("runs").alias("r")).select("id", "x", "y", "r.*")
+
+
+def _d2(c):
+    return (F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"])
+
+
+def start_centres(points: DataFrame, k: int, seeds: list[int]) -> list[Places]:
+    """For each seed k centres far apart: the first drawn evenly, each other one with a chance in
+    proportion to the squared distance to the nearest centre so far. A draw is the least
+    ``-ln(u) / d2`` over the points (``id, x, y``), so that all seeds share one aggregate for
+    each centre; only places come to the driver."""
+    chosen: dict[int, Places] = {s: [] for s in seeds}
+    for i in range(k):
+        u = uniform("centre", F.col("run"), F.col("id"), F.lit(i))
+        d2 = F.coalesce(F.array_min(F.transform("centres", _d2)), F.lit(1.0))
+        key = F.when(d2 > 0, -F.log(1 - u) / d2).otherwise(float("inf"))
+        found = _with_runs(points, chosen).groupBy("run").agg(F.min(F.struct(key.alias("key"), "id", "x", "y")).alias("b")).collect()
+        if not found:
+            raise ValueError("there are no points")
+        for row in found:
+            chosen[row.run].append((row.b.x, row.b.y))
+    return [chosen[s] for s in seeds]
+
+
+def _assigned(points: DataFrame, runs: dict[int, Places]) -> DataFrame:
+    """``id, x, y, run, k, d2`` of every point and run: the nearest centre, the lower k on ties."""
+    best = F.array_min(F.transform("centres", lambda c: F.struct(_d2(c).alias("d2"), c["k"].alias("k"))))
+    return _with_runs(points, runs).select("id", "x", "y", "run", best.alias("b")).select("id", "x", "y", "run", "b.k", "b.d2")
+
+
+def k_means(points: DataFrame, starts: list[Places], most: int = 50, tolerance: float = 1e-4, reseed: bool = True) -> list[tuple[Places, float]]:
+    """Centres and inertia of a run from each start: Lloyd's steps until no centre moves by more
+    than the tolerance. A centre without points goes to a point farthest from its own centre (the
+    lower id on ties), or stays (``reseed=False``). All runs take a step in one aggregate, and
+    only centres come to the driver."""
+    now, active = {r: [(float(x), float(y)) for x, y in s] for r, s in enumerate(starts)}, set(range(len(starts)))
+    far = F.max(F.struct("d2", (-F.col("id")).alias("low"), "x", "y")).alias("far")
     for _ in range(most):
-        frame = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(now)], "k int, cx double, cy double")
-        rows = {r.k: (r.cx, r.cy) for r in lloyd_step(points, frame).collect()}
-        after = [rows[i] for i in range(len(now))]
-        moved = max(max(abs(a - c), abs(b - d)) for (a, b), (c, d) in zip(now, after, strict=True))
-        now = after
-        if moved <= tolerance:
+        step = _assigned(points, {r: now[r] for r in sorted(active)}).groupBy("run", "k").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), far)
+        rows = {(row.run, row.k): row for row in step.collect()}  # a row for each centre
+        for r in sorted(active):
+            own = {k: rows[r, k] for k in range(len(now[r])) if (r, k) in rows}
+            spare = [(row.far.x, row.far.y) for row in sorted(own.values(), key=lambda row: row.far, reverse=True)]
+            after = []
+            for k, place in enumerate(now[r]):
+                if k in own:
+                    after.append((own[k].cx, own[k].cy))
+                else:
+                    after.append(spare.pop(0) if reseed and spare else place)
+            moved = max(max(abs(a - c), abs(b - d)) for (a, b), (c, d) in zip(now[r], after, strict=True))
+            now[r] = after
+            if moved <= tolerance:
+                active.discard(r)
+        if not active:
+            break
+    inertia = {row.run: row.t for row in _assigned(points, now).groupBy("run").agg(F.sum("d2").alias("t")).collect()}
+    return [(now[r], inertia[r]) for r in range(len(starts))]
+
+
+def lowest(diagnostics: DataFrame) -> DataFrame:
+    """The row of the least inertia, the lower seed on ties."""
+    return diagnostics.orderBy("inertia", "seed").limit(1)
+
+
+def seed_search(points: DataFrame, k: int, seeds, restarts: int = 10, least: int = 1) -> DataFrame:
+    """``seed, inertia, least_size, most_size, ratio, sizes, usable, best``: for each seed the
+    best of its restarts. A seed is usable if no cluster has fewer than ``least`` points; the
+    best usable one has the lowest inertia. Points are cached for the runs."""
+    points, out, seeds = points.persist(), [], list(seeds)
+    spark = points.sparkSession
+    runs = k_means(points, start_centres(points, k, [s * 1009 + r for s in seeds for r in range(restarts)]))
+    best_of = {s: min(runs[i * restarts : (i + 1) * restarts], key=lambda t: t[1]) for i, s in enumerate(seeds)}
+    counts = _assigned(points, {s: places for s, (places, _) in best_of.items()}).groupBy("run", "k").agg(F.count("*").alias("n")).collect()
+    sizes = {(row.run, row.k): row.n for row in counts}
+    for seed in seeds:
+        each = [sizes.get((seed, i), 0) for i in range(k)]
+        ratio = max(each) / min(each) if min(each) else float("inf")
+        out.append((seed, best_of[seed][1], min(each), max(each), ratio, dict(enumerate(each)), min(each) >= least))
+    usable = [(row[1], row[0]) for row in out if row[-1]]
+    best = min(usable)[1] if usable else None
+    rows = [(*row, row[0] == best) for row in out]
+    return spark.createDataFrame(rows, "seed int, inertia double, least_size long, most_size long, ratio double, sizes map<int, long>, usable boolean, best boolean")
+
+
+def assign_capacities(points: DataFrame, centres: DataFrame, sizes: list[int], steps: int = 200) -> DataFrame:
+    """``id, k, d2``: every point (``id, x, y``) in a cluster, cluster k with ``sizes[k]`` points.
+
+    An auction: each cluster has a price, and a point goes where squared distance plus price is
+    least. Prices of clusters that are asked for too much rise until none is over its size by
+    more than a few points; the last ones are settled by rank, the points that lose least by
+    going elsewhere first. Prices are k numbers, all else stays in the table. The total cost is
+    near the least one, not exactly it.
+    """
+    k, spark = len(sizes), points.sparkSession
+    if sum(sizes) != points.count():
+        raise ValueError("sizes must add up to the number of points")
+    held = centres.agg(F.array_sort(F.collect_list(F.struct("k", "cx", "cy"))).alias("__c"))  # k rows
+    d2 = lambda c: (F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"])
+    rows = points.join(F.broadcast(held), F.lit(True)).select("id", F.transform("__c", d2).alias("cost")).persist()
+    spread = rows.agg(F.max(F.array_max("cost"))).first()[0] or 1.0
+    price, step = [0.0] * k, spread / 4
+    asked = lambda p: F.array_min(F.transform("cost", lambda c, i: F.struct((c + F.get(F.array(*[F.lit(x) for x in p]), i)).alias("w"), i.alias("k"))))["k"]
+    for _ in range(steps):
+        n = {r.k: r.n for r in rows.groupBy(asked(price).alias("k")).agg(F.count("*").alias("n")).collect()}
+        over = [n.get(i, 0) - sizes[i] for i in range(k)]
+        if max(over) <= 0 or step < spread * 1e-9:
+            break
+        worst = max(range(k), key=lambda i: abs(over[i]))
+        price[worst] += step if over[worst] > 0 else -step
+        step *= 0.93
+    # Those over the size of their cluster go on to the next choice that has room.
+    done, left, room = None, rows, list(sizes)
+    for _ in range(k):
+        open_ = [i for i in range(k) if room[i] > 0]
+        own = F.array(*[F.struct((F.get("cost", F.lit(i)) + F.lit(price[i])).alias("w"), F.lit(i).alias("k")) for i in open_])
+        chosen = left.withColumn("o", F.array_sort(own)).withColumn("k", F.col("o")[0]["k"])
+        loss = F.coalesce(F.get("o", F.lit(1))["w"], F.lit(float("inf"))) - F.col("o")[0]["w"]
+        rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("loss"), "id"))
+        limits = F.array(*[F.lit(r) for r in room])
+        ranked = chosen.withColumn("loss", loss).withColumn("rank", rank).withColumn("in", F.col("rank") <= F.get(limits, F.col("k"))).persist()
+        inside = ranked.where("in").select("id", "k", F.get("cost", F.col("k")).alias("d2"))
+        done = inside if done is None else done.unionByName(inside)
+        taken = {r.k: r.n for r in ranked.where("in").groupBy("k").agg(F.count("*").alias("n")).collect()}
+        room = [room[i] - taken.get(i, 0) for i in range(k)]
+        if not any(room):
             break
-    return now
-
-
-def assign_capacities(cost: list[list[float]], sizes: list[int]) -> list[int]:
-    """Cluster of each sample so that clusters have given sizes at the least total cost: the
-    assignment problem by successive shortest paths. For inventories of a few thousand rows;
-    larger ones are an error, as the result would have to be held in one place."""
-    import numpy as np
-
-    n = len(cost)
-    if n > 5000:
-        raise ValueError("too many samples for an exact assignment")
-    slots = np.repeat(np.arange(len(sizes)), sizes)
-    c = np.asarray(cost, float)[:, slots]
-    m = c.shape[1]
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            row = match[j0]
-            free = np.flatnonzero(~used[1:]) + 1
-            slack = c[row - 1, free - 1] - u[row] - v[free]
-            better = slack < least[free]
-            least[free[better]], way[free[better]] = slack[better], j0
-            j1 = free[least[free].argmin()]
-            delta = least[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = [0] * n
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = int(slots[j - 1])
-    return out
+        left = ranked.where("not in").select("id", "cost")
+    return done
 
 
 def balance_summary(rows: DataFrame, cluster: str, label: str, chosen: str) -> DataFrame:

@@ -53,17 +53,36 @@ def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(held)).withColumn("__best", best).select(*points.columns, F.col("__best.k").alias("k"), F.col("__best.d2").alias("d2"))
 
 
+def nearest_of_other_fold(points: DataFrame, fold: str, radius: float, doublings: int = 40) -> DataFrame:
+    """``id, f, d``: for each point (``id, x, y``) the distance to the nearest one of another
+    fold. Points of a cell are looked up within the radius; the few that find none go on with
+    twice the radius, until all have one (or there is no other fold)."""
+    held = points.select("id", "x", "y", F.col(fold).alias("f")).persist()
+    if held.select("f").distinct().limit(2).count() < 2:
+        return held.select("id", "f", F.lit(None).cast("double").alias("d"))
+    left, out = held, None
+    for _ in range(doublings):
+        a = _cells(left, radius, False)
+        b = _cells(held.select("x", "y", "f").distinct(), radius, True).withColumnsRenamed({"x": "x2", "y": "y2", "f": "g"})
+        d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+        near = a.join(b, ["gx", "gy"]).where((F.col("f") != F.col("g")) & (d <= radius)).groupBy("id", "f").agg(F.min(d).alias("d")).persist()
+        out = near if out is None else out.unionByName(near)
+        left = left.join(near.select("id"), "id", "left_anti").persist()
+        if left.isEmpty():
+            break
+        radius *= 2
+    return out
+
+
 def dead_zone_report(points: DataFrame, fold: str, zone: float) -> DataFrame:
     """Per fold: rows inside and outside it, rows of it with a row of another fold nearer than
-    the zone, and the least such distance (null if none is nearer)."""
-    folds = points.select(F.col("id"), F.col(fold).alias("f"))
-    near = pairs_within(points, points, zone, strict=True)
-    near = near.join(folds, "id").join(folds.select(F.col("id").alias("other"), F.col("f").alias("g")), "other").where("f <> g")
-    least = near.groupBy("f", "id").agg(F.min("d").alias("d")).groupBy("f").agg(F.count("*").alias("n_near"), F.min("d").alias("least"))
+    the zone, and the least distance to one, however far."""
+    near = nearest_of_other_fold(points, fold, zone)
+    least = near.groupBy("f").agg(F.count_if(F.col("d") < zone).alias("n_near"), F.min("d").alias("least"))
     size = points.groupBy(F.col(fold).alias("f")).agg(F.count("*").alias("n_test"))
-    total = F.broadcast(points.agg(F.count("*").alias("n")))
-    out = size.crossJoin(total).join(least, "f", "left")
-    return out.select(F.col("f").alias(fold), "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "least")
+    total = points.count()
+    out = size.join(least, "f", "left")
+    return out.select(F.col("f").alias(fold), "n_test", (F.lit(total) - F.col("n_test")).alias("n_train"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "least")
 
 
 def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NODATA, is_valid
+from ..functions.scalars import NODATA, is_valid, uniform
 from .sampling import ranked
 
 
@@ -101,6 +101,62 @@ def band_masked(patches: DataFrame, band: int) -> DataFrame:
     return patches.withColumn("target", F.when(own, F.col("v"))).withColumn("v", F.when(own, 0.0).otherwise(F.col("v")))
 
 
+def band_error(masked: DataFrame, rebuilt: Column, band: int) -> DataFrame:
+    """``id, mse`` of a rebuilt band against its ``target`` (see ``band_masked``)."""
+    d = rebuilt - F.col("target")
+    return masked.where(F.col("band") == band).groupBy("id").agg(F.avg(d * d).alias("mse"))
+
+
+def panels(patches: DataFrame, rebuilt: Column, blocks: DataFrame, size: int, block: int) -> DataFrame:
+    """``id, band, row, col, shown, error``: what a model saw, and how far off it was."""
+    at = (F.floor(F.col("row") / block) * (size // block) + F.floor(F.col("col") / block)).cast("int")
+    rows = patches.withColumn("block", at).join(blocks, ["id", "block"])
+    return rows.select("id", "band", "row", "col", (F.col("v") * (1 - F.col("masked"))).alias("shown"), F.abs(rebuilt - F.col("v")).alias("error"))
+
+
+def flipped(patches: DataFrame, size: int, across: bool) -> DataFrame:
+    name = "col" if across else "row"
+    return patches.withColumn(name, size - 1 - F.col(name))
+
+
+def crop_resized(patches: DataFrame, top: int, left: int, side: int, size: int) -> DataFrame:
+    """A square of ``side`` pixels brought to ``size`` pixels, corners on corners, by the four
+    pixels around each place. Each pixel goes to the places that it weighs in: an equi join with
+    a table of weights, whose size is that of a patch."""
+    step = (side - 1) / (size - 1)
+
+    def axis(start: int) -> list[list[tuple[int, float]]]:
+        out = []
+        for i in range(size):
+            at = start + i * step
+            low = min(int(at), start + side - 2)
+            out.append([(low, 1 - (at - low)), (low + 1, at - low)])
+        return out
+
+    ys, xs = axis(top), axis(left)
+    rows = [(y, x, r, c, wy * wx) for r in range(size) for c in range(size) for y, wy in ys[r] for x, wx in xs[c]]
+    weights = patches.sparkSession.createDataFrame(rows, "row long, col long, r long, c long, w double")
+    out = patches.join(F.broadcast(weights), ["row", "col"])  # four rows for each pixel of one patch
+    return out.groupBy("id", "band", F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def noised(patches: DataFrame, sd: float, drop: float, seed: int) -> DataFrame:
+    """Normal noise on every pixel, and whole bands of a patch set to 0 with a probability; both
+    drawn by digest, so that a view is the same in every run."""
+    key = [F.col(c) for c in ("id", "band", "row", "col")]
+    radius = F.sqrt(-2 * F.log(1 - uniform(seed, *key, F.lit("a"))))
+    noise = sd * radius * F.cos(2 * 3.141592653589793 * uniform(seed, *key, F.lit("b")))
+    gone = uniform(seed, F.col("id"), F.col("band"), F.lit("drop")) < drop
+    return patches.withColumn("v", F.when(gone, 0.0).otherwise(F.col("v") + noise))
+
+
+def view_difference(left: DataFrame, right: DataFrame, least: float = 1e-6) -> DataFrame:
+    """``id, mean_difference, differ``: do two views of a patch differ at all?"""
+    other = right.select("id", "band", "row", "col", F.col("v").alias("w"))
+    d = left.join(other, ["id", "band", "row", "col"]).groupBy("id").agg(F.avg(F.abs(F.col("v") - F.col("w"))).alias("mean_difference"))
+    return d.withColumn("differ", F.col("mean_difference") > least)
+
+
 def contrastive_loss(pairs: DataFrame, temperature: float = 0.2) -> DataFrame:
     """NT-Xent of batches (``batch, pair, side, z``): the loss of each batch. Vectors are brought
     to unit length; a vector meets all others of its batch, whose size is a parameter of

@@ -22,6 +22,11 @@ def reliable_negatives(votes: DataFrame, least_ratio: float) -> DataFrame:
     return votes.where((F.col("times") > 0) & (F.col("ratio") > least_ratio))
 
 
+def low_scored(rows: DataFrame, most: float, mean: str = "mean_p") -> DataFrame:
+    """Candidates whose mean out-of-bag score is at most the limit (equal to it included)."""
+    return rows.where(F.col(mean) <= most)
+
+
 def standardised(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` on the scale of ``train``: population deviation, 1 where it is 0."""
     stats = train.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

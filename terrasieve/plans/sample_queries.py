@@ -126,7 +126,9 @@ def shared_and_lost_ids(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.select("user_id", F.when(F.col("n") == 2, "both").otherwise("one").alias("side"))
 
 
-@query()
+@query("""WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS p, count(*) FILTER (o_orderstatus <> 'F') AS q FROM orders GROUP BY o_custkey),
+r AS (SELECT o_custkey, row_number() OVER (ORDER BY p DESC, q DESC, md5(concat_ws('|', '42', o_custkey::VARCHAR)), o_custkey) - 1 AS i FROM g)
+SELECT o_custkey, CASE WHEN i // 5 % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END::INTEGER AS fold FROM r""")
 def group_safe_kfold(spark: SparkSession, sf: str) -> DataFrame:
     groups = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_pos"), F.count_if(F.col("o_orderstatus") != "F").alias("n_neg"))
     return E.group_folds(groups, "o_custkey", 5)

@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import cluster as C
 from ..operators import geo as G
 from ..operators import patch as T
+from ..operators import sampling as E
 from ..registry import query, table
 from .metric_queries import r9
 
@@ -78,7 +79,7 @@ def nearest_with_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {POINTS}, f AS (SELECT *, label % 5 AS fold FROM p), d AS (SELECT a.fold, a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM f a JOIN f b ON a.fold <> b.fold GROUP BY ALL)
-SELECT fold, count(*) AS n_test, (SELECT count(*) FROM f) - count(*) AS n_train, count(*) FILTER (d < 0.02) AS n_near, round(min(d) FILTER (d < 0.02), 9) AS least FROM d GROUP BY fold""")
+SELECT fold, count(*) AS n_test, (SELECT count(*) FROM f) - count(*) AS n_train, count(*) FILTER (d < 0.02) AS n_near, round(min(d), 9) AS least FROM d GROUP BY fold""")
 def fold_dead_zone_report(spark: SparkSession, sf: str) -> DataFrame:
     return r9(G.dead_zone_report(points(spark, sf).withColumn("fold", F.col("label") % 5), "fold", 0.02), "least")
 
@@ -147,8 +148,78 @@ def nt_xent(spark: SparkSession, sf: str) -> DataFrame:
     return r9(T.contrastive_loss(z), "loss", digits=6)
 
 
-@query(f"""WITH {GRID}, n AS (SELECT a.id, a.band, a.row, a.col, b.v FROM g a JOIN g b ON a.id = b.id AND a.band = b.band AND a.v = -9999 AND b.v <> -9999 WHERE (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 9
-QUALIFY row_number() OVER (PARTITION BY a.id, a.band, a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) = 1)
-SELECT g.id, g.band, g.row, g.col, CASE WHEN g.v = -9999 THEN coalesce(n.v, -9999) ELSE g.v END AS v FROM g LEFT JOIN n USING (id, band, row, col)""")
+@query(f"""WITH {GRID}, o AS (
+  SELECT dy, dx, dy * dy + dx * dx AS d2 FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)
+  WHERE dy * dy + dx * dx BETWEEN 1 AND 9
+), asked AS (SELECT id, band, row AS r, col AS c, row + dy AS row, col + dx AS col, d2 FROM g, o WHERE v = -9999),
+n AS (
+  SELECT id, band, r AS row, c AS col, first(g.v ORDER BY d2, row, col) AS fill
+  FROM asked JOIN g USING (id, band, row, col) WHERE g.v <> -9999 GROUP BY ALL
+)
+SELECT id, band, row, col, CASE WHEN g.v = -9999 THEN coalesce(fill, -9999) ELSE g.v END AS v FROM g LEFT JOIN n USING (id, band, row, col)""")
 def nearest_valid_fill(spark: SparkSession, sf: str) -> DataFrame:
     return T.filled_nearest(pixels(spark, sf), 3)
+
+
+@query(f"WITH {GRID}, b AS (SELECT id, row, col, v, 0.9 * v AS rebuilt FROM g WHERE band = 2) SELECT id, round(avg((rebuilt - v) * (rebuilt - v)), 4) AS mse FROM b GROUP BY id")
+def masked_band_error(spark: SparkSession, sf: str) -> DataFrame:
+    return r9(T.band_error(T.band_masked(pixels(spark, sf), 2), F.col("target") * 0.9, 2), "mse", digits=4)
+
+
+@query(f"""WITH {GRID}, b AS (SELECT id, block, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '42', id::VARCHAR, block::VARCHAR)), block) <= 2 THEN 1 ELSE 0 END AS masked FROM (SELECT DISTINCT id FROM g), (SELECT unnest(range(4)) AS block))
+SELECT id, band, row, col, v * (1 - masked) AS shown, round(abs(0.9 * v - v), 9) AS error FROM g JOIN b USING (id) WHERE block = row // 4 * 2 + col // 4""")
+def masked_panels(spark: SparkSession, sf: str) -> DataFrame:
+    g = pixels(spark, sf)
+    blocks = T.block_mask(g.select("id").distinct(), 8, 4, 0.5, 42)
+    return r9(T.panels(g, F.col("v") * 0.9, blocks, 8, 4), "error")
+
+
+@query(f"""WITH {GRID}, f AS (SELECT id, band, row, 7 - col AS col, v FROM g), d AS (SELECT id, avg(abs(g.v - f.v)) AS d FROM g JOIN f USING (id, band, row, col) GROUP BY id)
+SELECT id, round(d, 6) AS mean_difference, d > 1e-6 AS differ FROM d""")
+def views_differ(spark: SparkSession, sf: str) -> DataFrame:
+    g = pixels(spark, sf)
+    return r9(T.view_difference(g, T.flipped(g, 8, across=True)), "mean_difference", digits=6)
+
+
+@query(f"""WITH {GRID}, s AS (SELECT row, col, 1 + row * (5 - 1) / 7.0::DOUBLE AS y, 2 + col * (5 - 1) / 7.0::DOUBLE AS x FROM (SELECT unnest(range(8)) AS row), (SELECT unnest(range(8)) AS col)),
+q AS (SELECT row, col, least(floor(y)::BIGINT, 4) AS y0, least(floor(x)::BIGINT, 5) AS x0, y, x FROM s)
+SELECT a.id, a.band, q.row, q.col, round((1 - (y - y0)) * ((1 - (x - x0)) * a.v + (x - x0) * b.v) + (y - y0) * ((1 - (x - x0)) * c.v + (x - x0) * d.v), 6) AS v FROM q
+JOIN g a ON a.row = y0 AND a.col = x0 JOIN g b ON b.id = a.id AND b.band = a.band AND b.row = y0 AND b.col = x0 + 1
+JOIN g c ON c.id = a.id AND c.band = a.band AND c.row = y0 + 1 AND c.col = x0 JOIN g d ON d.id = a.id AND d.band = a.band AND d.row = y0 + 1 AND d.col = x0 + 1""")
+def cropped_and_resized(spark: SparkSession, sf: str) -> DataFrame:
+    return r9(T.crop_resized(pixels(spark, sf), 1, 2, 5, 8), "v", digits=6)
+
+
+NOISE = "(('0x' || substr(md5(concat_ws('|', '6', id::VARCHAR, band::VARCHAR, row::VARCHAR, col::VARCHAR, '{}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH {GRID} SELECT id, band, row, col, round(CASE WHEN ('0x' || substr(md5(concat_ws('|', '6', id::VARCHAR, band::VARCHAR, 'drop')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2::DOUBLE THEN 0
+ELSE v + 0.05 * sqrt(-2 * ln(1 - {NOISE.format("a")})) * cos(2 * 3.141592653589793::DOUBLE * {NOISE.format("b")}) END, 6) AS v FROM g""")
+def noised_patch(spark: SparkSession, sf: str) -> DataFrame:
+    return r9(T.noised(pixels(spark, sf), 0.05, 0.2, 6), "v", digits=6)
+
+
+@query(f"""WITH {POINTS}, k AS (SELECT id, x, y, label % 4 AS k0 FROM p), c AS (SELECT k0 AS k, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM k GROUP BY k0)
+SELECT k, round(cx, 9) AS cx, round(cy, 9) AS cy, n FROM c""")
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf).withColumn("k", F.col("label") % 4).withColumn("d2", F.lit(0.0))
+    return r9(C.centroids(p).select("k", "cx", "cy", "n"), "cx", "cy")
+
+
+@query(f"""WITH {ASSIGNED}, s(seed, inertia) AS (SELECT 0, sum(d2) FROM a UNION ALL SELECT 1, sum(d2) * 1.5 FROM a UNION ALL SELECT 2, sum(d2) FROM a) SELECT seed, round(inertia, 8) AS inertia FROM s ORDER BY s.inertia, seed LIMIT 1""")
+def lowest_inertia(spark: SparkSession, sf: str) -> DataFrame:
+    total = G.nearest_centre(points(spark, sf), centres(spark)).agg(F.sum("d2").alias("t"))
+    each = total.select(F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), (F.col("t") * f).alias("inertia")) for i, f in ((0, 1.0), (1, 1.5), (2, 1.0))])).alias("s"))
+    return C.lowest(each.select("s.*")).withColumn("inertia", F.round("inertia", 8))
+
+
+@query()
+def kmeans_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds 0 to 5 with two restarts each: a row per seed, the best marked."""
+    return C.seed_search(points(spark, sf).select("id", "x", "y"), 4, range(6), restarts=2)
+
+
+@query()
+def capacity_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf).select("id", "x", "y")
+    return C.assign_capacities(p, centres(spark), E.capacities(p.count(), 4))

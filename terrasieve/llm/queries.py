@@ -74,7 +74,8 @@ def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    # Rows with a null id are not held out, nor learned from.
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query
@@ -91,6 +92,16 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages"))
 
 
+SQL["op10_warc_round_trip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, html, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM s
+"""
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -287,15 +287,18 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5, all columns as they were."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    # The text is copied under a name of its own; the other columns pass through Arrow untouched.
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
+        # Columns pass through untouched.
         for b in batches:
             rows = ["" if t is None else t for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(rows), pa.float64())], names=[*b.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(rows), pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema).where("__score < 0.5").drop("__score")
+    return docs.mapInArrow(run, schema).where(F.col(name) < 0.5).drop(name)

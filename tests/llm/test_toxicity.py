@@ -70,3 +70,87 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in T.score(docs, T.fit(docs, none)).collect()] == [0.0]
     assert T.score(docs.limit(0), T.fit(docs.limit(0), none)).count() == 0
+
+
+def plain_features(text, lex):
+    """The features as their names say, word by word."""
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return dict.fromkeys(T.FEATURES, 0.0)
+    bare = [w.strip(T.EDGE) for w in words]
+    stem = [max((lex.stems[s] for s in (b[:4], b[:5], b[:6]) if s in lex.stems and len(b) > len(s)), default=None) for b in bare]
+    hit = [b in lex.words or s is not None for b, s in zip(bare, stem, strict=True)]
+    you = [b in T.SECOND_PERSON for b in bare]
+    near = max([1 / (1 + abs(i - k)) for i in range(n) for k in range(n) if hit[i] and you[k] and abs(i - k) <= 5], default=0.0)
+    raw = text.encode()
+    letters = max(1, sum(c < 128 and chr(c).isalpha() for c in raw))
+    odd = [bool(T.MIXED.search(b)) for b in bare]
+    in_words = {w: lex.words[b] for w, b in zip(words, bare, strict=True) if b in lex.words}
+    in_stems = {w: s for w, s in zip(words, stem, strict=True) if s is not None}
+    return {
+        "word_hits": sum(b in lex.words for b in bare),
+        "word_density": sum(b in lex.words for b in bare) / n,
+        "word_weight": sum(in_words.values()),
+        "word_top": max(in_words.values(), default=0.0),
+        "stem_hits": sum(s is not None for s in stem),
+        "stem_density": sum(s is not None for s in stem) / n,
+        "stem_weight": sum(in_stems.values()),
+        "stem_top": max(in_stems.values(), default=0.0),
+        "near_you": near,
+        "you_density": sum(you) / n,
+        "capitals": sum(65 <= c <= 90 for c in raw) / letters,
+        "shouted": sum(c in b"!?" for c in raw) / n,
+        "punctuation": sum(33 <= c < 48 or 58 <= c < 65 for c in raw) / len(raw),
+        "symbols": sum(c in b"#$%&*<>|" for c in raw) / len(raw),
+        "mixed_rate": sum(odd) / n,
+        "mixed_hits": sum(b.translate(T.UNDO) in lex.words for b, o in {w: (b, o) for w, b, o in zip(words, bare, odd, strict=True)}.values() if o),
+        "log_words": np.log1p(n),
+    }
+
+
+def test_features_word_by_word():
+    r = random.Random(2)
+    lex = T.Lexicon({"blarg": 5.0, "snerk": 4.0, "you": 3.5}, {"quxo": 4.5, "quxor": 6.0, "snerk": 3.0})
+    pool = ["blarg", "Blarg!", "snerking", "QUXORIA", "quxo", "you", "Dich", "fine", "b1arg", "sn*rk", "a#b", "<x>", "ÄRGER", "12", "--", "you?"]
+    for _ in range(300):
+        text = "  ".join(r.choice(pool) for _ in range(r.randrange(0, 25)))
+        got, want = dict(zip(T.FEATURES, T.features(text, lex), strict=True)), plain_features(text, lex)
+        assert got == pytest.approx(want), text
+
+
+def test_trees_and_calibration_row_by_row(planted):
+    docs, labels, _ = planted
+    model = T.fit(docs, labels)
+    rows = [t or "" for (t,) in docs.select("text").limit(200).collect()]
+    for text, got in zip(rows, model.score(rows), strict=True):
+        x, t = T.features(text, model.lexicon), model.trees
+        raw = t.base
+        for f, c, leaf in zip(t.feature, t.cut, t.leaf, strict=True):
+            node = 0
+            while node < 2**T.DEPTH - 1:
+                b = sum(e < x[f[node]] for e in t.edges[f[node]])
+                node = 2 * node + (2 if b > c[node] else 1)
+            raw += leaf[node - (2**T.DEPTH - 1)]
+        want = 0.98 * np.interp(raw, *model.knots) + 0.02 / (1 + np.exp(-raw))
+        assert got == pytest.approx(min(max(want, 0.0), 1.0))
+
+
+def test_query_columns(spark, planted, tmp_path):
+    import zlib
+
+    from terrasieve.llm.queries import op8_toxicity_scores
+
+    docs, labels, _ = planted
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for r in op8_toxicity_scores(spark, str(tmp_path)).collect():
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+
+
+def test_long_texts_and_clashing_columns(spark, planted):
+    docs, labels, _ = planted
+    model = T.fit(docs, labels)
+    df = spark.createDataFrame([(1, "fine " * 300_000, 1.0, 2.0), (2, "you blarg snerk", None, 3.0)], "doc_id long, text string, __score double, __score_ double")
+    assert [(r.doc_id, r["__score_"]) for r in T.keep_clean(df, model).collect()] == [(1, 2.0)]

@@ -17,6 +17,8 @@ SCHEMA = "chunk long, ids array<long>, sizes array<int>, digests array<binary>,
 #: Bytes of text that one bucket should hold, and the most buckets that Spark should have to keep.
 BUCKET_BYTES = 48_000_000
 MOST_BUCKETS = 50_000
+#: What drops the tables of this process that are still there.
+_kept: list[Callable[[], None]] = []
 
 
 def packed(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -47,10 +49,19 @@ def write_table(df: DataFrame, total_bytes: int) -> tuple[DataFrame, Callable[[]
     def drop() -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_path(spark, path)
+        _kept.remove(drop)
 
+    _kept.append(drop)
     return spark.table(name), drop
 
 
+def drop_tables() -> None:
+    """Drops the chunk tables of this process with their files: call it when results that were
+    read from them (``repeats.remove_repeats``) have been written."""
+    for drop in list(_kept):
+        drop()
+
+
 def chunk_table(docs: DataFrame, total_bytes: int, chunk_bytes: int) -> tuple[DataFrame, Callable[[], None]]:
     """``docs (doc_id, text)`` as chunks of whole documents: ids, byte sizes, SHA-256 digests,
     and all bytes in a row; and what drops the table."""

@@ -152,11 +152,15 @@ def _second(chunk: Chunk, ranges: int, masks: dict[int, bytes], first_ranges: in
 
 def _copies(chunks: DataFrame) -> DataFrame:
     """``chunk, copies``: of each chunk the documents that have copies, and whether one takes
-    part for its group."""
+    part for its group. Copies within a chunk are one row (chunks are bucketed, so that takes no
+    shuffle): a text has a row for each chunk it is in, however often it is repeated."""
     each = chunks.select("chunk", F.posexplode("digests").alias("k", "digest"))
-    groups = each.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "k")).alias("least")).where("n > 1")
-    marked = each.join(groups, "digest").select("chunk", "k", (F.struct("chunk", "k") == F.col("least")).alias("stays"))
-    return marked.groupBy("chunk").agg(F.collect_list(F.struct("k", "stays")).alias("copies"))
+    own = each.groupBy("chunk", "digest").agg(F.collect_list("k").alias("ks"))
+    first = F.min(F.struct("chunk", F.array_min("ks").alias("k"))).alias("least")
+    groups = own.groupBy("digest").agg(F.sum(F.size("ks")).alias("n"), first).where("n > 1").select("digest", "least")
+    stays = lambda k: (F.col("chunk") == F.col("least.chunk")) & (k == F.col("least.k"))
+    marked = own.join(groups, "digest").select("chunk", F.transform("ks", lambda k: F.struct(k.alias("k"), stays(k).alias("stays"))).alias("some"))
+    return marked.groupBy("chunk").agg(F.flatten(F.collect_list("some")).alias("copies"))
 
 
 def _twice(sent: pd.DataFrame) -> pd.DataFrame:

@@ -76,3 +76,21 @@ def test_many_chunks_and_ranges():
 
 def test_empty_table(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_within_and_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK_BYTES", 3000)
+    r = random.Random(2)
+    hot = "".join(r.choice("abcdef ") for _ in range(450))
+    rows = [(i, hot) for i in range(60)] + [(100 + i, "".join(r.choice("abcdef ") for _ in range(300))) for i in range(20)] + [(200, hot[:300]), (201, "short"), (202, "short")]
+    got = sorted((*x[:4], bytes(x[4])) for x in R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted(brute(rows))
+
+
+def test_tables_are_dropped(spark):
+    from terrasieve.llm import chunks
+
+    out = R.remove_repeats(spark.createDataFrame(fixture(), "doc_id long, text string"))
+    assert out.count() == len(fixture())
+    chunks.drop_tables()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("terrasieve_chunks")]

@@ -67,15 +67,35 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def id_ranges(docs: DataFrame, per_range: int = 512) -> tuple[Column, DataFrame, int]:
-    """Cuts the ids into ranges of equal width with about ``per_range`` rows each: the range of
-    a ``doc_id`` (from 0), ``range, following`` of the ranges that hold any (after the last: the
-    first), and the least id. The range that follows is looked for in groups of ranges, and the
-    one that follows the last range of a group among groups."""
+def _below(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are at most the value, as nested comparisons."""
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value >= F.lit(bounds[mid]), pick(mid + 1, high)).otherwise(pick(low, mid))
+
+    return pick(0, len(bounds))
+
+
+def id_ranges(docs: DataFrame, per_range: int = 512, segments: int = 128) -> tuple[Column, DataFrame, int]:
+    """Cuts the ids into ranges with about ``per_range`` rows each: the range of a ``doc_id``
+    (from 0), ``range, following`` of the ranges that hold any (after the last: the first), and
+    the least id. Ids are cut at ``segments`` quantiles, and each segment in equal widths, so that
+    ids far from all others only widen the ranges of their own segment. The range that follows is
+    looked for in groups of ranges, and the one that follows the last range of a group among
+    groups."""
     seen = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
-    least, span = seen.a or 0, ((seen.b or 0) - (seen.a or 0) + 1)
-    width = max(1, span * per_range // max(1, seen.n))
-    number = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(least)) / F.lit(width)).cast("long")
+    least, value = seen.a or 0, F.col("doc_id").cast("double")
+    k = max(1, min(segments, seen.n // per_range))
+    cuts = docs.select(value.alias("v")).where("v is not null").approxQuantile("v", [i / k for i in range(1, k)], 0.25 / k) if k > 1 else []
+    bounds = sorted({float(least), *cuts, float(seen.b or 0) + 1.0})
+    bounds = bounds if len(bounds) > 1 else [bounds[0], bounds[0] + 1.0]
+    width, at = max(1, -(-seen.n // (per_range * (len(bounds) - 1)))), _below(value, bounds[1:-1])
+    low, high = (F.get(F.array(*[F.lit(b) for b in x]), at) for x in (bounds[:-1], bounds[1:]))
+    inner = F.least(F.floor((value - low) / (high - low) * width), F.lit(width - 1))
+    number = (at * width + inner).cast("long")
     held = docs.where("doc_id is not null").select(number.alias("range")).distinct().withColumn("group", F.floor(F.col("range") / 1024))
     held = held.withColumn("after", F.lead("range").over(Window.partitionBy("group").orderBy("range")))
     groups = held.groupBy("group").agg(F.min("range").alias("first"))

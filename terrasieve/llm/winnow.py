@@ -14,7 +14,8 @@ Null text counts as empty: no tokens, fingerprint ``""``. The likeness of two fi
 the Jaccard index of their hash sets; 1 if both are empty. Rows with a null ``doc_id`` come
 after all others, each followed by the first document. Of repeated ids the least text stands for
 the next document; each repeated row has its own result. An empty table gives an empty result.
-Columns besides ``doc_id`` and ``text`` are ignored. Texts are taken whole.
+Columns besides ``doc_id`` and ``text`` are ignored. Texts are taken whole; one has
+``PLACES`` tokens at most, as a position has 27 bits.
 """
 
 from __future__ import annotations

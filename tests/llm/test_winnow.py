@@ -68,3 +68,21 @@ def test_nulls_ties_and_empty(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, "p q r s", "a"), (5, "b", "c c c"), (5, "a", "c c c"), (5, "a", "c c c"), (9, "c c c", "a")], key=str)
     assert [tuple(x) for x in W.with_next(spark.createDataFrame([(None, "x")], "doc_id long, text string")).collect()] == [(None, "x", "x")]
     assert W.compare(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ranges_keep_order_and_bear_far_ids(spark):
+    from terrasieve.llm.common import id_ranges
+
+    r = random.Random(7)
+    ids = sorted({r.randrange(1000) for _ in range(300)} | {10**6 + k for k in range(200)} | {-(2**62), 2**62, 2**53 + 1, 2**53 + 2})
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long")
+    number, following, least = id_ranges(df, per_range=10, segments=16)
+    of = {x.doc_id: x.n for x in df.where("doc_id is not null").select("doc_id", number.alias("n")).collect()}
+    seen = [of[i] for i in ids]
+    assert least == ids[0] and seen == sorted(seen)
+    held = sorted(set(seen))
+    assert {x["range"]: x.following for x in following.collect()} == dict(zip(held, [*held[1:], held[0]], strict=True))
+    assert max(seen.count(n) for n in held) <= 60
+    for few in ([], [(5,)], [(5,), (5,)], [(None,)]):
+        number, following, _ = id_ranges(spark.createDataFrame(few, "doc_id long"))
+        assert following.count() == len({x for (x,) in few if x is not None})

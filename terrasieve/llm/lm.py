@@ -69,7 +69,7 @@ RANGE_WORDS = 1_000_000
 ROUNDS = 4
 #: Bytes of text whose replicas one task trains; it answers with one set of weights a round.
 TASK_BYTES = 32_000_000
-FAN_IN = 32
+FAN_IN = 8
 ADD = 0.1
 
 

@@ -3,6 +3,8 @@ neighbouring cells of a grid as wide as the radius, by equi joins."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,25 +55,43 @@ def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
     return points.crossJoin(F.broadcast(held)).withColumn("__best", best).select(*points.columns, F.col("__best.k").alias("k"), F.col("__best.d2").alias("d2"))
 
 
-def nearest_of_other_fold(points: DataFrame, fold: str, radius: float, doublings: int = 40) -> DataFrame:
+def _level_cells(points: DataFrame, radius: float, spread: bool) -> DataFrame:
+    """``points (x, y, level)`` with the cell of a grid as wide as radius * 2 ** level, or with
+    the nine cells around."""
+    width = F.lit(radius) * F.pow(F.lit(2.0), F.col("level"))
+    gx, gy = F.floor(F.col("x") / width), F.floor(F.col("y") / width)
+    if not spread:
+        return points.withColumns({"gx": gx, "gy": gy})
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    out = points.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    return out.withColumns({"gx": gx + F.col("dx"), "gy": gy + F.col("dy")}).drop("dx", "dy")
+
+
+def nearest_of_other_fold(points: DataFrame, fold: str, radius: float) -> DataFrame:
     """``id, f, d``: for each point (``id, x, y``) the distance to the nearest one of another
-    fold. Points of a cell are looked up within the radius; the few that find none go on with
-    twice the radius, until all have one (or there is no other fold)."""
+    fold, null if there is no other fold. Most points find one within the radius. The others look
+    for the finest grid, of widths that double, in which one of the nine cells around them holds
+    another fold; the nearest point is less than three such cells away, so the nine cells of the
+    grid four times as wide hold it."""
     held = points.select("id", "x", "y", F.col(fold).alias("f")).persist()
-    if held.select("f").distinct().limit(2).count() < 2:
-        return held.select("id", "f", F.lit(None).cast("double").alias("d"))
-    left, out = held, None
-    for _ in range(doublings):
-        a = _cells(left, radius, False)
-        b = _cells(held.select("x", "y", "f").distinct(), radius, True).withColumnsRenamed({"x": "x2", "y": "y2", "f": "g"})
-        d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-        near = a.join(b, ["gx", "gy"]).where((F.col("f") != F.col("g")) & (d <= radius)).groupBy("id", "f").agg(F.min(d).alias("d")).persist()
-        out = near if out is None else out.unionByName(near)
-        left = left.join(near.select("id"), "id", "left_anti").persist()
-        if left.isEmpty():
-            break
-        radius *= 2
-    return out
+    a = _cells(held, radius, False)
+    b = _cells(held.select("x", "y", "f").distinct(), radius, True).withColumnsRenamed({"x": "x2", "y": "y2", "f": "g"})
+    d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+    near = a.join(b, ["gx", "gy"]).where((F.col("f") != F.col("g")) & (d <= radius)).groupBy("id", "f").agg(F.min(d).alias("d")).persist()
+    left = held.join(near.select("id"), "id", "left_anti").persist()
+    if left.isEmpty():
+        return near
+    box = held.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    most = max(1, math.ceil(math.log2(max(box.w, box.h, radius) / radius)) + 1)
+    levels = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
+    there = _level_cells(held.withColumn("level", levels(1, most)), radius, False).select("level", "gx", "gy", F.col("f").alias("g")).distinct()
+    asked = _level_cells(left.withColumn("level", levels(1, most)), radius, True)
+    found = asked.join(there, ["level", "gx", "gy"]).where("f <> g").groupBy("id").agg((F.min("level") + 2).alias("level"))
+    wide = _level_cells(left.join(found, "id"), radius, True)
+    others = _level_cells(held.withColumn("level", levels(3, most + 2)), radius, False).select("level", "gx", "gy", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("f").alias("g"))
+    far = wide.join(others, ["level", "gx", "gy"]).where("f <> g").groupBy("id", "f").agg(F.min(d).alias("d"))
+    alone = left.join(found, "id", "left_anti").select("id", "f", F.lit(None).cast("double").alias("d"))
+    return near.unionByName(far).unionByName(alone)
 
 
 def dead_zone_report(points: DataFrame, fold: str, zone: float) -> DataFrame:

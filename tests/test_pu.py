@@ -27,3 +27,24 @@ def test_forest_query_has_the_references_defaults(spark, sf, monkeypatch):
         pass
     assert calls == [(64, 50, True)]
     assert forests[0]["numTrees"] == 100 and forests[0]["maxDepth"] == 30
+
+
+def test_small_forests_score_what_was_not_drawn(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    near = [(i, r.gauss(0, 1), r.gauss(0, 1)) for i in range(40)]
+    rest = [(100 + i, *((r.gauss(0, 1), r.gauss(0, 1)) if i % 4 == 0 else (r.gauss(6, 1), r.gauss(6, 1)))) for i in range(80)]
+    positives, unlabeled = (spark.createDataFrame(x, "id long, a double, b double") for x in (near, rest))
+    scored = P.bagged_scores(positives, unlabeled, ["a", "b"], "id", 3, 40, trees=10, depth=5, parallel=3)
+    drawn = P.bags(unlabeled, 3, 40, 42, "id").where("not in_bag").select("id", "iteration").collect()
+    got = scored.collect()
+    assert sorted((x.id, x.iteration) for x in got) == sorted(map(tuple, drawn)) and all(0 <= x.p <= 1 for x in got)
+    votes = P.tally_votes(scored, "id", "p", 0.5)
+    kept = {x.id for x in P.reliable_negatives(votes, 0.5).collect()}
+    like = {i for i, a, b in rest if a < 3}
+    assert kept and len(kept & like) <= 2
+    low = P.low_scored(votes, 0.5).where(F.col("times") > 0)
+    assert {x.id for x in low.collect()} >= kept - like

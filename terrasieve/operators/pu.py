@@ -50,25 +50,24 @@ def bagged_scores(
     """``key, iteration, p``: in each iteration a random forest learns positives against m drawn
     unlabeled rows and scores those that were not drawn. A depth of 30 is the greatest that
     Spark has. ``parallel`` models are trained at the same time; rows never come to the driver,
-    and draws are made once."""
+    and draws and vectors are made once. Values are not standardised: the splits of trees go by
+    the order of values, which an affine scale keeps."""
     from multiprocessing.pool import ThreadPool
 
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    drawn = bags(unlabeled, iterations, m, seed, key).persist()
-    known = positives.select(*columns, F.lit(1.0).alias("label")).persist()
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
+    drawn = assembler.transform(bags(unlabeled, iterations, m, seed, key)).select(key, "iteration", "in_bag", "features").persist()
+    known = assembler.transform(positives).select("features", F.lit(1.0).alias("label")).persist()
 
     def one(i: int) -> DataFrame:
         own = drawn.where(F.col("iteration") == i)
-        train = known.unionByName(own.where("in_bag").select(*columns, F.lit(0.0).alias("label")))
-        rows = assembler.transform(standardised(train, train, columns)).select("features", "label")
+        rows = known.unionByName(own.where("in_bag").select("features", F.lit(0.0).alias("label")))
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed + i, maxMemoryInMB=1024)
-        model = forest.fit(rows)
-        rest = assembler.transform(standardised(train, own.where("not in_bag").select(key, *columns), columns))
-        return model.transform(rest).select(key, F.lit(i).alias("iteration"), vector_to_array("probability")[1].alias("p"))
+        rest = own.where("not in_bag").select(key, "features")
+        return forest.fit(rows).transform(rest).select(key, F.lit(i).alias("iteration"), vector_to_array("probability")[1].alias("p"))
 
     with ThreadPool(parallel) as pool:
         scored = pool.map(one, range(iterations))

@@ -68,7 +68,11 @@ def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
-def point_file(names: list[str], preferred: str = "landslide_points.csv", prefix: str = "landslide") -> str:
+#: Names under which inventories of points are delivered, fixed values.
+POINT_FILE, POINT_PREFIX = "landslide_points.csv", "landslide"
+
+
+def point_file(names: list[str], preferred: str = POINT_FILE, prefix: str = POINT_PREFIX) -> str:
     """The file of points among names of a folder: the preferred one, else the only CSV file with
     the prefix; none or several are an error."""
     if preferred in names:

@@ -17,8 +17,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts
 
@@ -249,26 +250,26 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """``doc_id`` and the ids of its whole text. ``path``: rank file; ``pattern``: the split."""
     path, pattern = _default(path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TextEncoder(path, pattern)
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode(b["text"].tolist())]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": ids})
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return texts(docs).mapInPandas(run, ENCODED_SCHEMA)
+    return texts(docs).mapInArrow(run, ENCODED_SCHEMA)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id`` and the bytes of its ids, from what ``encode`` returns (null ids: empty)."""
     path, _ = _default(path, "-")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for b in batches:
-            out = [bpe.decode(np.asarray(x)) if x is not None else b"" for x in b["ids"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "bytes": out})
+            out = [bpe.decode(np.array(x, np.int64)) if x is not None else b"" for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -276,13 +277,16 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     decode to. Both ways run in one pass, so that ids needn't leave the worker."""
     path, pattern = _default(path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TextEncoder(path, pattern)
         for b in batches:
-            rows = []
-            for raw in enc.encode(b["text"].tolist()):
+            n, own, decoded = [], [], []
+            for raw in enc.encode(b.column(1).to_pylist()):
                 back = enc.bpe.decode(np.frombuffer(raw, "<u4"))
-                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].astype("Int64").values)[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+                n.append(len(raw) // 4)
+                own.append(hashlib.sha256(raw).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInPandas(run, DIGEST_SCHEMA)
+    return texts(docs).mapInArrow(run, DIGEST_SCHEMA)

@@ -53,6 +53,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def row_rank(docs: DataFrame) -> Column:
+    """A hash over all columns of a row, by which rows that tie in their keys are told apart
+    (columns of types without a hash, such as maps, are taken as JSON)."""
+    plain = lambda f: F.to_json(F.struct(docs[f.name])) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else docs[f.name]
+    return F.xxhash64(*[plain(f) for f in docs.schema.fields])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, words
+from .common import materialise, row_rank, words
 
 TARGET_ENTROPY = 0.95
 MAX_REPETITION = 1.5
@@ -149,15 +149,15 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it, with all their columns.
 
     Rows that agree in id, text and source have taken their places together: each of k such rows
-    stands for a k-th of them, rounded down, and what is left of the division goes to one of
-    them. So the result has a row for each placement.
+    stands for a k-th of them, rounded down, and what is left of the division goes to
+    the one of them whose columns have the least hash. So the result has a row for each placement.
     """
     placed = placements(docs, **how).groupBy(F.col("doc_id").alias("__a"), F.col("__row").alias("__b")).agg(F.count("*").alias("__t"))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), _row_key().alias("__key"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), _row_key().alias("__key"), row_rank(docs).alias("__rank"))
     copies = own.groupBy(F.col("__id").alias("__c"), F.col("__key").alias("__d")).agg(F.count("*").alias("__k"))
     times = placed.join(copies, F.col("__a").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__d"))).select("__a", "__b", F.floor(F.col("__t") / F.col("__k")).cast("int").alias("__n"), (F.col("__t") % F.col("__k")).cast("int").alias("__left"))
     rows = own.join(times, F.col("__id").eqNullSafe(F.col("__a")) & (F.col("__key") == F.col("__b")))
-    left = rows.where("__left > 0").groupBy("__id", "__key").agg(F.any_value("__all").alias("__all"), F.max("__left").alias("__n"))
+    left = rows.where("__left > 0").groupBy("__id", "__key").agg(F.min_by("__all", "__rank").alias("__all"), F.max("__left").alias("__n"))
     every = rows.select("__all", "__n").unionByName(left.select("__all", "__n")).where("__n > 0")
     every = every.select("__all", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
     return every.select(*[F.col("__all").getField(c).alias(c) for c in docs.columns])

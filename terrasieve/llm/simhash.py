@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, row_rank, texts
 from .components import connected_components
 
 THRESHOLD = 3
@@ -178,13 +179,14 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, fp``: a hash of the text, and the fingerprint as a signed integer."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(shingle_hashes(t)) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "fp": fp.view(np.int64)})
+            fp = np.array([fingerprint(shingle_hashes(t)) for t in b.column(1).to_pylist()], np.uint64)
+            # Ids pass through as they are: pandas would make floats of ids beside a null.
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "digest", "fp"])
 
     held = texts(docs)
-    return held.withColumn("digest", F.xxhash64("text")).mapInPandas(run, "doc_id long, digest long, fp long")
+    return held.withColumn("digest", F.xxhash64("text")).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _roots(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -298,13 +300,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each component stays, the one
     with the least ``doc_id`` (of different texts with this id the one of the least hash; of
-    rows with the same id and text any one). Rows with a null ``doc_id`` all stay."""
+    rows with the same id and text the one whose other columns have the least hash, and rows that
+    tie in this too are alike). Rows with a null ``doc_id`` all stay."""
     marked = materialise(fingerprints(docs), "simhash").where("doc_id is not null")
     classes = _classes(marked, threshold).select("fp", "class")
     first = marked.join(classes, "fp").groupBy("class").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     stay = first.select(F.col("first.doc_id").alias("__a"), F.col("first.digest").alias("__b")).distinct()
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__digest"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__all"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__digest"), row_rank(docs).alias("__rank"))
     kept = own.join(stay, (F.col("__id") == F.col("__a")) & (F.col("__digest") == F.col("__b")), "left_semi")
-    kept = kept.groupBy("__id", "__digest").agg(F.any_value("__all").alias("__all")).select("__all")
+    kept = kept.groupBy("__id", "__digest").agg(F.min_by("__all", "__rank").alias("__all")).select("__all")
     kept = kept.unionByName(own.where("__id is null").select("__all"))
     return kept.select(*[F.col("__all").getField(c).alias(c) for c in docs.columns])

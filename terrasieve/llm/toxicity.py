@@ -229,7 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(fold(5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows ids and labels: small enough to be sent to every executor.
-    sample = texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)).cast("int").alias("part"))
+    # Of rows with one id, that with the least hash of its text is learned from.
+    sample = texts(docs).withColumn("__h", F.xxhash64("text")).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.struct("__h", "text")).alias("s")).select("doc_id", "s.*")
+    sample = sample.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)).cast("int").alias("part"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -276,11 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": model.score(b["text"].tolist())})
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:  # ids pass through as they are
+            scores = pa.array(model.score(b.column(1).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["doc_id", "score"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:

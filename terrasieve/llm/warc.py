@@ -266,12 +266,15 @@ def read(found: DataFrame) -> DataFrame:
     """The records at the ranges that ``lookup`` returns: ``page_id, url, record_type,
     payload_bytes, payload_digest, refers_to, payload`` (null for revisits)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
         for b in batches:
-            for k in range(0, len(b), 500):
+            for k in range(0, b.num_rows, 500):
                 rows = []
-                for p, at, n in b.iloc[k : k + 500][["file", "offset", "length"]].sort_values(["file", "offset"]).itertuples(index=False):
+                for p, at, n in sorted(zip(*(c.to_pylist() for c in b.slice(k, 500).columns), strict=True)):
                     if p != name:
                         if f is not None:
                             f.close()
@@ -285,13 +288,13 @@ def read(found: DataFrame) -> DataFrame:
                     digest = hashlib.sha1(payload).hexdigest() if fresh else w["warc-payload-digest"].removeprefix("sha1:")
                     page = None if w["page-id"] == "-" else int(w["page-id"])
                     rows.append((page, w["warc-target-uri"], w["warc-type"], size, digest, None if fresh else int(w["refers-to-page"]), payload if fresh else None))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
-                yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+                # Arrow keeps ids beside nulls as integers.
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     # Neighbours in an archive are read by one task, a range of offsets each.
     found = materialise(found, "found")
     placed = found.repartitionByRange(max(1, -(-found.count() // READ_ROWS)), "file", "offset").sortWithinPartitions("file", "offset")
-    return placed.mapInPandas(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    return placed.select("file", "offset", "length").mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -79,3 +79,12 @@ def test_a_megabyte_in_one_piece(spark, library):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert B.round_trip(df).count() == 0 and B.decode(B.encode(df)).count() == 0
+
+
+def test_large_ids_beside_a_null(spark):
+    ids = [2**53 + 1, None, -(2**53) - 1, 2**63 - 1]
+    df = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
+    assert sorted(str(r.doc_id) for r in B.round_trip(df).collect()) == sorted(map(str, ids))
+    coded = B.encode(df)
+    assert sorted(str(r.doc_id) for r in coded.collect()) == sorted(map(str, ids))
+    assert sorted((str(r.doc_id), bytes(r.bytes)) for r in B.decode(coded).collect()) == sorted((str(i), b"some words") for i in ids)

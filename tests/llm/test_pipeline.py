@@ -126,3 +126,12 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_row_of_large_id_is_lost(spark, tmp_path):
+    r = random.Random(3)
+    ids = [2**53 + 1 + 2 * k for k in range(40)] + [None]
+    docs = [(i, " ".join(f"w{r.randrange(9999)}" for _ in range(40)), "en", "web", 1) for i in ids]
+    spark.createDataFrame(docs, COLUMNS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted({str(x.doc_id) for x in C.run(spark, str(tmp_path)).collect()}) == sorted(map(str, ids))

@@ -141,3 +141,17 @@ def test_very_long_text(spark):
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert S.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_ids_beside_a_null(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text number {k // 2 * 7} of its own kind {k // 2}", 1.5) for k, i in enumerate(ids)], "doc_id long, text string, fp double").coalesce(1)
+    got = S.near_duplicates(df).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted([(str(ids[0]), ids[0]), ("None", ids[0]), (str(ids[2]), ids[2]), (str(ids[3]), ids[2])])
+    assert sorted(str(r.doc_id) for r in S.keep_one(df).collect()) == sorted(["None", str(ids[0]), str(ids[2])])
+
+
+def test_of_rows_that_tie_the_same_one_stays(spark):
+    rows = [(1, "a b c d", k) for k in range(20)]
+    kept = {S.keep_one(spark.createDataFrame(x, "doc_id long, text string, k int").repartition(4)).first().k for x in (rows, rows[::-1])}
+    assert len(kept) == 1

@@ -154,3 +154,16 @@ def test_long_texts_and_clashing_columns(spark, planted):
     model = T.fit(docs, labels)
     df = spark.createDataFrame([(1, "fine " * 300_000, 1.0, 2.0), (2, "you blarg snerk", None, 3.0)], "doc_id long, text string, __score double, __score_ double")
     assert [(r.doc_id, r["__score_"]) for r in T.keep_clean(df, model).collect()] == [(1, 2.0)]
+
+
+def test_large_ids_and_repeated_labelled_rows(spark, planted):
+    docs, labels, _ = planted
+    ids = [2**53 + 1, None, 2**63 - 1]
+    model = T.fit(docs, labels)
+    df = spark.createDataFrame([(i, "you blarg snerk") for i in ids], "doc_id long, text string").coalesce(1)
+    assert sorted(str(r.doc_id) for r in T.score(df, model).collect()) == sorted(map(str, ids))
+    assert sorted(str(r.doc_id) for r in T.keep_clean(df.withColumn("text", T.F.lit("fine")), model).collect()) == sorted(map(str, ids))
+    # Repeated rows of one id are learned from once.
+    many = docs.unionByName(docs.where("doc_id < 20").crossJoin(spark.range(30).select("id")).drop("id"))
+    again = T.fit(many, labels)
+    assert (again.trees.leaf == model.trees.leaf).all() and again.knots[0].tolist() == model.knots[0].tolist()

@@ -66,3 +66,11 @@ def test_query_matches_its_sql(spark, sf):
     want = duck.execute(f"SELECT {', '.join(columns)} FROM ({Q.SQL['op10_warc_round_trip']})").fetchall()
     got = [tuple(r[c] for c in columns) for r in Q.op10_warc_round_trip(spark, sf).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 0
+
+
+def test_large_ids(spark):
+    base = 9007199254740993
+    rows = [(base, "http://a.b/1", "y" * 2000, "z"), (base + 2, "http://a.b/2", "y" * 2000, "z"), (base + 4, "http://a.b/3", "y" * 2000, "z"), (None, "http://a.b/4", "y" * 2000, "z"), (5, "http://a.b/5", "own", "z")]
+    got = W.round_trip(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert {r.refers_to for r in got} == {None, base + 4}

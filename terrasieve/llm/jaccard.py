@@ -12,11 +12,12 @@ Candidates are sifted by odd sketches: an array of bits, each turned over by eve
 falls on it. Two sketches differ in no more bits than their sets differ in elements, so sifting
 loses no link either. What is left is compared element by element.
 
-Equal sets are one node. The links between nodes only have to join the components. So a signature
-that very many nodes share is first compared with its least node; then, where a signature's nodes
-still are in several components, nodes outside of the largest one look for a few candidates in
-other components, then for more, until none had to leave any out. A signature's nodes are dealt to
-slices, and a node that many others are compared with is copied to many tasks.
+Equal sets are one node. The links between nodes only have to join the components. So each node is
+first compared with one other: of the least nodes of its signatures the least that the sketches
+let pass, which takes a pair for each node however large a group is. Then, where a signature's
+nodes still are in several components, nodes outside of the largest one look for a candidate in
+another component, then for more, until no signature had to leave any out. A signature's nodes are
+dealt to slices, and a node that many others are compared with is copied to many tasks.
 
 Null text is empty; texts without words have no shingles and link with nothing. With fewer than
 three words the whole sequence is the one shingle. Rows with a null ``doc_id`` link and join others,
@@ -51,10 +52,10 @@ SKETCH_BITS = 8
 SLICE, TASK_ROWS = 4096, 400_000
 #: Candidates that a node looks for in the first round, by how much more it does in the next, and
 #: pairs that share a copy of a node.
-FIRST, MORE, SHARE = 4, 8, 1000
+FIRST, MORE, SHARE = 1, 8, 1000
 #: Shingles whose signatures are made together, and pairs of sketches looked at together.
 SLICE_SHINGLES, PAIRS = 1_000_000, 2_000_000
-MARKED = "doc_id long, digest long, row long, n long, key binary, band int, sketch binary, signatures array<long>"
+MARKED = "doc_id long, digest long, row long, n long, key binary, band int, sketch array<long>, signatures array<long>"
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -100,8 +101,8 @@ def shape(band: int, num: int, den: int) -> tuple[int, int, tuple[tuple[int, ...
     return k // (differ + 1) + 1, pieces, tuple(combinations(range(pieces), pieces - differ)), -(-SKETCH_BITS * max(k, 1) // 64) * 64
 
 
-def signatures(sets: list[np.ndarray], band: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, list[bytes]]:
-    """A row of signatures for each of the sets, and their sketches."""
+def signatures(sets: list[np.ndarray], band: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """A row of signatures, and one of the sketch's bits, for each of the sets."""
     parts, pieces, choices, bits = shape(band, num, den)
     size = np.array([len(s) for s in sets])
     owner, h = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
@@ -115,7 +116,7 @@ def signatures(sets: list[np.ndarray], band: int, num: int = NUM, den: int = DEN
     bit = (spread(h, 5) % np.uint64(bits)).astype(np.int64)
     odd = np.bincount(owner * bits + bit, minlength=len(sets) * bits) & 1
     packed = np.packbits(odd.astype(np.uint8).reshape(len(sets), bits), axis=1)
-    return out.view(np.int64), [p.tobytes() for p in packed]
+    return out.view(np.int64), packed.view(np.int64)
 
 
 def mark(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -148,7 +149,7 @@ def _marked(b: pa.RecordBatch, sets: list[np.ndarray], num: int, den: int) -> pa
         rows, packed = signatures([sets[i] for i in own], band, num, den)
         at += own
         bands += [band] * len(own)
-        sketches += packed
+        sketches += list(packed)
         found += list(rows)
     keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
     take = pa.array(at)
@@ -159,7 +160,7 @@ def _marked(b: pa.RecordBatch, sets: list[np.ndarray], num: int, den: int) -> pa
         pa.array([len(s) for s in sets], pa.int64()).take(take),
         pa.array(keys, pa.binary()).take(take),
         pa.array(bands, pa.int32()),
-        pa.array(sketches, pa.binary()),
+        pa.array(sketches, pa.list_(pa.int64())),
         pa.array(found, pa.list_(pa.int64())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "row", "n", "key", "band", "sketch", "signatures"])
@@ -231,36 +232,47 @@ def sift(n: np.ndarray, part: np.ndarray, sketch: np.ndarray, owner: np.ndarray,
     return np.concatenate(left) if left else own[:0], np.concatenate(right) if right else own[:0], more
 
 
-def _candidates(shared: DataFrame, component: DataFrame, marks: DataFrame, most: int, num: int, den: int) -> DataFrame:
-    """``a, b, more``: candidates of nodes in other components, ``most`` for each node and
-    signature; ``more`` where some were left out (then with a null ``a``)."""
+def _first_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: for each node the least node that its signatures know and its sketch lets pass."""
+    least = shared.groupBy("signature").agg(F.min("node").alias("b"))
+    other = shared.select("signature", F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    hub = other.join(least, ["signature", "b"])
+    met = shared.join(hub, "signature").where("node <> b")
+    bits = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = F.greatest(bits, F.abs(F.col("n") - F.col("m"))) <= F.floor((F.col("n") + F.col("m")) * (den - num) / (den + num))
+    return met.where(near).groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
+
+
+def _candidates(shared: DataFrame, component: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """``a, b``: candidates of nodes in other components, ``most`` for each node and signature;
+    with a null ``a`` the signatures (``b``) that had to leave some out."""
     held = shared.join(component, "node")
     by = held.groupBy("signature", "component").agg(F.count("*").alias("c")).groupBy("signature")
     by = by.agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
     wide = by.where("components > 1").select("signature", "main", F.ceil(F.col("others") / SLICE).cast("long").alias("slices"))
-    held = held.join(wide, "signature").join(marks, ["node", "band"])
-    held = held.withColumn("owner", F.col("component") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
+    held = held.join(wide, "signature").withColumn("owner", F.col("component") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
     dealt = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("owner", F.col("owner") & (F.col("own") == F.col("slice")))
     dealt = dealt.select("signature", "slice", "node", "component", "n", "owner", "sketch")
-    rows = shared.count()
-    buckets = max(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    buckets = max(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // TASK_ROWS))
 
     def compare(some: pd.DataFrame) -> pd.DataFrame:
-        a, b, more = [], [], False
+        a, b, cut_off = [], [], []
         some = some.sort_values(["signature", "slice"], kind="stable")
         key = some[["signature", "slice"]].to_numpy()
         cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         node, n, part, owner, sketch = (some[c].to_numpy() for c in ("node", "n", "component", "owner", "sketch"))
         for low, high in zip([0, *cut], [*cut, len(some)], strict=True):
             at = slice(low, high)
-            bits = np.frombuffer(b"".join(sketch[at]), np.uint64).reshape(high - low, -1)
-            i, j, cutoff = sift(n[at], part[at], bits, owner[at].astype(bool), node[at], most, num, den)
+            bits = np.stack(sketch[at]).view(np.uint64)
+            i, j, more = sift(n[at], part[at], bits, owner[at].astype(bool), node[at], most, num, den)
             a.append(node[at][i]), b.append(node[at][j])
-            more |= cutoff
-        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates().astype({"a": "int64", "b": "int64"})
-        return out.assign(more=more)
+            if more:
+                cut_off.append(key[low, 0])
+        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates().astype({"a": "Int64", "b": "int64"})
+        rest = pd.DataFrame({"a": pd.array([None] * len(cut_off), "Int64"), "b": np.array(cut_off, np.int64)})
+        return pd.concat([out, rest]) if cut_off else out
 
-    return dealt.groupBy(F.pmod(F.xxhash64("signature", "slice"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "a long, b long, more boolean")
+    return dealt.groupBy(F.pmod(F.xxhash64("signature", "slice"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "a long, b long")
 
 
 def _links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -268,28 +280,25 @@ def _links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, num: int, den:
     spark = docs.sparkSession
     own = marked.where("band is not null").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
     sent = own.select(F.col("row").alias("node"), "band", F.explode("signatures").alias("signature"))
-    often = sent.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1")
-    shared = materialise(sent.join(often, "signature").select("signature", "node", "band", "m"), "shared")
-    active = shared.select("node").distinct()
-    marks = materialise(own.select(F.col("row").alias("node"), "band", "n", "sketch").join(active, "node", "left_semi"), "marks")
+    often = sent.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1").select("signature")
+    marks = own.select(F.col("row").alias("node"), "band", "n", "sketch")
+    shared = materialise(sent.join(often, "signature").join(marks, ["node", "band"]).select("signature", "node", "n", "sketch"), "shared")
+    pairs = materialise(_first_pairs(shared, num, den), "first")
+    active = materialise(shared.select("node").distinct(), "active")
     ids = marked.where("band is null").select(F.col("row").alias("node"), "doc_id", "digest").join(active, "node", "left_semi")
     sets = materialise(_sets(docs, ids), "sets")
-    empty = spark.createDataFrame([], "a long, b long")
-
-    deep = shared.where(F.col("m") > SLICE)
-    least = deep.groupBy("signature").agg(F.min("node").alias("b"))
-    star = deep.join(least, "signature").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = materialise(star, "star")
-    links, seen, most = materialise(verified(pairs, sets, num, den), "links") if not pairs.isEmpty() else empty, pairs, FIRST
+    links, seen, most = materialise(verified(pairs, sets, num, den), "links"), pairs, FIRST
     while True:
-        joined = connected_components(links) if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
+        joined = connected_components(links)
         component = materialise(active.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "component")
-        found = materialise(_candidates(shared, component, marks, most, num, den), "candidates")
-        fresh = materialise(found.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "fresh")
+        found = materialise(_candidates(shared, component, most, num, den), "candidates")
+        fresh = materialise(found.where("a is not null").distinct().join(seen, ["a", "b"], "left_anti"), "fresh")
         links, seen = materialise(links.unionByName(verified(fresh, sets, num, den)), "links"), seen.unionByName(fresh)
-        if found.where("more").isEmpty():
+        rest = found.where("a is null").select(F.col("b").alias("signature")).distinct()
+        if rest.isEmpty():
             return links
-        most *= MORE
+        # Other signatures have named all their candidates.
+        shared, most = materialise(shared.join(rest, "signature", "left_semi"), "shared"), most * MORE
 
 
 def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame, DataFrame]:

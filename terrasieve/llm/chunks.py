@@ -38,12 +38,12 @@ def packed(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[tupl
         yield number, ids, parts
 
 
-def write_table(df: DataFrame, total_bytes: int) -> tuple[DataFrame, Callable[[], None]]:
+def write_table(df: DataFrame, total_bytes: int, key: str = "chunk") -> tuple[DataFrame, Callable[[], None]]:
     """``df (chunk, ...)`` as a table bucketed by chunk, and what drops it with its files."""
     spark = df.sparkSession
     name, path = f"terrasieve_chunks_{uuid.uuid4().hex}", scratch_path(spark, "chunks")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // BUCKET_BYTES))
-    writer = df.write.bucketBy(min(buckets, MOST_BUCKETS), "chunk").sortBy("chunk")
+    writer = df.write.bucketBy(min(buckets, MOST_BUCKETS), key).sortBy(key)
     writer.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
 
     def drop() -> None:

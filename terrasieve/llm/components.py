@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, temporary
 
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -28,17 +28,20 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` (the least node reachable) for every node of ``edges (a, b)``.
 
-    Each round ends in a written table, and stops when a round changes nothing. Null ends and
+    Each round ends in a written table, and stops when a round changes nothing; the tables go. Null ends and
     loops are ignored; an empty table gives an empty result.
     """
-    now = materialise(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "edges")
+    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct()
     mark = None
-    for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "edges")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen.n, seen.h) == mark:
-            break
-        mark = (seen.n, seen.h)
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
+    with temporary(edges.sparkSession):
+        now = materialise(pairs, "edges")
+        for _ in range(max_rounds):
+            now = materialise(_star(_star(now, True), False), "edges")
+            seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+            if (seen.n, seen.h) == mark:
+                break
+            mark = (seen.n, seen.h)
+        else:
+            raise RuntimeError("components did not settle")
+        found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
+        return materialise(found, "components", keep=True)

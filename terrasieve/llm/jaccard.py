@@ -4,9 +4,10 @@ A document's set holds the hashes of its distinct three-word shingles. Two sets
 Jaccard similarity is at least ``NUM / DEN``. Sets are dealt to bands of sizes; linked sets lie in
 one band or in neighbouring ones, and the smaller set takes part in the larger one's band too. In a
 band linked sets differ in at most k elements, so a domain cut into k // 2 + 1 parts has a part in
-which they differ at most once, and of this part's three pieces two are alike. A signature is the
-hash of what a set holds in two pieces of a part: all choices are enumerated, and linked sets have
-one in common. No link is lost, and sets that share a signature are candidates only.
+which they differ at most once, and of this part's two pieces one is alike. A signature is the hash
+of what a set holds in a piece of a part (``PIECES - DIFFER`` of them): all choices are enumerated,
+and linked sets have one in common. No link is lost, and sets that share a signature are candidates
+only. Two pieces make a third fewer signatures than three, and sets with less in common meet.
 
 Candidates are sifted by odd sketches: an array of bits, each turned over by every element that
 falls on it. Two sketches differ in no more bits than their sets differ in elements, so sifting
@@ -30,7 +31,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .chunks import write_table
+from .common import materialise, temporary, texts
 from .components import connected_components
 from .simhash import shingle_hashes
 
 NUM, DEN = 90, 100
 #: Upper over lower end of a band; parts' differing pieces, and pieces of a part.
-RATIO, DIFFER, PIECES = 1.5, 1, 3
+RATIO, DIFFER, PIECES = 1.5, 1, 2
 #: Bits of a sketch for each element that sets of a band may differ in.
 SKETCH_BITS = 8
 #: Nodes of a signature that one slice should have, and rows that one task should take.
@@ -166,8 +168,10 @@ def _marked(b: pa.RecordBatch, sets: list[np.ndarray], num: int, den: int) -> pa
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "row", "n", "key", "band", "sketch", "signatures"])
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, elements`` of the wanted nodes (``node, doc_id, digest``), from their texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, total_bytes: int) -> tuple[DataFrame, Callable[[], None]]:
+    """``node, elements`` of the wanted nodes (``node, doc_id, digest``), from their texts, as a
+    table bucketed by node, so that pairs find their sets without moving all of them; and what
+    drops the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,10 +179,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "elements"])
 
     own = texts(docs).withColumn("h", F.xxhash64("text"))
-    wanted = wanted.withColumnRenamed("doc_id", "id")
+    wanted = wanted.withColumnRenamed("doc_id", "id").hint("merge")  # one plan at all sizes
     met = own.join(wanted, (F.col("h") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id")))
     # Repeated rows give the same set again.
-    return met.select("node", "text").mapInArrow(run, "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
+    found = met.select("node", "text").mapInArrow(run, "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
+    return write_table(found, total_bytes, "node")
 
 
 def _alike(a: bytes, b: bytes, num: int, den: int) -> bool:
@@ -279,14 +284,16 @@ def _links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, num: int, den:
     """``a, b`` of nodes whose sets link: enough of the links to join the components."""
     spark = docs.sparkSession
     own = marked.where("band is not null").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    own = materialise(own.select("row", "n", "band", "sketch", "signatures"), "own")
     sent = own.select(F.col("row").alias("node"), "band", F.explode("signatures").alias("signature"))
     often = sent.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1").select("signature")
     marks = own.select(F.col("row").alias("node"), "band", "n", "sketch")
     shared = materialise(sent.join(often, "signature").join(marks, ["node", "band"]).select("signature", "node", "n", "sketch"), "shared")
     pairs = materialise(_first_pairs(shared, num, den), "first")
     active = materialise(shared.select("node").distinct(), "active")
-    ids = marked.where("band is null").select(F.col("row").alias("node"), "doc_id", "digest").join(active, "node", "left_semi")
-    sets = materialise(_sets(docs, ids), "sets")
+    ids = marked.where("band is null").select(F.col("row").alias("node"), "doc_id", "digest", "n").join(active, "node", "left_semi")
+    ids = materialise(ids, "ids")
+    sets, drop = _sets(docs, ids.drop("n"), 8 * (ids.agg(F.sum("n")).first()[0] or 0))
     links, seen, most = materialise(verified(pairs, sets, num, den), "links"), pairs, FIRST
     while True:
         joined = connected_components(links)
@@ -296,18 +303,20 @@ def _links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, num: int, den:
         links, seen = materialise(links.unionByName(verified(fresh, sets, num, den)), "links"), seen.unionByName(fresh)
         rest = found.where("a is null").select(F.col("b").alias("signature")).distinct()
         if rest.isEmpty():
+            drop()
             return links
         # Other signatures have named all their candidates.
         shared, most = materialise(shared.join(rest, "signature", "left_semi"), "shared"), most * MORE
 
 
 def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The marked rows, ``key, node, least`` of each distinct set (a row that has it, and the least
-    ``doc_id`` that does), and links between nodes that join the components."""
-    marked = materialise(mark(docs, num, den), "marked")
+    """The marked rows; ``key, node, least`` of each distinct set (a row that has it, and the least
+    ``doc_id`` that does); and links between nodes, ``a, b``, that join the components."""
+    marked = materialise(mark(docs, num, den), "marked", keep=True)
     rows = marked.where("band is null and n > 0")
-    nodes = materialise(rows.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
-    return marked, nodes, _links(docs, marked, nodes, num, den)
+    nodes = materialise(rows.groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes", keep=True)
+    with temporary(docs.sparkSession):
+        return marked, nodes, materialise(_links(docs, marked, nodes, num, den), "links", keep=True)
 
 
 def components(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

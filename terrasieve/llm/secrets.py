@@ -44,6 +44,25 @@ ALLOW = (
 SPAN = "array<struct<start:int,kind:int,stop:int,hit:string>>"
 
 
+def _in_turn(items: Column, start: Column, step, out_type: str) -> Column:
+    """What ``step(at, item) -> (at, one)`` makes of the items, one after another, as an array.
+    Items go in lots of 64, so that the growing array is copied for each lot only."""
+
+    def one(done: Column, item: Column) -> Column:
+        at, found = step(done["at"], item)
+        return F.struct(at.alias("at"), F.concat(done["out"], F.array(found)).alias("out"))
+
+    def lot(done: Column, some: Column) -> Column:
+        own = F.aggregate(some, F.struct(done["at"].alias("at"), F.array().cast(out_type).alias("out")), one)
+        return let(own, lambda x: F.struct(x["at"].alias("at"), F.concat(done["out"], x["out"]).alias("out")))
+
+    def run(all_items: Column) -> Column:
+        lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / 64).cast("int")), lambda i: F.slice(all_items, i * 64 + 1, 64))
+        return F.aggregate(lots, F.struct(start.alias("at"), F.array().cast(out_type).alias("out")), lot)
+
+    return let(items, run)
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """Matches as ``(start, kind, stop, hit)``, in code points, the end exclusive."""
 
@@ -51,14 +70,12 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         between = F.split(text, pattern, -1)
         pairs = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
 
-        def step(done: Column, p: Column) -> Column:
-            start = done["at"] + p["gap"]
+        def step(at: Column, p: Column) -> tuple[Column, Column]:
+            start = at + p["gap"]
             stop = start + F.char_length(p["hit"])
-            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), p["hit"].alias("hit"))
-            return F.struct(stop.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+            return stop, F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), p["hit"].alias("hit"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.when(F.size(hits) > 0, F.aggregate(pairs, none, step)["out"]).otherwise(F.array().cast(SPAN))
+        return F.when(F.size(hits) > 0, _in_turn(pairs, F.lit(0), step, SPAN)["out"]).otherwise(F.array().cast(SPAN))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -69,25 +86,35 @@ def _weight(n: Column) -> Column:
 
 def entropy_hull(candidate: Column, limit: Column, window: int = WINDOW) -> Column:
     """``(from, to)`` of the windows of an ASCII string whose entropy reaches the limit; from is
-    -1 if none does. With S the sum of n log2 n over the counts, entropy is log2 w - S / w."""
+    -1 if none does. With S the sum of n log2 n over the counts, entropy is log2 w - S / w; as a
+    window moves, S changes by the counts of the two characters that enter and leave, which are
+    looked up in the window itself. So the work is a window for each character."""
+
+    def scan(held: Column) -> Column:
+        code = held["code"]
+        times = lambda x, low, n: F.size(F.filter(F.slice(code, low + 1, n), lambda c: c == x))
 
-    def scan(code: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
-            enter = code[i]
-            leave = F.when(i >= window, code[F.greatest(i - window, F.lit(0))]).otherwise(-1)
-            had = state["n"][enter]
+            enter, leave = code[i], code[F.greatest(i - window, F.lit(0))]
+            had = times(enter, F.greatest(i - window, F.lit(0)), F.least(i, F.lit(window)))
             # The entering character is counted before the leaving one is taken off.
-            left = F.when(leave >= 0, state["n"][F.greatest(leave, F.lit(0))] + (leave == enter).cast("int")).otherwise(0)
-            s = state["s"] + _weight(had + 1) - _weight(had) + F.when(leave >= 0, _weight(left - 1) - _weight(left)).otherwise(0.0)
-            n = F.transform(state["n"], lambda c, k: c + (k == enter).cast("int") - (k == leave).cast("int"))
-            high = (i >= window - 1) & (F.log2(F.lit(float(window))) - s / window >= limit - 1e-9)
-            first = F.when(high & (state["from"] < 0), i - window + 1).otherwise(state["from"])
-            return F.struct(n.alias("n"), s.alias("s"), first.alias("from"), F.when(high, i + 1).otherwise(state["to"]).alias("to"))
-
-        start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("from"), F.lit(-1).alias("to"))
+            left = times(leave, i - window, F.lit(window + 1))
+            off = F.when(i >= window, let(left, lambda n: _weight(n - 1) - _weight(n))).otherwise(0.0)
+            s = state["s"] + let(had, lambda n: _weight(n + 1) - _weight(n)) + off
+
+            def judge(s: Column) -> Column:
+                high = (i >= window - 1) & (F.log2(F.lit(float(window))) - s / window >= held["limit"] - 1e-9)
+                first = F.when(high & (state["from"] < 0), i - window + 1).otherwise(state["from"])
+                return F.struct(s.alias("s"), first.alias("from"), F.when(high, i + 1).otherwise(state["to"]).alias("to"))
+
+            return let(s, judge)
+
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("from"), F.lit(-1).alias("to"))
         return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, step, lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to")))
 
-    return let(F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.ascii(c)), scan)
+    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    # The limit is found once for a candidate, not for each of its characters.
+    return let(F.struct(codes.alias("code"), limit.alias("limit")), scan)
 
 
 def _limit(hit: Column) -> Column:
@@ -180,12 +207,11 @@ def redact(docs: DataFrame, mark: str = "[secret]", beside: bool = False) -> Dat
     held = docs.select(F.struct(*columns).alias("__row"), "doc_id", "text")
     found = find(held, "__row", beside=beside).withColumn("__all", F.array_sort(F.concat("base", "added")))
 
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        piece = F.when(fresh, F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), F.concat(done["out"], piece).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.when(s["start"] >= at, F.concat(F.substring(F.col("text"), at + 1, s["start"] - at), F.lit(mark))).otherwise("")
+        return F.greatest(at, s["stop"]), piece
 
-    clean = F.aggregate("__all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.char_length("text"))))
+    clean = let(_in_turn(F.col("__all"), F.lit(0), step, "array<string>"), lambda d: F.concat(F.array_join(d["out"], ""), F.substring(F.col("text"), d["at"] + 1, F.char_length("text"))))
     found = found.withColumn("__text", F.when(F.size("__all") > 0, clean).otherwise(F.col("__row.text")))
     new = {"text": F.col("__text")}
     if "n_chars" in columns:

@@ -110,3 +110,22 @@ def test_secrets_beside_base_spans(spark, tmp_path):
     for i, secret in zip((1, 2, 2, 3, 4, 5), k, strict=True):
         assert secret[8:-8] not in clean[i]
     assert letters not in clean[6] and "+some/long_path/ofWordsAndNames/x/" in clean[6]
+
+
+def test_a_candidate_of_a_megabyte_and_very_many_spans(spark):
+    import time
+
+    r = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    image = "data:x;base64," + "".join(r.choice(alphabet) for _ in range(1_000_000)) + "=="
+    many = " ".join(f"token={r.randrange(10**9):09d}x" for _ in range(5000))
+    rows = [(1, image), (2, many), (3, "aab" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {x.doc_id: x.spans for x in S.report(df).collect()}
+    assert time.time() - began < 30
+    for i, t in rows[1:]:
+        assert got[i] == told(sum(brute(t), []))
+    assert got[1] == f"entropy:14:{14 + 1_000_002}" or told(sum(brute(image), [])) == got[1]
+    clean = {x.doc_id: x.text for x in S.redact(df).collect()}
+    assert clean[2] == " ".join(["[secret]"] * 5000) and len(clean[1]) < 100

@@ -57,9 +57,13 @@ def monitor_value(auc: Column, loss: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(auc), auc), -loss)
 
 
+#: The two outcomes.
+EFFECTIVE, WEAK = "Effective", "Weak transfer"
+
+
 def outcome(gain: Column, gate: Column) -> Column:
     """Effective: better, and by more than the gate."""
-    return F.when((gain > 0) & (gain > gate), "Effective").otherwise("Weak transfer")
+    return F.when((gain > 0) & (gain > gate), EFFECTIVE).otherwise(WEAK)
 
 
 def rate_tag(rate: Column) -> Column:
@@ -72,15 +76,29 @@ def rate_tag(rate: Column) -> Column:
     return F.replace(F.when((size < -4) | (size >= 6), power).otherwise(plain), F.lit("."), F.lit("p"))
 
 
+#: Words in the names of rasters that hold classes.
+CLASS_WORDS = ("landcover", "land_cover", "lulc", "lithology", "geology", "class", "category", "categorical")
+
+
 def raster_kind(name: Column) -> Column:
     """Kind of a raster by keywords of its name; the order of the tests matters."""
     low = F.lower(name)
     classes = F.lit(False)
-    for word in ("landcover", "land_cover", "lithology", "geology", "soil", "class"):
+    for word in CLASS_WORDS:
         classes = classes | low.contains(word)
     return F.when(low.contains("aspect"), "aspect").when(classes, "categorical").otherwise("continuous")
 
 
+#: Fixed value: what the keys of groups that are mapped features begin with.
+FEATURE_PREFIX = "FEAT_"
+
+
+def group_key(label: Column, feature: Column, sample: Column) -> Column:
+    """The group that a sample is dealt to folds with: positives go with the others of their
+    mapped feature, all else alone."""
+    return F.when((label == 1) & feature.isNotNull(), F.concat(F.lit(FEATURE_PREFIX), feature.cast("string"))).otherwise(sample.cast("string"))
+
+
 def smallest_integer(low: Column, high: Column, nodata: float = NODATA) -> Column:
     least, most = F.least(low, F.lit(nodata)), F.greatest(high, F.lit(nodata))
     return F.when((least >= -32768) & (most <= 32767), "int16").when((least >= -2147483648) & (most <= 2147483647), "int32").otherwise("float64")

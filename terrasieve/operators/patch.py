@@ -172,18 +172,3 @@ def contrastive_loss(pairs: DataFrame, temperature: float = 0.2) -> DataFrame:
 
 def nodata_ratio(patches: DataFrame, nodata: float = NODATA) -> DataFrame:
     return patches.groupBy("id").agg(F.avg((F.col("v") == nodata).cast("double")).alias("ratio"))
-
-
-def filled_nearest(pixels: DataFrame, reach: int, nodata: float = NODATA) -> DataFrame:
-    """Gaps take the value of the nearest real pixel of their band, by (distance, row, col),
-    within ``reach`` cells; others keep NoData. A gap asks the real pixels of nine cells of a
-    grid as wide as the reach."""
-    real = is_valid(F.col("v"), nodata)
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    gaps = pixels.where(~real).select("id", "band", "row", "col", F.explode(step).alias("dy"), F.floor(F.col("row") / reach).alias("gy"), F.floor(F.col("col") / reach).alias("gx"))
-    gaps = gaps.select("id", "band", "row", "col", (F.col("gy") + F.col("dy")).alias("gy"), "gx", F.explode(step).alias("dx")).withColumn("gx", F.col("gx") + F.col("dx"))
-    known = pixels.where(real).select("id", "band", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("v").alias("v2"), F.floor(F.col("row") / reach).alias("gy"), F.floor(F.col("col") / reach).alias("gx"))
-    d2 = (F.col("row") - F.col("r2")) * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")) * (F.col("col") - F.col("c2"))
-    found = gaps.join(known, ["id", "band", "gy", "gx"]).where(d2 <= reach * reach).groupBy("id", "band", "row", "col").agg(F.min(F.struct(d2.alias("d2"), "r2", "c2", "v2"))["v2"].alias("fill"))
-    out = pixels.join(found, ["id", "band", "row", "col"], "left")
-    return out.select("id", "band", "row", "col", F.when(real, F.col("v")).otherwise(F.coalesce("fill", F.lit(nodata))).alias("v"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NODATA, is_close, is_valid, raster_kind, smallest_integer
+from .gaps import filled_nearest, filled_smooth
 from .geo import inside
 from .lookup import Grid
-from .patch import filled_nearest
 
 
 def study_mask(cells: DataFrame, grid: Grid, ring: list[tuple[float, float]]) -> DataFrame:
@@ -17,32 +17,18 @@ def study_mask(cells: DataFrame, grid: Grid, ring: list[tuple[float, float]]) ->
     return cells.select("row", "col", inside(x, y, ring).alias("in_area"))
 
 
-def filled_smooth(pixels: DataFrame, reach: int, nodata: float = NODATA) -> DataFrame:
-    """Gaps take the mean of the real pixels of their band within ``reach`` cells, weighted by
-    1 / distance; others keep NoData. A gap asks the real pixels at each offset within reach: an
-    equi join whose rows are bounded by the gaps times the offsets."""
-    real = is_valid(F.col("v"), nodata)
-    near = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if 0 < dy * dy + dx * dx <= reach * reach]
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit((dy * dy + dx * dx) ** -0.5).alias("w")) for dy, dx in near])
-    gaps = pixels.where(~real).select("band", F.col("row").alias("r"), F.col("col").alias("c"), F.explode(offsets).alias("o"))
-    asked = gaps.select("band", "r", "c", (F.col("r") + F.col("o.dy")).alias("row"), (F.col("c") + F.col("o.dx")).alias("col"), F.col("o.w").alias("w"))
-    found = asked.join(pixels.where(real), ["band", "row", "col"]).groupBy("band", F.col("r").alias("row"), F.col("c").alias("col"))
-    fill = found.agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("fill"))
-    out = pixels.join(fill, ["band", "row", "col"], "left")
-    return out.select("band", "row", "col", F.when(real, F.col("v")).otherwise(F.coalesce("fill", F.lit(nodata))).alias("v"))
-
-
-def cleaned(pixels: DataFrame, names: DataFrame, area: DataFrame, reach: int, nodata: float = NODATA) -> DataFrame:
-    """Every band filled in the way of its kind (by its name in ``names (band, name)``: values in
-    between for continuous ones, the nearest value for classes and angles); outside the area all
-    is NoData."""
+def cleaned(pixels: DataFrame, names: DataFrame, area: DataFrame, reach: int = 100, nodata: float = NODATA) -> DataFrame:
+    """Every band filled in the way of its kind (by its name in ``names (band, name)``: means of
+    the real pixels around for continuous ones, within ``reach``; the nearest value, however far,
+    for classes and angles). Only cells of the area are filled and filled from; outside it all is
+    NoData. Classes are rounded to whole numbers."""
     kinds = names.select("band", raster_kind(F.col("name")).alias("kind"))
-    held = pixels.join(F.broadcast(kinds), "band")  # a row per band
-    smooth = filled_smooth(held.where("kind = 'continuous'").drop("kind"), reach, nodata)
-    nearest = held.where("kind <> 'continuous'").withColumn("id", F.col("band"))
-    nearest = filled_nearest(nearest.select("id", "band", "row", "col", "v"), reach, nodata).drop("id")
-    every = smooth.unionByName(nearest).join(area, ["row", "col"])
-    return every.select("band", "row", "col", F.when(F.col("in_area"), F.col("v")).otherwise(nodata).alias("v"))
+    held = pixels.join(F.broadcast(kinds), "band").join(area, ["row", "col"])  # a row per band
+    here = F.col("in_area")
+    smooth = filled_smooth(held.where("kind = 'continuous'"), ["band", "in_area"], reach, nodata, here)
+    nearest = filled_nearest(held.where("kind <> 'continuous'"), ["band", "in_area", "kind"], nodata, here)
+    nearest = nearest.withColumn("v", F.when(F.col("kind") == "categorical", F.rint("v")).otherwise(F.col("v"))).drop("kind")
+    return smooth.unionByName(nearest).select("band", "row", "col", F.when(here, F.col("v")).otherwise(nodata).alias("v"))
 
 
 def coverage(before: DataFrame, after: DataFrame, area: DataFrame, nodata: float = NODATA, limit: float = 25.0) -> DataFrame:

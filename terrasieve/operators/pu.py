@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forest import coded, cut_points, score, train
 from .sampling import bags
+from .scratch import kept
 
 
 def tally_votes(scored: DataFrame, key: str, p: str, below: float) -> DataFrame:
@@ -45,33 +47,19 @@ def bagged_scores(
     trees: int = 100,
     seed: int = 42,
     depth: int = 30,
-    parallel: int = 8,
 ) -> DataFrame:
     """``key, iteration, p``: in each iteration a random forest learns positives against m drawn
-    unlabeled rows and scores those that were not drawn. A depth of 30 is the greatest that
-    Spark has. ``parallel`` models are trained at the same time; rows never come to the driver,
-    and draws and vectors are made once. Values are not standardised: the splits of trees go by
-    the order of values, which an affine scale keeps."""
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    drawn = assembler.transform(bags(unlabeled, iterations, m, seed, key)).select(key, "iteration", "in_bag", "features").persist()
-    known = assembler.transform(positives).select("features", F.lit(1.0).alias("label")).persist()
-
-    def one(i: int) -> DataFrame:
-        own = drawn.where(F.col("iteration") == i)
-        rows = known.unionByName(own.where("in_bag").select("features", F.lit(0.0).alias("label")))
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed + i, maxMemoryInMB=1024)
-        rest = own.where("not in_bag").select(key, "features")
-        return forest.fit(rows).transform(rest).select(key, F.lit(i).alias("iteration"), vector_to_array("probability")[1].alias("p"))
-
-    with ThreadPool(parallel) as pool:
-        scored = pool.map(one, range(iterations))
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
+    unlabeled rows and scores those that were not drawn. All forests grow at the same time. Values
+    are not standardised: the splits of trees go by the order of values, which an affine scale
+    keeps."""
+    every = positives.select(key, *columns).withColumn("y", F.lit(1)).unionByName(unlabeled.select(key, *columns).withColumn("y", F.lit(0)))
+    cuts = cut_points(every, columns)
+    code = lambda rows: coded(rows, columns, cuts, key)
+    known = kept(code(positives).select("row", "codes"))
+    drawn = bags(unlabeled.select(key), iterations, m, seed, key)
+    drawn = kept(drawn.withColumnRenamed(key, "__key").join(code(unlabeled), F.col("__key").eqNullSafe(F.col(key))).drop("__key"))
+    ones = known.select(F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"), "row", "codes", F.lit(1).alias("y"))
+    rows = ones.unionByName(drawn.where("in_bag").select("iteration", "row", "codes", F.lit(0).alias("y")))
+    forests = train(kept(rows), trees, depth, seed, known.count() + m, iterations, len(columns))
+    rest = drawn.where("not in_bag").select(key, "iteration", "codes")
+    return score(rest, forests, key, max(0, drawn.count() // iterations - m))

@@ -4,7 +4,9 @@ the digest (see ``ranked``), never by sorting a whole stratum in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_totals
@@ -66,10 +68,38 @@ def split(rows: DataFrame, strata: list[str], share: float, seed: int, key: str,
     return out.select(*rows.columns, part.alias("part"))
 
 
+def _edges(each: DataFrame, n: int, m: int, key: str) -> DataFrame:
+    """``__of, __edge``: the digest and key of the last of m rows of each iteration in digest
+    order. Digests are even, so the m-th lies near m / n: rows below a window around it are
+    counted, and only those within are ranked. A window without it is widened."""
+    share, found, left = m / n, None, each
+    slack = 8 * math.sqrt(share * (1 - share) / n) + 8 / n
+    while True:
+        low, high = max(0.0, share - slack), share + slack
+        below = left.groupBy("iteration").agg(F.count_if(F.col("__head") < low).alias("__below"))
+        near = left.where((F.col("__head") >= low) & (F.col("__head") <= high)).join(F.broadcast(below.withColumnRenamed("iteration", "__of")), F.col("iteration") == F.col("__of"))
+        rank = F.row_number().over(Window.partitionBy("iteration").orderBy("__digest", key))
+        hit = near.withColumn("__rank", rank + F.col("__below")).where(F.col("__rank") == m).select("__of", F.struct("__digest", F.col(key).alias("__key")).alias("__edge"))
+        found = hit if found is None else found.unionByName(hit)
+        left = left.join(F.broadcast(hit.select("__of")), F.col("iteration") == F.col("__of"), "left_anti")
+        if high > 1 and low == 0 or left.isEmpty():
+            return found
+        slack *= 8
+
+
 def bags(rows: DataFrame, iterations: int, m: int, seed: int, key: str) -> DataFrame:
-    """``iteration`` and ``in_bag`` for every row: each iteration draws m rows, the rest is out."""
+    """``iteration`` and ``in_bag`` for every row: each iteration draws m rows, the rest is out.
+    Keys are unique; the digest of an iteration's last row tells who is in, so rows are neither
+    sorted nor numbered."""
+    n = rows.count()
     each = rows.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    return ranked(each, ["iteration"], seed, key, ("iteration",)).withColumn("in_bag", F.col("rn") <= m).drop("rn")
+    if m <= 0 or m >= n:
+        return each.withColumn("in_bag", F.lit(m > 0))
+    own = each.withColumn("__digest", draw_key(seed, "iteration", key)).withColumn("__head", share_key("__digest"))
+    edges = _edges(own.select("iteration", key, "__digest", "__head"), n, m, key)  # a row for each iteration
+    held = own.join(F.broadcast(edges), F.col("iteration") == F.col("__of"))
+    inside = F.struct("__digest", F.col(key).alias("__key")) <= F.col("__edge")
+    return held.select(*each.columns, inside.alias("in_bag"))
 
 
 def capacities(n: int, k: int) -> list[int]:
@@ -77,6 +107,13 @@ def capacities(n: int, k: int) -> list[int]:
     return [n // k + (i < n % k) for i in range(k)]
 
 
+def capacities_by(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """``group, k, capacity``: sizes of k parts of the rows of each group, as ``capacities``."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    each = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return each.select(group, "k", (F.floor(F.col("__n") / k) + (F.col("k") < F.col("__n") % k).cast("int")).alias("capacity"))
+
+
 def filled_counts(rows: DataFrame, column: str, k: int) -> DataFrame:
     """Counts of the values 0 to k - 1, zeros included."""
     counts = rows.groupBy(F.col(column).cast("long").alias(column)).agg(F.count("*").alias("n"))

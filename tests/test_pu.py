@@ -1,44 +1,129 @@
-import pyspark.ml.classification as M
+"""Bags and forests: draws against plain ranks, splits against every split there is."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from terrasieve.operators import forest as R
 from terrasieve.operators import pu as P
+from terrasieve.operators import sampling as E
 from terrasieve.plans.catalogue import QUERIES
 
 
 def test_forest_query_has_the_references_defaults(spark, sf, monkeypatch):
-    forests, calls = [], []
+    calls = []
 
     class Stop(Exception):
         pass
 
-    def forest(**given):
-        forests.append(given)
+    def stop(rows, trees, depth, seed, size, iterations, features):
+        assert rows.select("iteration").distinct().count() == iterations
+        calls.append((iterations, trees, depth, size, features))
         raise Stop
 
-    bagged = P.bagged_scores
+    monkeypatch.setattr(P, "train", stop)
+    with pytest.raises(Stop):
+        QUERIES["random_forest_pu"](spark, sf)
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").where("label = 0").count()
+    assert calls == [(50, 100, 30, 2 * n, 64)]
 
-    def spy(positives, unlabeled, columns, key, iterations, m, **more):
-        calls.append((len(columns), iterations, m == positives.count()))
-        return bagged(positives, unlabeled, columns, key, iterations, m, **more)
 
-    monkeypatch.setattr(M, "RandomForestClassifier", forest)
-    monkeypatch.setattr(P, "bagged_scores", spy)
-    try:
-        QUERIES["random_forest_pu"](spark, sf)
-    except Stop:
-        pass
-    assert calls == [(64, 50, True)]
-    assert forests[0]["numTrees"] == 100 and forests[0]["maxDepth"] == 30
+@pytest.mark.parametrize("m", [1, 7, 250, 499, 500, 600, 0])
+def test_bags_are_the_first_by_digest(spark, m):
+    df = spark.range(500).withColumnRenamed("id", "k").repartition(3)
+    got = {(r.k, r.iteration) for r in E.bags(df, 3, m, 9, "k").where("in_bag").collect()}
+    want = set()
+    for i in range(3):
+        order = sorted(range(500), key=lambda k: (hashlib.md5(f"9|{i}|{k}".encode()).hexdigest(), k))
+        want |= {(k, i) for k in order[:m]}
+    assert got == want and E.bags(df, 3, m, 9, "k").count() == 1500
 
 
-def test_small_forests_score_what_was_not_drawn(spark):
-    import random
+def test_an_edge_far_from_its_place_is_found(spark):
+    """Digests that are not even at all: the window is widened until it holds the edge."""
+    rows = [(0, k, f"{k:032d}", 0.5 + k / 1e6) for k in range(400)] + [(1, k, f"{k:032d}", k / 400) for k in range(400)]
+    df = spark.createDataFrame(rows, "iteration int, k long, __digest string, __head double")
+    assert {r["__of"]: r["__edge"]["__key"] for r in E._edges(df, 400, 5, "k").collect()} == {0: 4, 1: 4}
+
+
+def gini_best(codes, y, w, features):
+    best = None
+    for f in features:
+        for c in sorted(set(codes[:, f]))[:-1]:
+            left = codes[:, f] <= c
+            score = sum(((w * y)[s].sum() ** 2 + (w * (1 - y))[s].sum() ** 2) / w[s].sum() for s in (left, ~left))
+            if best is None or score > best[0] * (1 + 1e-12):
+                best = (score, f, c)
+    return (-1, -1) if best is None else best[1:]
+
+
+def test_splits_against_every_split():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n, nodes = int(rng.integers(2, 60)), int(rng.integers(1, 5))
+        codes, y = rng.integers(0, int(rng.integers(2, 30)), (n, 6)).astype(np.uint8), rng.integers(0, 2, n).astype(float)
+        row = rng.integers(0, n, 80)
+        slot, w = rng.integers(0, nodes, 80), rng.integers(1, 4, 80).astype(float)
+        features = np.stack([rng.permutation(6)[:3] for _ in range(nodes)])
+        f, c = R.best_splits(codes, y, row, w, slot, features)
+        for s in range(nodes):
+            own = slot == s
+            assert (f[s], c[s]) == gini_best(codes[row[own]], y[row[own]], w[own], features[s])
+
 
-    from pyspark.sql import functions as F
+def test_a_tree_node_by_node():
+    """Every inner node splits its own rows at their best place, leaves are pure or deep enough."""
+    rng = np.random.default_rng(4)
+    codes, y = rng.integers(0, 40, (150, 5)).astype(np.uint8), rng.integers(0, 2, 150).astype(float)
+    ids = rng.integers(0, 2**63, 150).astype(np.uint64)
+    for depth in (0, 3, 30):
+        seeds = [R._seeded(1, t) for t in range(4)]
+        m = R.grow(codes, y, ids, seeds, depth, 5)
+        total = np.zeros(150)
+        for t, seed in enumerate(seeds):
+            w = R.times_drawn(ids, seed).astype(float)
+            todo = [(t, np.flatnonzero(w), 0)]
+            while todo:
+                node, rows, level = todo.pop()
+                assert m["value"][node] == pytest.approx((w * y)[rows].sum() / w[rows].sum())
+                if m["feature"][node] < 0:
+                    pure = len(set(y[rows])) == 1 or len(np.unique(codes[rows], axis=0)) == 1
+                    assert pure or level == depth
+                    continue
+                best = gini_best(codes[rows], y[rows], w[rows], range(5))
+                at = lambda f, c: sum(((w * y)[s].sum() ** 2 + (w * (1 - y))[s].sum() ** 2) / w[s].sum() for s in (rows[codes[rows, f] <= c], rows[codes[rows, f] > c]))  # noqa: E731, B023
+                assert at(m["feature"][node], m["code"][node]) == pytest.approx(at(*best))
+                right = codes[rows, m["feature"][node]] > m["code"][node]
+                todo += [(m["left"][node], rows[~right], level + 1), (m["left"][node] + 1, rows[right], level + 1)]
+            for i in range(150):
+                node = t
+                while m["feature"][node] >= 0:
+                    node = m["left"][node] + int(codes[i, m["feature"][node]] > m["code"][node])
+                total[i] += m["value"][node]
+        assert R.predicted(m, 4, codes) == pytest.approx(total)
+    # Trees don't depend on which others grow beside them.
+    alone = R.grow(codes, y, ids, seeds[2:3], 30, 2)
+    both = R.grow(codes, y, ids, seeds[1:3], 30, 2)
+    assert R.predicted(both, 2, codes) - R.predicted(R.grow(codes, y, ids, seeds[1:2], 30, 2), 1, codes) == pytest.approx(R.predicted(alone, 1, codes))
 
+
+def test_draws_have_the_mean_and_spread_of_a_sample_with_replacement():
+    n = R.times_drawn(np.arange(200_000, dtype=np.uint64), R._seeded(5))
+    assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02 and abs((n == 0).mean() - np.exp(-1)) < 0.005
+
+
+def fixture(spark):
     r = random.Random(3)
     near = [(i, r.gauss(0, 1), r.gauss(0, 1)) for i in range(40)]
     rest = [(100 + i, *((r.gauss(0, 1), r.gauss(0, 1)) if i % 4 == 0 else (r.gauss(6, 1), r.gauss(6, 1)))) for i in range(80)]
-    positives, unlabeled = (spark.createDataFrame(x, "id long, a double, b double") for x in (near, rest))
-    scored = P.bagged_scores(positives, unlabeled, ["a", "b"], "id", 3, 40, trees=10, depth=5, parallel=3)
+    return near, rest, *(spark.createDataFrame(x, "id long, a double, b double") for x in (near, rest))
+
+
+def test_small_forests_score_what_was_not_drawn(spark):
+    _, rest, positives, unlabeled = fixture(spark)
+    scored = P.bagged_scores(positives, unlabeled, ["a", "b"], "id", 3, 40, trees=10, depth=5)
     drawn = P.bags(unlabeled, 3, 40, 42, "id").where("not in_bag").select("id", "iteration").collect()
     got = scored.collect()
     assert sorted((x.id, x.iteration) for x in got) == sorted(map(tuple, drawn)) and all(0 <= x.p <= 1 for x in got)
@@ -48,3 +133,35 @@ def test_small_forests_score_what_was_not_drawn(spark):
     assert kept and len(kept & like) <= 2
     low = P.low_scored(votes, 0.5).where(F.col("times") > 0)
     assert {x.id for x in low.collect()} >= kept - like
+
+
+def test_scores_are_the_same_however_work_is_dealt(spark, monkeypatch):
+    _, _, positives, unlabeled = fixture(spark)
+    ask = lambda: sorted((x.id, x.iteration, round(x.p, 9)) for x in P.bagged_scores(positives, unlabeled, ["a", "b"], "id", 2, 30, trees=7).collect())
+    first = ask()
+    monkeypatch.setattr(R, "TREES", 2)
+    monkeypatch.setattr(R, "SCORED", 9)
+    assert ask() == first
+    # Upper trees from histograms, lower ones in tasks; and all of them from histograms.
+    monkeypatch.setattr(R, "LOCAL_ROWS", 12)
+    monkeypatch.setattr(R, "OPEN", 9)
+    assert ask() == first
+    monkeypatch.setattr(R, "LOCAL_ROWS", 0)
+    assert ask() == first
+
+
+def test_scores_match_a_library_of_forests(spark):
+    """Mean scores of the same bags are near those of MLlib's forests."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    _, rest, positives, unlabeled = fixture(spark)
+    own = {(x.id, x.iteration): x.p for x in P.bagged_scores(positives, unlabeled, ["a", "b"], "id", 1, 40, trees=60).collect()}
+    together = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    bag = P.bags(unlabeled, 1, 40, 42, "id")
+    train = positives.withColumn("y", F.lit(1.0)).unionByName(bag.where("in_bag").select("id", "a", "b").withColumn("y", F.lit(0.0)))
+    model = RandomForestClassifier(numTrees=60, maxDepth=30, labelCol="y", seed=1).fit(together.transform(train))
+    other = model.transform(together.transform(bag.where("not in_bag"))).select("id", vector_to_array("probability")[1].alias("p")).collect()
+    gap = [abs(own[x.id, 0] - x.p) for x in other]
+    assert len(gap) == len(own) and np.mean(gap) < 0.08

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from terrasieve.operators import cluster as C
 
@@ -68,15 +69,71 @@ def test_starts_are_points_and_differ(spark):
         C.start_centres(df.where("id < 0"), 2, [1])
 
 
-def test_capacities_hold_and_the_cost_is_near_the_least(spark):
-    r = random.Random(5)
-    rows = [(i, r.random(), r.random()) for i in range(8)]
-    centres = [(0, 0.2, 0.2), (1, 0.8, 0.7)]
+def test_sums_of_cells_are_those_of_points(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 1), (5, 3), (3000, 5), (3000, 1)):
+        x, y = 4e6 + rng.normal(size=n) * 100, rng.normal(size=n) * 3
+        x[: n // 3], y[: n // 3] = x[0], y[0]  # many points in one place
+        centres = np.stack([x[rng.integers(0, n, (7, k))], y[rng.integers(0, n, (7, k))]], axis=2)
+        centres[0, :] = centres[0, 0]  # centres that tie
+        for size in (10**6, 50):
+            monkeypatch.setattr(C, "DISTANCES", size)
+            got = C.run_sums(C.pack(x, y), centres)
+            for r in range(7):
+                d2 = (x[:, None] - centres[r, :, 0]) ** 2 + (y[:, None] - centres[r, :, 1]) ** 2
+                own = d2.argmin(axis=1)
+                for i in range(k):
+                    s = own == i
+                    want = [s.sum(), x[s].sum(), y[s].sum(), d2[s, i].sum()]
+                    assert got[r, i] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_the_whole_search_has_the_inertias_of_plain_steps(spark):
+    df, rows = cloud(spark)
+    found = {r.seed: r.inertia for r in C.seed_search(df, 4, range(12), restarts=5).collect()}
+    starts = C.start_centres(df, 4, [s * 1009 + r for s in range(12) for r in range(5)])
+    for s in range(12):
+        assert found[s] == pytest.approx(min(brute(rows, starts[5 * s + r])[1] for r in range(5)))
+
+
+def test_starts_are_drawn_by_squared_distance(spark):
+    """Of three places the second centre is drawn in proportion to the squared distance."""
+    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 2.0)], "id long, x double, y double").coalesce(1)
+    found = C.start_centres(df, 2, list(range(6000)))
+    first = [s for s in found if s[0] == (0.0, 0.0)]
+    assert abs(len(first) / 6000 - 1 / 3) < 0.03
+    assert abs(sum(s[1] == (0.0, 2.0) for s in first) / len(first) - 0.8) < 0.04
+
+
+def least_cost(cost, sizes):
+    """By trying every order of the slots (each cluster has as many as its size)."""
+    slots = [k for k, n in enumerate(sizes) for _ in range(n)]
+    return min(sum(cost[i][k] for i, k in enumerate(order)) for order in set(itertools.permutations(slots)))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_capacities_hold_at_the_least_cost(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    monkeypatch.setattr(C, "MOVES", 2)
+    rows = [(2**53 + 2 * i + 1, float(r.randrange(4)) if seed == 1 else r.random() * 3, r.random()) for i in range(8)]
+    centres = [(0, 0.2, 0.2), (1, 0.8, 0.7), (2, 2.5, 0.1)]
+    sizes = [[4, 3, 1], [0, 4, 4], [8, 0, 0], [2, 3, 3], [1, 1, 6]][seed]
     df = spark.createDataFrame(rows, "id long, x double, y double")
-    got = C.assign_capacities(df, spark.createDataFrame(centres, "k int, cx double, cy double"), [5, 3]).collect()
-    assert sorted(x.id for x in got) == list(range(8)) and sorted(x.k for x in got) == [0] * 5 + [1] * 3
-    cost = lambda i, k: (rows[i][1] - centres[k][1]) ** 2 + (rows[i][2] - centres[k][2]) ** 2
-    least = min(sum(cost(i, int(i in ones)) for i in range(8)) for ones in itertools.combinations(range(8), 3))
-    assert sum(x.d2 for x in got) <= least * 1.05 + 1e-9
+    places = spark.createDataFrame(centres, "k int, cx double, cy double")
+    got, total, bound = C.exact_capacities(df, places, sizes, steps=2)
+    got = got.collect()
+    assert sorted(x.id for x in got) == [x[0] for x in rows] and sorted(x.k for x in got) == [k for k, n in enumerate(sizes) for _ in range(n)]
+    cost = [[(x - a) ** 2 + (y - b) ** 2 for _, a, b in centres] for _, x, y in rows]
+    best = least_cost(cost, sizes)
+    assert total == pytest.approx(best) and sum(x.d2 for x in got) == pytest.approx(best) and bound == pytest.approx(best)
     with pytest.raises(ValueError, match="add up"):
-        C.assign_capacities(df, spark.createDataFrame(centres, "k int, cx double, cy double"), [5, 2])
+        C.assign_capacities(df, places, [1, 1, 1])
+
+
+def test_larger_assignments_prove_their_cost(spark):
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, r.gauss(0, 1), r.gauss(0, 1)) for i in range(3000)], "id long, x double, y double")
+    places = spark.createDataFrame([(k, r.gauss(0, 1), r.gauss(0, 1)) for k in range(5)], "k int, cx double, cy double")
+    got, total, bound = C.exact_capacities(df, places, [1500, 700, 500, 299, 1])
+    assert total == pytest.approx(bound, rel=1e-9)
+    assert {x.k: x.n for x in got.groupBy("k").agg(C.F.count("*").alias("n")).collect()} == dict(enumerate([1500, 700, 500, 299, 1]))

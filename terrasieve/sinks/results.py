@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import require_columns, violations
@@ -27,10 +27,10 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose keys the table does not have (null keys match), the last of those
-    that share keys. How many there were; a second run adds none."""
-    own = rows.dropDuplicates(keys)
+def append_new(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> int:
+    """Appends the rows whose keys the table does not have (null keys match): of rows that share
+    keys the last by ``order``. How many there were; a second run adds none."""
+    own = keep_last(rows, keys, order)
     if exists(rows.sparkSession, path):
         have = rows.sparkSession.read.parquet(path).select(*[F.col(k).alias(f"__{k}") for k in keys])
         own = own.join(have, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
@@ -70,8 +70,36 @@ def write_index(index: DataFrame, path: str, part: str = "patch_size") -> None:
     index.write.mode("overwrite").partitionBy(part).parquet(path)
 
 
-def write_arrays(patches: DataFrame, path: str, size: int, bands: int) -> None:
-    """Patches in long form as one array of floats each, in the order of band, row and column."""
+def write_common(index: DataFrame, path: str, key: str, sizes: list[int], part: str = "patch_size") -> int:
+    """The index of the ids that are valid (``valid_patch``) at all sizes, and the table of these
+    ids beside it (``<path>/ids``, ``<path>/index``); how many ids there are. An id that is twice
+    at one size is an error, and nothing is written."""
+    valid = index.where(F.col("valid_patch") & F.col(part).isin(sizes))
+    if not (twice := valid.groupBy(key, part).agg(F.count("*").alias("n")).where("n > 1").limit(3)).isEmpty():
+        raise ValueError(f"ids are repeated: {twice.collect()}")
+    ids = valid.groupBy(key).agg(F.count_distinct(part).alias("n")).where(F.col("n") == len(set(sizes))).select(key)
+    ids.write.mode("overwrite").parquet(f"{path}/ids")
+    known = index.sparkSession.read.parquet(f"{path}/ids")
+    write_index(valid.join(known, key, "left_semi"), f"{path}/index", part)
+    return known.count()
+
+
+def half(value: Column) -> Column:
+    """A number as a 16-bit float would hold it: 11 bits of precision, rounded half to even, steps
+    of 2^-24 near zero, infinite from 65520 on. NaN and null stay."""
+    size = F.abs(value)
+    power = F.greatest(F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))), F.lit(-14))
+    step = F.pow(F.lit(2.0), power - 10)
+    rounded = F.rint(value / step) * step
+    return F.when(F.isnan(value) | (size == 0) | (size == float("inf")), value).when(size >= 65520, F.signum(value) * float("inf")).otherwise(rounded)
+
+
+def write_arrays(patches: DataFrame, path: str, size: int, bands: int, halves: bool = False) -> None:
+    """Patches in long form as one array of floats each, in the order of band, row and column;
+    with ``halves`` rounded to what 16-bit floats hold (Parquet has no such type in Spark, but
+    rounded floats compress to little more)."""
+    if halves:
+        patches = patches.withColumn("v", half(F.col("v").cast("double")))
     place = (F.col("band") * size + F.col("row")) * size + F.col("col")
     packed = patches.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(place.alias("i"), F.col("v").cast("float").alias("v")))).alias("p"))
     out = packed.select("id", F.transform("p", lambda x: x["v"]).alias("values"), F.lit(bands).alias("bands"), F.lit(size).alias("size"))

@@ -14,9 +14,9 @@ def rows(spark, *values):
 def test_a_second_append_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "t")
     first = rows(spark, (1, 0.1, 0.7), (2, None, 0.8))
-    assert K.append_new(first, path, ["seed", "rate"]) == 2
-    assert K.append_new(first, path, ["seed", "rate"]) == 0
-    assert K.append_new(rows(spark, (2, None, 0.9), (3, None, 0.6), (3, None, 0.6)), path, ["seed", "rate"]) == 1
+    assert K.append_new(first, path, ["seed", "rate"], ["auc"]) == 2
+    assert K.append_new(first, path, ["seed", "rate"], ["auc"]) == 0
+    assert K.append_new(rows(spark, (2, None, 0.9), (3, None, 0.6), (3, None, 0.6)), path, ["seed", "rate"], ["auc"]) == 1
     assert sorted((r.seed, r.auc) for r in spark.read.parquet(path).collect()) == [(1, 0.7), (2, 0.8), (3, 0.6)]
 
 

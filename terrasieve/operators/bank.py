@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .scratch import kept
 
 
 def all_permutations(spark: SparkSession, n: int) -> DataFrame:
@@ -16,14 +17,19 @@ def all_permutations(spark: SparkSession, n: int) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(list, itertools.permutations(range(n))))), "perm_id int, perm array<int>")
 
 
-def candidates(spark: SparkSession, n: int, count: int, seed: int) -> DataFrame:
-    """``id, perm``: distinct permutations drawn by digest: places sorted by a number drawn for
-    each."""
+def drawn_for(ids: DataFrame, n: int, seed: int) -> DataFrame:
+    """``id, perm``: distinct permutations drawn by digest for ids, with the least id of each:
+    places sorted by a number drawn for each."""
     place = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(uniform(seed, F.col("id"), i).alias("u"), i.alias("i")))
-    every = spark.range(count).select("id", F.transform(F.array_sort(place), lambda x: x["i"]).alias("perm"))
+    every = ids.select("id", F.transform(F.array_sort(place), lambda x: x["i"]).alias("perm"))
     return every.groupBy("perm").agg(F.min("id").alias("id")).select("id", "perm")
 
 
+def candidates(spark: SparkSession, n: int, count: int, seed: int) -> DataFrame:
+    """``id, perm``: distinct permutations of so many draws."""
+    return drawn_for(spark.range(count), n, seed)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """At how many places two arrays differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -33,7 +39,7 @@ def diverse(pool: DataFrame, size: int) -> DataFrame:
     """``perm_id, perm, distance``: the least candidate, then again and again the one farthest
     from all chosen (the lower id on ties); ``distance`` is how far it was. The size is a
     parameter of a task (a hundred or so): one aggregate over the pool for each."""
-    pool = pool.persist()
+    pool = kept(pool)
     if pool.count() < size:
         raise ValueError("the pool has fewer permutations than the bank needs")
     first = pool.orderBy("id").limit(1).first()
@@ -42,7 +48,7 @@ def diverse(pool: DataFrame, size: int) -> DataFrame:
     for k in range(1, size):
         held = held.withColumn("d", F.least("d", hamming(F.col("perm"), F.array(*[F.lit(x) for x in last])).cast("double")))
         if k % 16 == 0:
-            held = held.persist()
+            held = kept(held)
         best = held.agg(F.max(F.struct("d", (-F.col("id")).alias("low"), "perm")).alias("b")).first().b
         held = held.where(F.col("id") != -best.low)
         chosen.append((k, list(best.perm), int(best.d)))

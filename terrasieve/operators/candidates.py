@@ -6,22 +6,63 @@ a quota is a filter on the place in the order of draws.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import uniform
-from .lookup import Grid, patches
-from .patch import context_mask
+from ..functions.scalars import is_valid, uniform
+from .lookup import Grid
 from .running import running_totals
 from .sampling import draw_key, ranked, share_key
+from .scratch import kept
 
 
-def random_points(spark: SparkSession, n: int, seed: int, left: float, bottom: float, right: float, top: float) -> DataFrame:
-    """``id, x, y``: n places drawn evenly from a box."""
+def random_places(ids: DataFrame, seed: int, left: float, bottom: float, right: float, top: float) -> DataFrame:
+    """``id, x, y``: a place drawn evenly from a box for each id."""
     i = F.col("id")
-    x = F.lit(left) + (right - left) * uniform(seed, i, F.lit("x"))
-    y = F.lit(bottom) + (top - bottom) * uniform(seed, i, F.lit("y"))
-    return spark.range(n).select("id", x.alias("x"), y.alias("y"))
+    x = F.lit(left) + F.lit(right - left) * uniform(seed, i, F.lit("x"))
+    y = F.lit(bottom) + F.lit(top - bottom) * uniform(seed, i, F.lit("y"))
+    return ids.select("id", x.alias("x"), y.alias("y"))
+
+
+def random_points(spark: SparkSession, n: int, seed: int, left: float, bottom: float, right: float, top: float, start: int = 0) -> DataFrame:
+    """``id, x, y``: n places drawn evenly from a box, numbered from ``start``."""
+    return random_places(spark.range(start, start + n), seed, left, bottom, right, top)
+
+
+class QuotaNotMet(RuntimeError):
+    """Too few draws were accepted within the attempts."""
+
+
+def accepted_points(
+    spark: SparkSession,
+    box: tuple[float, float, float, float],
+    accept: Callable[[DataFrame], DataFrame],
+    quota: int,
+    batch: int,
+    most_attempts: int,
+    seed: int,
+    partial: bool = False,
+) -> DataFrame:
+    """The first ``quota`` places, in the order of draws, that ``accept`` lets pass: it gets draws
+    (``id, x, y``) and returns some of them, with what columns it likes besides. ``rn`` counts
+    them from 1, ``candidate_id`` is ``U_000001`` and so on.
+
+    Draws are made in batches, each twice as large as the one before, until the quota is met; how
+    they are cut does not change what is drawn. Fewer after ``most_attempts`` draws are an error,
+    or with ``partial`` a shorter result (but none at all is an error still).
+    """
+    held, found, at = None, 0, 0
+    while found < quota and at < most_attempts:
+        n = min(batch, most_attempts - at)
+        own = kept(accept(random_points(spark, n, seed, *box, start=at)))
+        held = own if held is None else held.unionByName(own)
+        found, at, batch = found + own.count(), at + n, 2 * batch
+    if held is None or found < (1 if partial else quota):
+        raise QuotaNotMet(f"{found} of {quota} places were found in {at} draws")
+    out = running_totals(held, [], "id", [], {"rn": F.lit(1)}, wanted=F.col("__before_rn") < quota).where(F.col("rn") <= quota)
+    return out.withColumn("candidate_id", F.format_string("U_%06d", "rn"))
 
 
 def first_accepted(draws: DataFrame, accepted: DataFrame, quota: int) -> DataFrame:
@@ -31,18 +72,43 @@ def first_accepted(draws: DataFrame, accepted: DataFrame, quota: int) -> DataFra
     return running_totals(kept, [], "id", [], {"rn": F.lit(1)}, wanted=F.col("__before_rn") < quota).where(F.col("rn") <= quota)
 
 
-def interior_centres(pixels: DataFrame, grid: Grid, size: int, bands: list[int], most_nodata: float, n: int, seed: int) -> DataFrame:
-    """``row, col, ratio``: n cells, drawn without repeats, that are real in every band, whose
-    window of an even size lies in the grid and lacks data in the given share of it at most."""
+def window_totals(cells: DataFrame, value: str, size: int, rows: int, cols: int) -> DataFrame:
+    """``cells (row, col, ...)`` whose window of an even size lies in the grid, with the ``total``
+    of a value over it. Totals up to a cell, along rows and then along columns, make every window
+    four numbers, two on each axis: rows stay linear in cells, whatever the size. The cells have to
+    be all of the grid, each once."""
     half = size // 2
-    real = context_mask(pixels.select(F.lit(0).alias("id"), "row", "col", "v")).select("row", "col", "m")
-    inner = (F.col("row") >= half) & (F.col("row") + half <= grid.rows) & (F.col("col") >= half) & (F.col("col") + half <= grid.cols)
-    held = real.where((F.col("m") == 1) & inner).select("row", "col")
-    held = held.withColumn("id", F.col("row") * grid.cols + F.col("col"))
-    spans = {"row_start": F.col("row") - half, "row_stop": F.col("row") + half, "col_start": F.col("col") - half, "col_stop": F.col("col") + half}
-    lacking = patches(held.withColumns(spans).drop("row", "col"), pixels, bands)
-    ratio = context_mask(lacking).groupBy("id").agg((1 - F.avg("m")).alias("ratio")).where(F.col("ratio") <= most_nodata)
-    out = ranked(held.join(ratio, "id"), [], seed, "id", wanted=F.col("__before_rn") < n)
+    at = F.coalesce(F.col(value), F.lit(0)).cast("long")
+    for axis, other, end in (("col", "row", cols), ("row", "col", rows)):
+        order = Window.partitionBy(other).orderBy(axis)
+        cells = cells.withColumn("__upto", F.sum(at).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        span = F.lead("__upto", half - 1).over(order) - F.coalesce(F.lag("__upto", half + 1).over(order), F.lit(0))
+        cells = cells.withColumn("total", span).where((F.col(axis) >= half) & (F.col(axis) + half <= end)).drop("__upto")
+        at = F.col("total")
+    return cells
+
+
+#: What a cell lacks: 1 if any band is not real there, 1 if none is, or the number that are not.
+LACKING = ("any", "all", "share")
+
+
+def interior_centres(pixels: DataFrame, grid: Grid, size: int, bands: list[int], most_nodata: float, n: int, seed: int, lacking: str = "any", real_centre: bool = True) -> DataFrame:
+    """``row, col, ratio``: n cells (fewer only if there are no more), drawn without repeats, whose
+    window of an even size lies in the grid and lacks data in the given share of it at most, and
+    that are real in every band themselves. Cells count as lacking if any band does, if all bands
+    do, or by the share of bands that do."""
+    if lacking not in LACKING or size <= 0 or size % 2:
+        raise ValueError(f"an even size and one of {LACKING} are needed")
+    real = pixels.where(F.col("band").isin(bands)).groupBy("row", "col").agg(F.count_if(is_valid(F.col("v"))).alias("n"))
+    every = pixels.sparkSession.range(grid.rows * grid.cols).select((F.floor(F.col("id") / grid.cols)).alias("row"), (F.col("id") % grid.cols).alias("col"))
+    held = F.coalesce(F.col("n"), F.lit(0))
+    bad = {"any": (held < len(bands)).cast("int"), "all": (held == 0).cast("int"), "share": F.lit(len(bands)) - held}[lacking]
+    cells = every.join(real, ["row", "col"], "left").select("row", "col", bad.alias("bad"), (held == len(bands)).alias("real"))
+    ratio = F.col("total") / F.lit(float(size * size * (len(bands) if lacking == "share" else 1)))
+    found = window_totals(cells, "bad", size, grid.rows, grid.cols).withColumn("ratio", ratio).where(F.col("ratio") <= most_nodata)
+    found = found.where("real") if real_centre else found
+    found = found.select("row", "col", "ratio", (F.col("row") * grid.cols + F.col("col")).alias("id"))
+    out = ranked(found, [], seed, "id", wanted=F.col("__before_rn") < n)
     return out.where(F.col("rn") <= n).select("row", "col", "ratio")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .scratch import kept
 
 
 def _cells(points: DataFrame, radius: float, spread: bool) -> DataFrame:
@@ -39,10 +40,24 @@ def outside_radius(points: DataFrame, excluded: DataFrame, radius: float) -> Dat
     return a.join(b, near, "left_anti").drop("gx", "gy")
 
 
+#: Others in one cell beyond which nearer ones are looked for first.
+DENSE = 4096
+
+
 def nearest_within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """``id, other, d``: the nearest other point within the radius (the lower id on ties), null
-    if there is none."""
-    best = pairs_within(points, others, radius).groupBy("id").agg(F.min(F.struct("d", "other")).alias("b"))
+    if there is none. Of others in one place only the lowest id counts. Where cells are dense,
+    radii a fourth as wide are tried before, down to cells of few points: whoever finds one there
+    needs no wider look, so pairs aren't all listed."""
+    others, radii = others.groupBy("x", "y").agg(F.min("id").alias("id")), [radius]
+    while len(radii) < 16 and (_cells(others.select("x", "y"), radii[-1], False).groupBy("gx", "gy").count().agg(F.max("count")).first()[0] or 0) > DENSE:
+        radii.append(radii[-1] / 4)
+    left, best = points, None
+    for r in reversed(radii):
+        found = pairs_within(left, others, r).groupBy("id").agg(F.min(F.struct("d", "other")).alias("b"))
+        found = kept(found) if r != radius else found
+        best = found if best is None else best.unionByName(found)
+        left = left.join(found.select("id"), "id", "left_anti")
     return points.select("id").join(best, "id", "left").select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
 
@@ -73,12 +88,13 @@ def nearest_of_other_fold(points: DataFrame, fold: str, radius: float) -> DataFr
     for the finest grid, of widths that double, in which one of the nine cells around them holds
     another fold; the nearest point is less than three such cells away, so the nine cells of the
     grid four times as wide hold it."""
-    held = points.select("id", "x", "y", F.col(fold).alias("f")).persist()
+    held = kept(points.select("id", "x", "y", F.col(fold).alias("f")))
     a = _cells(held, radius, False)
     b = _cells(held.select("x", "y", "f").distinct(), radius, True).withColumnsRenamed({"x": "x2", "y": "y2", "f": "g"})
     d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    near = a.join(b, ["gx", "gy"]).where((F.col("f") != F.col("g")) & (d <= radius)).groupBy("id", "f").agg(F.min(d).alias("d")).persist()
-    left = held.join(near.select("id"), "id", "left_anti").persist()
+    near = a.join(b, ["gx", "gy"]).where((F.col("f") != F.col("g")) & (d <= radius)).groupBy("id", "f").agg(F.min(d).alias("d"))
+    near = kept(near)
+    left = kept(held.join(near.select("id"), "id", "left_anti"))
     if left.isEmpty():
         return near
     box = held.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_totals
+from .running import RANGE_ROWS, running_totals
 
 
 def by_score(scored: DataFrame, groups: list[str]) -> DataFrame:
@@ -25,12 +25,27 @@ def roc_auc(scored: DataFrame, groups: list[str]) -> DataFrame:
 
 def average_precision(scored: DataFrame, groups: list[str], key: str) -> DataFrame:
     """``groups, ap``: mean over the positives of precision at their place, by score from the top
-    and ``key``; null without positives."""
-    counted = running_totals(scored, groups, "s", [key], {"hits": F.col("y"), "place": F.lit(1)}, descending=True)
+    and ``key``; null without positives. Where very many rows share a score and keys are numbers,
+    rows of one score are counted by ranges of the key, so that no task has to sort them all."""
+    most = by_score(scored, groups).agg(F.max(F.col("pos") + F.col("neg"))).first()[0] or 0
+    if most > RANGE_ROWS and dict(scored.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        counted = _tied(scored, groups, key)
+    else:
+        counted = running_totals(scored, groups, "s", [key], {"hits": F.col("y"), "place": F.lit(1)}, descending=True)
     out = counted.groupBy(*groups).agg(F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("place"))).alias("total"), F.sum("y").alias("n"))
     return out.select(*groups, F.try_divide("total", "n").alias("ap"))
 
 
+def _tied(scored: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """``groups, y, hits, place``: what comes before a score, and by key within it."""
+    before = running_totals(by_score(scored, groups), groups, "s", [], {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")}, descending=True)
+    names = [*groups, "s"]
+    before = before.select(*[F.col(c).alias(f"__{c}") for c in names], (F.col("tp") - F.col("pos")).alias("__tp"), (F.col("n") - F.col("pos") - F.col("neg")).alias("__n"))
+    inner = running_totals(scored, names, key, [], {"hits": F.col("y"), "place": F.lit(1)})
+    held = inner.join(before, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names])
+    return held.select(*groups, "y", (F.col("hits") + F.col("__tp")).alias("hits"), (F.col("place") + F.col("__n")).alias("place"))
+
+
 def _curve(scored: DataFrame, groups: list[str]) -> DataFrame:
     counted = running_totals(by_score(scored, groups), groups, "s", [], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
     total = scored.groupBy(*groups).agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"))

@@ -76,6 +76,16 @@ def statistics_rules(stats: DataFrame) -> DataFrame:
     return violations(stats, {"mean is finite": finite("mean"), "sd is finite": finite("sd"), "sd is positive": F.col("sd") > 0})
 
 
+def log_rules(logs: DataFrame, columns: list[str], losses: list[str], epoch: str = "epoch") -> DataFrame:
+    """``rule, n`` of training logs that have the columns (else an error): losses that are there,
+    finite and not below 0, and epochs from 0 on. A loss of labels 0 and 1 can't be negative."""
+    require_columns(logs, columns)
+    rules = {"epoch is not negative": F.col(epoch) >= 0}
+    for c in losses:
+        rules |= {f"{c} is finite": ~F.isnan(c) & (F.abs(c) < float("inf")), f"{c} is not negative": F.col(c) >= 0}
+    return violations(logs, rules)
+
+
 def require_columns(rows: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """``rows`` if they have the columns (``exact``: these, in this order), else an error."""
     if exact and rows.columns != columns:

@@ -100,3 +100,10 @@ def job_grid(models: DataFrame, rates: DataFrame, seeds: DataFrame, folds: DataF
     jobs = own.unionByName(pre).crossJoin(seeds).crossJoin(folds)
     order = Window.orderBy((F.col("model") != scratch).cast("int"), "model", F.col("rate").asc_nulls_first(), "seed", "fold")
     return jobs.withColumn("job", F.row_number().over(order))
+
+
+def guess_lines(rows: DataFrame, groups: list[str], label: str) -> DataFrame:
+    """``groups, n_classes, guess_loss, guess_accuracy``: what guessing at random among the classes
+    of each group comes to, the line that a model has to beat."""
+    n = rows.groupBy(*groups).agg(F.count_distinct(label).alias("n_classes"))
+    return n.select("*", F.ln("n_classes").alias("guess_loss"), F.try_divide(F.lit(1.0), F.col("n_classes")).alias("guess_accuracy"))

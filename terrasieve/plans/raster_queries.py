@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import candidates as N
+from ..operators import gaps as V
 from ..operators import geo as G
 from ..operators import lookup as L
 from ..operators import patch as T
@@ -18,7 +19,7 @@ from .metric_queries import r9
 from .spatial_queries import CROSSINGS, POINTS, RING, points
 
 BANDS = [0, 1, 2, 3]
-NAMES = ["slope", "Aspect_deg", "landcover_2020", "ndvi"]
+NAMES = ["slope", "Aspect_deg", "LULC_2020", "soil_depth"]
 LEFT, TOP, CELL, COLS = -0.15, 0.2, 0.01, 96
 
 PIXELS = """r AS (
@@ -210,19 +211,27 @@ def study_area_mask(spark: SparkSession, sf: str) -> DataFrame:
     return R.study_mask(r.select("row", "col").distinct(), grid(r), RING)
 
 
-FILLED = f"""{PIXELS}, {AREA}, o AS (
-  SELECT dy, dx, dy * dy + dx * dx AS d2 FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)
-  WHERE dy * dy + dx * dx BETWEEN 1 AND 9
-), near AS (
-  SELECT g.band, g.row, g.col, o.d2, k.row AS r2, k.col AS c2, k.v
-  FROM r g, o JOIN r k ON k.band = g.band AND k.row = g.row + o.dy AND k.col = g.col + o.dx AND k.v <> -9999
-  WHERE g.v = -9999
-), fill AS (
-  SELECT band, row, col, sum(v / sqrt(d2)) / sum(1 / sqrt(d2)) AS smooth, first(v ORDER BY d2, r2, c2) AS nearest FROM near GROUP BY ALL
-), done AS (
-  SELECT r.band, r.row, r.col, r.v AS before,
-    CASE WHEN NOT in_area THEN -9999 WHEN r.v <> -9999 THEN r.v ELSE coalesce(CASE WHEN r.band IN (1, 2) THEN nearest ELSE smooth END, -9999) END AS v, in_area
-  FROM r JOIN area USING (row, col) LEFT JOIN fill USING (band, row, col)
+#: For each gap of ``g`` the real pixels of ``k``, by quadrant: upper ones hold the gap's row, left
+#: ones its column.
+AROUND = """
+  SELECT g.band, g.row, g.col, k.row AS r2, k.col AS c2, k.v, (g.row - k.row) * (g.row - k.row) + (g.col - k.col) * (g.col - k.col) AS d2,
+    k.row <= g.row AS upper, k.col <= g.col AS lefter
+  FROM g JOIN k ON k.band = g.band"""
+QUARTERS = """
+  SELECT band, row, col, sum(v / sqrt(d2)) / sum(1 / sqrt(d2)) AS smooth FROM (
+    SELECT band, row, col, upper, lefter, min(d2) AS d2, arg_min(v, {d2: d2, away: abs(col - c2)}) AS v
+    FROM around WHERE d2 <= 10000 GROUP BY ALL
+  ) GROUP BY band, row, col"""
+NEAREST = """
+  SELECT band, row, col, arg_min(v, {d2: d2, row: r2, col: c2}) AS nearest FROM around GROUP BY band, row, col"""
+FILLED = f"""{PIXELS}, {AREA}, h AS MATERIALIZED (
+  SELECT band, row, col, CASE WHEN v = -9999 THEN v ELSE 100 * v END AS v, in_area FROM r JOIN area USING (row, col)
+), g AS (SELECT * FROM h WHERE in_area AND v = -9999), k AS (SELECT * FROM h WHERE in_area AND v <> -9999),
+around AS MATERIALIZED ({AROUND}), quarters AS ({QUARTERS}), near AS ({NEAREST}), done AS (
+  SELECT h.band, h.row, h.col, h.v AS before,
+    CASE WHEN NOT in_area THEN -9999 ELSE CASE h.band WHEN 1 THEN coalesce(nearest, h.v) WHEN 2 THEN round_even(coalesce(nearest, h.v), 0) + 0.0
+      ELSE coalesce(smooth, h.v) END END AS v, in_area
+  FROM h LEFT JOIN quarters USING (band, row, col) LEFT JOIN near USING (band, row, col)
 )"""
 
 
@@ -233,7 +242,8 @@ def names(spark: SparkSession) -> DataFrame:
 def clean_bands(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = pixels(spark, sf)
     area = R.study_mask(r.select("row", "col").distinct(), grid(r), RING)
-    return r, area, R.cleaned(r, names(spark), area, 3)
+    r = r.withColumn("v", F.when(F.col("v") == S.NODATA, F.col("v")).otherwise(100 * F.col("v")))
+    return r, area, R.cleaned(r, names(spark), area)
 
 
 @query(f"WITH {FILLED} SELECT band, row, col, round(v, 9) AS v FROM done")
@@ -259,14 +269,40 @@ def cleaned_band_rules(spark: SparkSession, sf: str) -> DataFrame:
     return violations(done.join(area, ["row", "col"]), {"finite": finite, "nodata outside": F.col("in_area") | gap, "no gap inside": ~F.col("in_area") | ~gap})
 
 
+HOLES = f"""{PIXELS}, h AS MATERIALIZED (
+  SELECT band, row, col, CASE WHEN row BETWEEN 10 + 8 * band AND 45 + 8 * band AND col BETWEEN 20 AND 36 + 8 * band THEN -9999 ELSE v END AS v FROM r
+), g AS (SELECT * FROM h WHERE v = -9999), k AS (SELECT * FROM h WHERE v <> -9999), around AS ({AROUND})"""
+
+
+def with_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid without a large rectangle in each band."""
+    band = F.col("band")
+    hole = F.col("row").between(10 + 8 * band, 45 + 8 * band) & F.col("col").between(F.lit(20), 36 + 8 * band)
+    return pixels(spark, sf).withColumn("v", F.when(hole, S.NODATA).otherwise(F.col("v")))
+
+
+@query(f"WITH {HOLES}, near AS ({NEAREST}) SELECT band, row, col, coalesce(nearest, v) AS v FROM h LEFT JOIN near USING (band, row, col)")
+def far_gaps_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return V.filled_nearest(with_holes(spark, sf), ["band"])
+
+
+@query(f"WITH {HOLES}, quarters AS ({QUARTERS}) SELECT band, row, col, round(coalesce(smooth, v), 9) AS v FROM h LEFT JOIN quarters USING (band, row, col)")
+def far_gaps_smooth(spark: SparkSession, sf: str) -> DataFrame:
+    return r9(V.filled_smooth(with_holes(spark, sf), ["band"], 100), "v")
+
+
 ATTEMPTS = f"""a AS (
   SELECT i AS id, -30e-2 + 0.6::DOUBLE * ({drawn("'42'", "i", "'x'")}) AS x, -30e-2 + 0.6::DOUBLE * ({drawn("'42'", "i", "'y'")}) AS y FROM (SELECT unnest(range(4000)) AS i)
 )"""
 
 
-@query(f"WITH {ATTEMPTS} SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM a")
+@query(f"""WITH {POINTS}, box AS (SELECT min(x) AS l, min(y) AS b, max(x) - min(x) AS w, max(y) - min(y) AS h FROM p)
+SELECT id, round(l + w * ({drawn("'42'", "id", "'x'")}), 9) AS x, round(b + h * ({drawn("'42'", "id", "'y'")}), 9) AS y FROM p, box""")
 def random_points(spark: SparkSession, sf: str) -> DataFrame:
-    return r9(N.random_points(spark, 4000, 42, -0.3, -0.3, 0.3, 0.3), "x", "y")
+    """A place within the bounds of all points for each of them."""
+    p = points(spark, sf)
+    box = p.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    return r9(N.random_places(p.select("id"), 42, box[0], box[2], box[1], box[3]), "x", "y")
 
 
 @query(f"""WITH {CELLS}, {ATTEMPTS}, ok AS (
@@ -296,6 +332,37 @@ def interior_centres(spark: SparkSession, sf: str) -> DataFrame:
     return r9(N.interior_centres(r, grid(r), 4, BANDS, 0.25, 200, 9), "ratio")
 
 
+def interior_sql(size: int, lacks: str, centre: str, most: float, n: int, seed: int) -> str:
+    """Windows of a size by joining each cell with all of its window's cells."""
+    half = size // 2
+    return f"""WITH {CELLS}, every AS (SELECT row, col, {lacks} AS lacks, {centre} AS own
+  FROM (SELECT row, col FROM (SELECT unnest(range(n)) AS row FROM size), (SELECT unnest(range(96)) AS col)) LEFT JOIN w USING (row, col)
+), along AS (
+  SELECT a.row, a.col, a.own, sum(b.lacks) AS s FROM every a JOIN every b ON b.row = a.row AND b.col BETWEEN a.col - {half} AND a.col + {half - 1}
+  WHERE a.col BETWEEN {half} AND {96 - half} GROUP BY ALL
+), q AS (
+  SELECT a.row, a.col, a.own, sum(b.s) / {size * size}::DOUBLE AS ratio FROM along a JOIN along b ON b.col = a.col AND b.row BETWEEN a.row - {half} AND a.row + {half - 1}, size
+  WHERE a.row >= {half} AND a.row + {half} <= n GROUP BY ALL
+), s AS (SELECT row, col, ratio, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', (row * 96 + col)::VARCHAR)), row * 96 + col) AS rn FROM q WHERE own AND ratio <= {most})
+SELECT row, col, round(ratio, 9) AS ratio FROM s WHERE rn <= {n}"""
+
+
+FULL = f"coalesce({VALID}, false)"
+PART = "coalesce((f0 <> -9999)::INT, 0) + coalesce((f1 <> -9999)::INT, 0) + coalesce((f2 <> -9999)::INT, 0) + coalesce((f3 <> -9999)::INT, 0)"
+
+
+@query(interior_sql(32, f"(NOT {FULL})::INT", FULL, 0.25, 300, 4))
+def interior_centres_wide(spark: SparkSession, sf: str) -> DataFrame:
+    r = pixels(spark, sf)
+    return r9(N.interior_centres(r, grid(r), 32, BANDS, 0.25, 300, 4), "ratio")
+
+
+@query(interior_sql(32, f"(4 - ({PART})) / 4.0::DOUBLE", "true", 0.0625, 500, 5))
+def interior_centres_by_share(spark: SparkSession, sf: str) -> DataFrame:
+    r = pixels(spark, sf)
+    return r9(N.interior_centres(r, grid(r), 32, BANDS, 0.0625, 500, 5, "share", False), "ratio")
+
+
 @query(f"""WITH {PIXELS}, pool AS (SELECT row * 96 + col AS id FROM r WHERE band = 0 AND v <> -9999),
 k AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', '5', id::VARCHAR)), id) AS n FROM pool),
 d AS (SELECT i AS draw, (floor(({drawn("'5'", "i", "'pool'")}) * (SELECT count(*) FROM pool)) + 1)::BIGINT AS n FROM (SELECT unnest(range(3000)) AS i))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cluster as C
+from ..operators import gaps as V
 from ..operators import geo as G
 from ..operators import patch as T
 from ..operators import sampling as E
@@ -148,17 +149,13 @@ def nt_xent(spark: SparkSession, sf: str) -> DataFrame:
     return r9(T.contrastive_loss(z), "loss", digits=6)
 
 
-@query(f"""WITH {GRID}, o AS (
-  SELECT dy, dx, dy * dy + dx * dx AS d2 FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)
-  WHERE dy * dy + dx * dx BETWEEN 1 AND 9
-), asked AS (SELECT id, band, row AS r, col AS c, row + dy AS row, col + dx AS col, d2 FROM g, o WHERE v = -9999),
-n AS (
-  SELECT id, band, r AS row, c AS col, first(g.v ORDER BY d2, row, col) AS fill
-  FROM asked JOIN g USING (id, band, row, col) WHERE g.v <> -9999 GROUP BY ALL
+@query(f"""WITH {GRID.replace("g AS (", "g AS MATERIALIZED (", 1)}, n AS (
+  SELECT a.id, a.band, a.row, a.col, arg_min(k.v, {{d2: (a.row - k.row) * (a.row - k.row) + (a.col - k.col) * (a.col - k.col), row: k.row, col: k.col}}) AS fill
+  FROM g a JOIN g k ON k.id = a.id AND k.band = a.band WHERE a.v = -9999 AND k.v <> -9999 GROUP BY ALL
 )
-SELECT id, band, row, col, CASE WHEN g.v = -9999 THEN coalesce(fill, -9999) ELSE g.v END AS v FROM g LEFT JOIN n USING (id, band, row, col)""")
+SELECT id, band, row, col, coalesce(fill, g.v) AS v FROM g LEFT JOIN n USING (id, band, row, col)""")
 def nearest_valid_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return T.filled_nearest(pixels(spark, sf), 3)
+    return V.filled_nearest(pixels(spark, sf), ["id", "band"])
 
 
 @query(f"WITH {GRID}, b AS (SELECT id, row, col, v, 0.9 * v AS rebuilt FROM g WHERE band = 2) SELECT id, round(avg((rebuilt - v) * (rebuilt - v)), 4) AS mse FROM b GROUP BY id")
@@ -206,20 +203,49 @@ def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return r9(C.centroids(p).select("k", "cx", "cy", "n"), "cx", "cy")
 
 
-@query(f"""WITH {ASSIGNED}, s(seed, inertia) AS (SELECT 0, sum(d2) FROM a UNION ALL SELECT 1, sum(d2) * 1.5 FROM a UNION ALL SELECT 2, sum(d2) FROM a) SELECT seed, round(inertia, 8) AS inertia FROM s ORDER BY s.inertia, seed LIMIT 1""")
+@query(f"""WITH {ASSIGNED}, s AS (SELECT label AS seed, sum(d2) AS inertia FROM a JOIN p USING (id) GROUP BY label) SELECT seed, round(inertia, 8) AS inertia FROM s ORDER BY s.inertia, seed LIMIT 1""")
 def lowest_inertia(spark: SparkSession, sf: str) -> DataFrame:
-    total = G.nearest_centre(points(spark, sf), centres(spark)).agg(F.sum("d2").alias("t"))
-    each = total.select(F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), (F.col("t") * f).alias("inertia")) for i, f in ((0, 1.0), (1, 1.5), (2, 1.0))])).alias("s"))
-    return C.lowest(each.select("s.*")).withColumn("inertia", F.round("inertia", 8))
+    each = G.nearest_centre(points(spark, sf), centres(spark)).groupBy(F.col("label").alias("seed")).agg(F.sum("d2").alias("inertia"))
+    return C.lowest(each).withColumn("inertia", F.round("inertia", 8))
 
 
 @query()
 def kmeans_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeds 0 to 5 with two restarts each: a row per seed, the best marked."""
-    return C.seed_search(points(spark, sf).select("id", "x", "y"), 4, range(6), restarts=2)
+    """Seeds 0 to 100 with 20 restarts each: a row per seed, the best marked."""
+    return C.seed_search(points(spark, sf).select("id", "x", "y"), 4, range(101))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT i AS seed, n AS points, true AS sizes_add_up, true AS ratio_of_sizes, true AS best_is_lowest, 1 AS n_best
+FROM n, (SELECT unnest(range(101)) AS i)""")
+def kmeans_search_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the search's diagnostics, seed by seed."""
+    found = kmeans_search(spark, sf)
+    sizes = F.map_values("sizes")
+    lowest = found.where("usable").agg(F.min("inertia").alias("lowest"), F.count_if("best").alias("n_best"))
+    total = points(spark, sf).agg(F.count("*").alias("points"))
+    add_up = F.aggregate(sizes, F.lit(0).cast("long"), lambda t, n: t + n) == F.col("points")
+    ratio = (F.array_min(sizes) == F.col("least_size")) & (F.array_max(sizes) == F.col("most_size")) & (F.col("ratio") == F.col("most_size") / F.col("least_size"))
+    rows = found.join(F.broadcast(lowest.join(total, F.lit(True))), F.lit(True))  # one row
+    best = ~F.col("best") | (F.col("usable") & (F.col("inertia") == F.col("lowest")))
+    return rows.select("seed", "points", add_up.alias("sizes_add_up"), ratio.alias("ratio_of_sizes"), best.alias("best_is_lowest"), "n_best")
 
 
 @query()
 def capacity_assignment(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf).select("id", "x", "y")
     return C.assign_capacities(p, centres(spark), E.capacities(p.count(), 4))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT i AS k, n // 4 + (i < n % 4)::BIGINT AS n, 0.0::DOUBLE AS gap, true AS settled FROM n, (SELECT unnest(range(4)) AS i)""")
+def capacity_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the clusters, how far the total is above the proven bound, and that no exchange of
+    two points lowers it."""
+    p = points(spark, sf).select("id", "x", "y")
+    found, total, bound = C.exact_capacities(p, centres(spark), E.capacities(p.count(), 4))
+    sizes = found.groupBy("k").agg(F.count("*").alias("n"))
+    placed = found.join(p, "id").join(F.broadcast(centres(spark).withColumnRenamed("k", "other")), F.col("k") != F.col("other"))
+    loss = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) - F.col("d2")
+    least = placed.groupBy("k", "other").agg(F.min(loss).alias("loss"))
+    back = least.select(F.col("k").alias("other"), F.col("other").alias("k"), F.col("loss").alias("back"))
+    settled = least.join(back, ["k", "other"]).groupBy("k").agg((F.min(F.col("loss") + F.col("back")) >= -1e-9).alias("settled"))
+    return sizes.join(settled, "k").withColumn("gap", F.round(F.lit(total - bound), 8) + 0.0).select("k", "n", "gap", "settled")

@@ -10,6 +10,7 @@ from ..operators import bank as B
 from ..operators import candidates as N
 from ..operators import cluster as C
 from ..operators import quality as Q
+from ..operators import report as K
 from ..operators import sampling as E
 from ..operators import tables as A
 from ..registry import query, table
@@ -158,10 +159,9 @@ def rotation_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return A.top_class_accuracy(logits, "vec_id", "c", "target", "logit")
 
 
-@query("SELECT 4 AS n_classes, round(ln(4), 12) AS guess_loss, 0.25::DOUBLE AS guess_accuracy")
+@query("""SELECT user_id, count(DISTINCT event_type) AS n_classes, round(ln(count(DISTINCT event_type)), 12) AS guess_loss, round(1.0::DOUBLE / count(DISTINCT event_type), 12) AS guess_accuracy FROM events GROUP BY user_id""")
 def guess_lines(spark: SparkSession, sf: str) -> DataFrame:
-    n = spark.range(1).select(F.lit(4).alias("n_classes"))
-    return n.select("n_classes", F.round(F.ln("n_classes"), 12).alias("guess_loss"), (1 / F.col("n_classes")).alias("guess_accuracy"))
+    return r9(K.guess_lines(table(spark, sf, "events"), ["user_id"], "event_type"), "guess_loss", "guess_accuracy", digits=12)
 
 
 # ---- labels, tags and filters ----------------------------------------------------------------
@@ -268,10 +268,9 @@ def random_split(spark: SparkSession, sf: str) -> DataFrame:
     return down.join(E.split(rows, [], 0.1, 13, "event_id").withColumnRenamed("part", "rounded"), "event_id")
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT k, (n // 7 + CASE WHEN k < n % 7 THEN 1 ELSE 0 END)::BIGINT AS capacity FROM n, (SELECT unnest(range(7)) AS k)")
+@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, k, (n // 7 + CASE WHEN k < n % 7 THEN 1 ELSE 0 END)::BIGINT AS capacity FROM n, (SELECT unnest(range(7)) AS k)")
 def balanced_capacities(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = E.capacities(table(spark, sf, "embeddings").count(), 7)
-    return spark.createDataFrame(list(enumerate(sizes)), "k long, capacity long")
+    return E.capacities_by(table(spark, sf, "embeddings"), "label", 7)
 
 
 @query(f"WITH {POINTS} SELECT id, floor(({drawn("'3'", "id", "'task'")}) * 4)::INTEGER AS task FROM p")
@@ -292,22 +291,32 @@ def forest_bag_counts(spark: SparkSession, sf: str) -> DataFrame:
 # ---- banks -----------------------------------------------------------------------------------
 
 
-@query("SELECT perm_id, a AS first, b AS second, c AS third FROM (VALUES (0, 0, 1, 2), (1, 0, 2, 1), (2, 1, 0, 2), (3, 1, 2, 0), (4, 2, 0, 1), (5, 2, 1, 0)) t(perm_id, a, b, c)")
+@query(f"""WITH {POINTS}, d AS (SELECT id, floor(({drawn("'6'", "id", "'bank'")}) * 6)::INTEGER AS perm_id FROM p)
+SELECT id, perm_id, a AS first, b AS second, c AS third FROM d JOIN (VALUES (0, 0, 1, 2), (1, 0, 2, 1), (2, 1, 0, 2), (3, 1, 2, 0), (4, 2, 0, 1), (5, 2, 1, 0)) t(perm_id, a, b, c) USING (perm_id)""")
 def strip_bank(spark: SparkSession, sf: str) -> DataFrame:
-    bank = B.all_permutations(spark, 3)
-    return bank.select("perm_id", *[F.get("perm", F.lit(i)).alias(n) for i, n in enumerate(("first", "second", "third"))])
+    """Each patch with the order of strips that is drawn for it."""
+    out = B.shuffled_by_bank(points(spark, sf).select("id"), "id", B.all_permutations(spark, 3), 6)
+    return out.select("id", "perm_id", *[F.get("perm", F.lit(i)).alias(n) for i, n in enumerate(("first", "second", "third"))])
 
 
-@query(f"""WITH u AS (SELECT id, i, ({drawn("'8'", "id", "i")}) AS u FROM (SELECT unnest(range(2000)) AS id), (SELECT unnest(range(6)) AS i)), p AS (SELECT id, string_agg(i::VARCHAR, ',' ORDER BY u, i) AS perm FROM u GROUP BY id)
-SELECT min(id) AS id, perm FROM p GROUP BY perm""")
+@query(f"""WITH {POINTS}, u AS (SELECT id, i, ({drawn("'8'", "id", "i")}) AS u FROM p, (SELECT unnest(range(6)) AS i)), q AS (SELECT id, string_agg(i::VARCHAR, ',' ORDER BY u, i) AS perm FROM u GROUP BY id)
+SELECT min(id) AS id, perm FROM q GROUP BY perm""")
 def permutation_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return B.candidates(spark, 6, 2000, 8).select("id", F.array_join("perm", ",").alias("perm"))
+    return B.drawn_for(points(spark, sf).select("id"), 6, 8).select("id", F.array_join("perm", ",").alias("perm"))
 
 
-@query("SELECT * FROM (VALUES ('no permutation', 1), ('repeated', 1), ('class ids', 1), ('number of rows', 1), ('gaps in class ids', 0)) t(rule, n)")
+@query("""WITH e AS (SELECT vec_id, unnest(range(5)) AS i, unnest(embedding[1:5]) AS v FROM embeddings),
+b AS (SELECT vec_id // 2 AS perm_id, string_agg((CASE WHEN vec_id % 50 = 0 AND i = 4 THEN 5 ELSE i END)::VARCHAR, ',' ORDER BY v, i) AS perm, vec_id % 50 = 0 AS odd FROM e GROUP BY vec_id),
+n AS (SELECT count(*) AS n, count(DISTINCT perm) AS perms, count(DISTINCT perm_id) AS ids, max(perm_id) AS last, count(*) FILTER (odd) AS odd FROM b)
+SELECT 'no permutation' AS rule, odd AS n FROM n UNION ALL SELECT 'repeated', n - perms FROM n UNION ALL SELECT 'class ids', n - ids FROM n
+UNION ALL SELECT 'number of rows', abs(n - 300) FROM n UNION ALL SELECT 'gaps in class ids', last + 1 - n FROM n""")
 def bank_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(0, [0, 1, 2]), (1, [0, 2, 1]), (2, [0, 2, 1]), (2, [1, 1, 2])]
-    return B.broken(spark.createDataFrame(rows, "perm_id int, perm array<int>"), 3, 5).withColumn("n", F.greatest("n", F.lit(0)))
+    """A bank of the orders of five numbers, some of them no permutations, with ids in pairs."""
+    e = table(spark, sf, "embeddings")
+    order = F.array_sort(F.transform(F.slice("embedding", 1, 5), lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    part = lambda x: F.when((F.col("vec_id") % 50 == 0) & (x["i"] == 4), 5).otherwise(x["i"])
+    bank = e.select(F.floor(F.col("vec_id") / 2).alias("perm_id"), F.transform(order, part).alias("perm"))
+    return B.broken(bank, 5, 300)
 
 
 # ---- checks ----------------------------------------------------------------------------------
@@ -343,3 +352,21 @@ SELECT 'mean is finite' AS rule, count(*) FILTER (isnan(mean) OR isinf(mean)) AS
 def statistics_rules(spark: SparkSession, sf: str) -> DataFrame:
     stats = table(spark, sf, "events").groupBy((F.col("user_id") % 4).alias("band")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     return Q.statistics_rules(stats.withColumn("sd", F.when(F.col("band") == 3, 0.0).otherwise(F.col("sd"))))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 <> 0 THEN 'FEAT_' || o_custkey::VARCHAR ELSE o_orderkey::VARCHAR END AS cv_group FROM orders""")
+def group_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Positives of one mapped feature share a key, all else stands alone."""
+    o = table(spark, sf, "orders")
+    label, feature = (F.col("o_orderstatus") == "F").cast("int"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))
+    return o.select("o_orderkey", S.group_key(label, feature, F.col("o_orderkey")).alias("cv_group"))
+
+
+@query("""WITH l AS (SELECT event_id % 50 - 1 AS epoch, value - 5 AS train_loss, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS val_loss FROM events)
+SELECT 'epoch is not negative' AS rule, count(*) FILTER (epoch < 0) AS n FROM l UNION ALL SELECT 'train_loss is finite', count(*) FILTER (train_loss IS NULL) FROM l
+UNION ALL SELECT 'train_loss is not negative', count(*) FILTER (train_loss < 0) FROM l UNION ALL SELECT 'val_loss is finite', count(*) FILTER (val_loss IS NULL) FROM l
+UNION ALL SELECT 'val_loss is not negative', count(*) FILTER (val_loss IS NULL OR val_loss < 0) FROM l""")
+def training_log_rules(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    logs = e.select((F.col("event_id") % 50 - 1).alias("epoch"), (F.col("value") - 5).alias("train_loss"), F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("val_loss"))
+    return Q.log_rules(logs, ["epoch", "train_loss", "val_loss"], ["train_loss", "val_loss"])

@@ -87,3 +87,16 @@ def shuffled_by_bank(rows: DataFrame, key: str, bank: DataFrame, seed: int) -> D
     out = rows.withColumn("perm_id", F.floor(uniform(seed, F.col(key), F.lit("bank")) * n).cast("int"))
     return out.join(F.broadcast(bank.select("perm_id", "perm")), "perm_id")  # a bank has a few hundred rows
 
+
+def load_or_create_strips(spark: SparkSession, path: str, n: int = 3) -> DataFrame:
+    """The bank of all orders of n strips, read from a file or written there. A file that holds
+    anything else, or in another order, is an error."""
+    from ..sinks.results import exists
+
+    want = all_permutations(spark, n)
+    if not exists(spark, path):
+        wide(want, n).write.parquet(path)
+    held = from_wide(spark.read.parquet(path))
+    if sorted(map(tuple, held.collect())) != sorted(map(tuple, want.collect())):  # n! rows
+        raise ValueError(f"{path} is not the bank of all orders of {n} strips")
+    return held

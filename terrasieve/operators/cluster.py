@@ -388,6 +388,22 @@ def assign_capacities(points: DataFrame, centres: DataFrame, sizes: list[int]) -
     return exact_capacities(points, centres, sizes)[0]
 
 
+def assigned_clusters(fitted: DataFrame, others: DataFrame) -> DataFrame:
+    """``id, k, fitted``: points a clustering was fitted on keep their cluster (``id, x, y, k``),
+    others (``id, x, y``) go to the nearest middle of one."""
+    middles = fitted.groupBy("k").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    near = nearest_centre(others.select("id", "x", "y"), middles).select("id", "k", F.lit(False).alias("fitted"))
+    return fitted.select("id", "k", F.lit(True).alias("fitted")).unionByName(near)
+
+
+def spatial_blocks(points: DataFrame, blocks: int, seed: int = 42, restarts: int = 10) -> DataFrame:
+    """``points (id, x, y, ...)`` with ``block``: the cluster of the best of several runs."""
+    runs = k_means(points, start_centres(points, blocks, [seed * 1009 + r for r in range(restarts)]))
+    places, _ = min(runs, key=lambda r: r[1])
+    centres = points.sparkSession.createDataFrame([(k, x, y) for k, (x, y) in enumerate(places)], "k int, cx double, cy double")
+    return nearest_centre(points, centres).withColumnRenamed("k", "block").drop("d2")
+
+
 def balance_summary(rows: DataFrame, cluster: str, label: str, chosen: str) -> DataFrame:
     """Per cluster: positives, negatives, chosen negatives and the ratio (infinite for none)."""
     pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)

@@ -125,3 +125,13 @@ def normalised_confusion(pairs: DataFrame, true: str, predicted: str, classes: i
     full = grid.join(seen, [true, predicted], "left").na.fill({"n": 0})
     total = F.sum("n").over(Window.partitionBy(true))
     return full.select(true, predicted, "n", F.coalesce(F.try_divide("n", total), F.lit(0.0)).alias("share"))
+
+
+def fixed_confusion(pairs: DataFrame, true: str, predicted: str, classes: list) -> DataFrame:
+    """``true, predicted, n, share`` for given classes, whether they occur or not: shares of each
+    true class, 0 for one without rows. Other classes are left out."""
+    listed = F.array(*[F.lit(c) for c in classes])
+    grid = pairs.sparkSession.range(1).select(F.explode(listed).alias(true)).select(true, F.explode(listed).alias(predicted))
+    seen = pairs.where(F.col(true).isin(classes) & F.col(predicted).isin(classes)).groupBy(true, predicted).agg(F.count("*").alias("n"))
+    full = grid.join(seen, [true, predicted], "left").na.fill({"n": 0})
+    return full.select(true, predicted, "n", F.coalesce(F.try_divide("n", F.sum("n").over(Window.partitionBy(true))), F.lit(0.0)).alias("share"))

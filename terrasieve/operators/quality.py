@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_valid
+
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``rule, n``: how many rows break each rule; a rule that is null for a row is broken."""
@@ -76,6 +78,28 @@ def statistics_rules(stats: DataFrame) -> DataFrame:
     return violations(stats, {"mean is finite": finite("mean"), "sd is finite": finite("sd"), "sd is positive": F.col("sd") > 0})
 
 
+def negative_rules(rows: DataFrame, key: str, factors: list[str], label: str = "label", times: str = "times", ratios: tuple[str, ...] = ("ratio", "mean_p")) -> DataFrame:
+    """``rule, n`` of reliable negatives that have the columns (else an error): ids that are there
+    and unique, real factors, label 0, scored at least once, ratios from 0 to 1."""
+    require_columns(rows, [key, *factors, label, times, *ratios])
+    rules = {"id is there": F.col(key).isNotNull(), "label is 0": F.col(label) == 0, "scored at least once": F.col(times) > 0}
+    rules |= {f"{f} is real": is_valid(F.col(f).cast("double")) for f in factors}
+    rules |= {f"{r} is from 0 to 1": F.col(r).between(0, 1) for r in ratios}
+    twice = repeated_keys(rows.where(F.col(key).isNotNull()), [key]).agg(F.lit("id is unique").alias("rule"), F.count("*").alias("n"))
+    return violations(rows, rules).unionByName(twice)
+
+
+def flat_folds_pass(rows: DataFrame, key: str, group: str, fold: str, label: str, n_folds: int) -> DataFrame:
+    """``passed`` and what it is made of: every fold is there and has both classes, ids are in one
+    fold, and so are groups."""
+    folds = rows.groupBy(fold).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    both = folds.agg(((F.count("*") == n_folds) & F.coalesce(F.bool_and((F.col("p") > 0) & (F.col("q") > 0)), F.lit(False))).alias("folds_whole"))
+    ids = repeated_keys(rows, [key]).agg((F.count("*") == 0).alias("ids_once"))
+    groups = spread_groups(rows, group, fold).agg((F.count("*") == 0).alias("groups_whole"))
+    out = both.join(ids, F.lit(True)).join(groups, F.lit(True))  # one row each
+    return out.withColumn("passed", F.col("folds_whole") & F.col("ids_once") & F.col("groups_whole"))
+
+
 def log_rules(logs: DataFrame, columns: list[str], losses: list[str], epoch: str = "epoch") -> DataFrame:
     """``rule, n`` of training logs that have the columns (else an error): losses that are there,
     finite and not below 0, and epochs from 0 on. A loss of labels 0 and 1 can't be negative."""

@@ -107,3 +107,29 @@ def guess_lines(rows: DataFrame, groups: list[str], label: str) -> DataFrame:
     of each group comes to, the line that a model has to beat."""
     n = rows.groupBy(*groups).agg(F.count_distinct(label).alias("n_classes"))
     return n.select("*", F.ln("n_classes").alias("guess_loss"), F.try_divide(F.lit(1.0), F.col("n_classes")).alias("guess_accuracy"))
+
+
+def efficiency(rows: DataFrame, method: str, fraction: str, metric: str, train_n: str) -> DataFrame:
+    """``method, fraction, mean, sd, n, mean_train_n``: what a method reaches with a share of the
+    labels (sample deviation over runs)."""
+    stats = F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("sd"), F.count(metric).alias("n"), F.avg(train_n).alias("mean_train_n")
+    return rows.groupBy(method, fraction).agg(*stats)
+
+
+def reference_row(rows: DataFrame, name: str, value: str, order: str) -> DataFrame:
+    """The first row, by order, whose name is the value; no row if there is none."""
+    return rows.where(F.col(name) == value).orderBy(order).limit(1)
+
+
+def count_map(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """``group, counts``: how often each value is in a group, as a map in the order of values. For
+    values of a small domain."""
+    each = rows.groupBy(group, value).agg(F.count("*").alias("__n"))
+    return each.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "__n")))).alias("counts"))
+
+
+def coerced_metrics(rows: DataFrame, keys: list[str], rate: str, order: list[str]) -> DataFrame:
+    """Fold metrics from files: the rate as a number (null where it is none), and of rows that
+    share keys and rate the last."""
+    held = rows.withColumn(rate, F.trim(F.col(rate)).try_cast("double"))
+    return keep_last(held, [*keys, rate], order)

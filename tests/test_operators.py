@@ -80,3 +80,41 @@ def test_names_and_tags(spark):
     assert {x.r: x.t for x in df.collect()} == {x: f"{x:g}".replace("+", "").replace(".", "p") for x in rates}
     close = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0 + 1e-10]), ([1.0], [1.0, 2.0]), ([1.0], [1.1])], "a array<double>, b array<double>")
     assert [x.ok for x in close.select(R.all_close(F.col("a"), F.col("b")).alias("ok")).collect()] == [True, False, False]
+
+
+def test_strip_banks_that_differ_are_errors(spark, tmp_path):
+    from terrasieve.operators import bank as B
+
+    path = f"{tmp_path}/strips"
+    made = B.load_or_create_strips(spark, path).orderBy("perm_id").collect()
+    assert [list(r.perm) for r in made][:2] == [[0, 1, 2], [0, 2, 1]] and len(made) == 6
+    assert B.load_or_create_strips(spark, path).count() == 6
+    B.wide(B.all_permutations(spark, 3).where("perm_id < 5"), 3).write.parquet(f"{tmp_path}/short")
+    with pytest.raises(ValueError, match="is not the bank"):
+        B.load_or_create_strips(spark, f"{tmp_path}/short")
+
+
+def test_ties_of_very_many_rows_count_by_key(spark, monkeypatch):
+    from terrasieve.operators import metrics as M
+
+    rows = [(g, k, float(k % 3 if g else 1), int(k * 7 % 5 == 0)) for g in (0, 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, k int, s double, y int")
+    want = sorted((r.g, round(r.ap, 12)) for r in M.average_precision(df, ["g"], "k").collect())
+    monkeypatch.setattr(M, "RANGE_ROWS", 50)
+    assert sorted((r.g, round(r.ap, 12)) for r in M.average_precision(df, ["g"], "k").collect()) == want
+
+
+def test_nearest_among_very_many_in_one_place(spark, monkeypatch):
+    import random
+
+    from terrasieve.operators import geo as G
+
+    r = random.Random(2)
+    others = [(i, 0.5, 0.5) for i in range(100)] + [(100 + i, r.gauss(0.5, 0.02), r.gauss(0.5, 0.02)) for i in range(400)] + [(900, 3.0, 3.0)]
+    mine = [(i, r.uniform(0, 4), r.uniform(0, 4)) for i in range(60)] + [(60 + i, r.gauss(0.5, 0.03), r.gauss(0.5, 0.03)) for i in range(60)]
+    frames = [spark.createDataFrame(x, "id long, x double, y double") for x in (mine, others)]
+    monkeypatch.setattr(G, "DENSE", 20)
+    got = {x.id: (x.other, x.d) for x in G.nearest_within(*frames, 0.7).collect()}
+    for i, x, y in mine:
+        d, k = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in others)
+        assert got[i] == ((k, pytest.approx(d)) if d <= 0.7 else (None, None))

@@ -1,21 +1,20 @@
-"""Exact removal of repeated passages: sampled suffixes by a difference cover, on Spark.
-
-A string of ``LENGTH`` bytes is removed wherever it starts, if it starts anywhere else. The
-suffixes at a difference-cover sample are sorted and named first: modulo ``PERIOD`` the residues
-``COVER`` make every difference, so whatever the offset of two places that share ``LENGTH``
-bytes, some offset below ``PERIOD`` leads to a sampled place in both, and from there they still
-share ``LENGTH - PERIOD + 1`` bytes. A sampled suffix whose prefix of that length (its tuple) has
-a name of its own therefore rules out the places before it, and what is left are the suffixes
-near tuples that occur twice. As prefixes are bounded by ``LENGTH``, one level of names is
-enough and the recursion ends there. Then the remaining suffixes are merged: each is keyed by
-its prefix of ``LENGTH`` bytes, sorted, and compared with its neighbours in order.
-
-Order is by a hash of the prefix (64 bits, and as many more as tell the ranges apart), since
-only equality counts. A chunk of documents sends each hash once, so no key can be more than one
-row a chunk, however often a passage is repeated; the answer is a bit for each hash sent, in the
-order sent, and so carries no places. Whole copies of documents are found by digest before and
-only one of each group takes part. Chunks are a table in the shared folder, bucketed by chunk:
-the three joins of answers with texts read it in place and shuffle answers only.
+"""Removal of repeated passages: windows at a difference cover first, then those near their hits.
+
+A string of ``LENGTH`` bytes is removed wherever it starts, if it starts anywhere else. Strings
+are compared by hashes, not by their bytes and not in the order of suffixes: nothing is sorted as
+text, named by rank or recursed on. What is kept of the difference-cover method is how places are
+chosen: modulo ``PERIOD`` the residues ``COVER`` make every difference, so whatever the offset of
+two places that share ``LENGTH`` bytes, some offset below ``PERIOD`` leads to a chosen place in
+both, and from there they still share ``LENGTH - PERIOD + 1`` bytes. So windows of this length are
+hashed at chosen places only; one whose hash comes once rules out the places before it. Around
+those that come twice the windows of ``LENGTH`` bytes are hashed, and equal hashes are repeats.
+
+Hashes have 64 bits, and as many more as tell the ranges of hashes apart: results are exact up to
+their collisions. A chunk of documents sends each hash once, so no key can be more than one row a
+chunk, however often a passage is repeated; the answer is a bit for each hash sent, in the order
+sent, and so carries no places. Whole copies of documents are found by digest before and only one
+of each group takes part. Chunks are a table in the shared folder, bucketed by chunk: the three
+joins of answers with texts read it in place and shuffle answers only.
 
 Null text is empty: nothing to remove. Null ``doc_id`` stays null; repeated rows are copies of
 each other; an empty table gives an empty result. Columns besides ``doc_id`` and ``text`` are

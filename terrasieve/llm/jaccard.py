@@ -15,10 +15,13 @@ loses no link either. What is left is compared element by element.
 
 Equal sets are one node. The links between nodes only have to join the components. So each node is
 first compared with one other: of the least nodes of its signatures the least that the sketches
-let pass, which takes a pair for each node however large a group is. Then, where a signature's
-nodes still are in several components, nodes outside of the largest one look for a candidate in
-another component, then for more, until no signature had to leave any out. A signature's nodes are
-dealt to slices, and a node that many others are compared with is copied to many tasks.
+let pass, which takes a pair for each node however large a group is. Nodes without one look for any
+candidate; those that have none take no further part. Then, where a signature's nodes still are in
+several components, nodes outside of the largest one look for a candidate in another component,
+then for more, until no signature had to leave any out. A signature's nodes are dealt to slices,
+and a node that many others are compared with is copied to many tasks. Joins of tables that grow
+with the corpus are merge joins at all sizes, so that what a small run writes tells what a large
+one does.
 
 Null text is empty; texts without words have no shingles and link with nothing. With fewer than
 three words the whole sequence is the one shingle. Rows with a null ``doc_id`` link and join others,
@@ -248,17 +251,33 @@ def _first_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
     return met.where(near).groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
 
 
+def _partners(shared: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: for nodes that ``first`` says nothing of a candidate in each signature."""
+    known = first.select(F.col("a").alias("node")).union(first.select("b")).distinct().withColumn("known", F.lit(True))
+    held = shared.join(known.hint("merge"), "node", "left").withColumn("owner", F.col("known").isNull()).withColumn("component", F.col("node"))
+    wide = held.groupBy("signature").agg(F.count_if("owner").alias("others")).where("others > 0")
+    wide = wide.select("signature", F.ceil(F.col("others") / SLICE).cast("long").alias("slices"))
+    return _compared(held.join(wide.hint("merge"), "signature"), shared.count(), 1, num, den).where("a is not null")
+
+
 def _candidates(shared: DataFrame, component: DataFrame, most: int, num: int, den: int) -> DataFrame:
     """``a, b``: candidates of nodes in other components, ``most`` for each node and signature;
     with a null ``a`` the signatures (``b``) that had to leave some out."""
-    held = shared.join(component, "node")
+    held = shared.join(component.hint("merge"), "node")
     by = held.groupBy("signature", "component").agg(F.count("*").alias("c")).groupBy("signature")
     by = by.agg(F.count("*").alias("components"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
     wide = by.where("components > 1").select("signature", "main", F.ceil(F.col("others") / SLICE).cast("long").alias("slices"))
-    held = held.join(wide, "signature").withColumn("owner", F.col("component") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
+    return _compared(held.join(wide.hint("merge"), "signature").withColumn("owner", F.col("component") != F.col("main")), shared.count(), most, num, den)
+
+
+def _compared(held: DataFrame, rows: int, most: int, num: int, den: int) -> DataFrame:
+    """Candidates among rows of ``signature, node, n, sketch, component``: each ``owner`` looks in
+    one of the ``slices`` of its signature, among all rows of the signature. ``rows``: about how
+    many there are."""
+    held = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")))
     dealt = held.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("owner", F.col("owner") & (F.col("own") == F.col("slice")))
     dealt = dealt.select("signature", "slice", "node", "component", "n", "owner", "sketch")
-    buckets = max(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shared.count() // TASK_ROWS))
+    buckets = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
     def compare(some: pd.DataFrame) -> pd.DataFrame:
         a, b, cut_off = [], [], []
@@ -283,15 +302,17 @@ def _candidates(shared: DataFrame, component: DataFrame, most: int, num: int, de
 def _links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` of nodes whose sets link: enough of the links to join the components."""
     spark = docs.sparkSession
-    own = marked.where("band is not null").join(nodes.select("node"), F.col("row") == F.col("node"), "left_semi")
+    own = marked.where("band is not null").join(nodes.select("node").hint("merge"), F.col("row") == F.col("node"), "left_semi")
     own = materialise(own.select("row", "n", "band", "sketch", "signatures"), "own")
     sent = own.select(F.col("row").alias("node"), "band", F.explode("signatures").alias("signature"))
     often = sent.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1").select("signature")
     marks = own.select(F.col("row").alias("node"), "band", "n", "sketch")
     shared = materialise(sent.join(often, "signature").join(marks, ["node", "band"]).select("signature", "node", "n", "sketch"), "shared")
-    pairs = materialise(_first_pairs(shared, num, den), "first")
-    active = materialise(shared.select("node").distinct(), "active")
-    ids = marked.where("band is null").select(F.col("row").alias("node"), "doc_id", "digest", "n").join(active, "node", "left_semi")
+    first = materialise(_first_pairs(shared, num, den), "first")
+    pairs = materialise(first.unionByName(_partners(shared, first, num, den)).distinct(), "pairs")
+    active = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "active")
+    shared = materialise(shared.join(active.hint("merge"), "node", "left_semi"), "shared")
+    ids = marked.where("band is null").select(F.col("row").alias("node"), "doc_id", "digest", "n").join(active.hint("merge"), "node", "left_semi")
     ids = materialise(ids, "ids")
     sets, drop = _sets(docs, ids.drop("n"), 8 * (ids.agg(F.sum("n")).first()[0] or 0))
     links, seen, most = materialise(verified(pairs, sets, num, den), "links"), pairs, FIRST

@@ -294,7 +294,7 @@ def _settled(rows: DataFrame, price: list[float], sizes: list[int]) -> DataFrame
 def _cycle(weight: np.ndarray, slack: float) -> list[int]:
     """Clusters around a cycle of negative weight, or none."""
     k = len(weight)
-    far, before = np.zeros(k), np.full(k, -1)
+    far, before = np.zeros(k), [-1] * k
     node = -1
     for _ in range(k):
         node = -1

@@ -137,3 +137,14 @@ def test_larger_assignments_prove_their_cost(spark):
     got, total, bound = C.exact_capacities(df, places, [1500, 700, 500, 299, 1])
     assert total == pytest.approx(bound, rel=1e-9)
     assert {x.k: x.n for x in got.groupBy("k").agg(C.F.count("*").alias("n")).collect()} == dict(enumerate([1500, 700, 500, 299, 1]))
+
+
+def test_wrong_prices_are_made_good_by_cycles(spark, monkeypatch):
+    """Prices of no use leave points that have to change places."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, r.random() * 3, r.random()) for i in range(60)], "id long, x double, y double")
+    places = spark.createDataFrame([(0, 0.2, 0.2), (1, 0.8, 0.7), (2, 2.5, 0.1)], "k int, cx double, cy double")
+    monkeypatch.setattr(C, "_first_prices", lambda *_: [0.0, 5.0, 1.0])
+    assert all(type(k) is int for k in C._cycle(np.array([[0.0, -2.0], [1.0, 0.0]]), 1e-12))
+    got, total, bound = C.exact_capacities(df, places, [30, 20, 10], steps=0)
+    assert total == pytest.approx(bound) and sorted(x.k for x in got.collect()) == [0] * 30 + [1] * 20 + [2] * 10

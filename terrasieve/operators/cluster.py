@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,17 +196,17 @@ def start_centres(points: DataFrame, k: int, seeds: list[int]) -> list[Places]:
     return [chosen[s] for s in seeds]
 
 
-def k_means(points: DataFrame, starts: list[Places], most: int = 50, tolerance: float = 1e-4, reseed: bool = True) -> list[tuple[Places, float]]:
+def k_means(points: DataFrame, starts: list[Places], most: int | None = 50, tolerance: float = 1e-4, reseed: bool = True) -> list[tuple[Places, float]]:
     """Centres and inertia of a run from each start: Lloyd's steps until no centre moves by more
-    than the tolerance. A centre without points goes to a point farthest from its own centre (the
+    than the tolerance (``most`` steps, or as many as it takes with ``None``). A centre without points goes to a point farthest from its own centre (the
     lower id on ties), or stays (``reseed=False``). All runs take a step in one aggregate, and
     only centres come to the driver."""
     return [(places, inertia) for places, inertia, _ in _lloyd(points, starts, most, tolerance, reseed)]
 
 
-def _lloyd(points: DataFrame, starts: list[Places], most: int, tolerance: float, reseed: bool) -> list[tuple[Places, float, list[int]]]:
+def _lloyd(points: DataFrame, starts: list[Places], most: int | None, tolerance: float, reseed: bool) -> list[tuple[Places, float, list[int]]]:
     now, active = {r: [(float(x), float(y)) for x, y in s] for r, s in enumerate(starts)}, set(range(len(starts)))
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         rows = _step(points, {r: now[r] for r in active})
         lacking = {r: now[r] for r in active if any((r, k) not in rows for k in range(len(now[r])))} if reseed else {}
         spare = _greatest(points, lacking, None) if lacking else {}
@@ -397,9 +398,16 @@ def assigned_clusters(fitted: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def spatial_blocks(points: DataFrame, blocks: int, seed: int = 42, restarts: int = 10) -> DataFrame:
-    """``points (id, x, y, ...)`` with ``block``: the cluster of the best of several runs."""
-    runs = k_means(points, start_centres(points, blocks, [seed * 1009 + r for r in range(restarts)]))
+    """``points (id, x, y, ...)`` with ``block``: the cluster of the best of several runs. Runs take
+    as many steps as they need, each of which lowers the inertia; the middle of each block is no
+    farther from the centre that it was found by than the tolerance."""
+    held = kept(_places(points))
+    runs = k_means(held, start_centres(held, blocks, [seed * 1009 + r for r in range(restarts)]), None)
     places, _ = min(runs, key=lambda r: r[1])
+    while (after := k_means(held, [places], 1)[0][0]) != places:
+        if max(max(abs(a - c), abs(b - d)) for (a, b), (c, d) in zip(places, after, strict=True)) <= 1e-4:
+            break
+        places = after
     centres = points.sparkSession.createDataFrame([(k, x, y) for k, (x, y) in enumerate(places)], "k int, cx double, cy double")
     return nearest_centre(points, centres).withColumnRenamed("k", "block").drop("d2")
 

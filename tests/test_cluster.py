@@ -148,3 +148,26 @@ def test_wrong_prices_are_made_good_by_cycles(spark, monkeypatch):
     assert all(type(k) is int for k in C._cycle(np.array([[0.0, -2.0], [1.0, 0.0]]), 1e-12))
     got, total, bound = C.exact_capacities(df, places, [30, 20, 10], steps=0)
     assert total == pytest.approx(bound) and sorted(x.k for x in got.collect()) == [0] * 30 + [1] * 20 + [2] * 10
+
+
+def test_blocks_are_those_of_runs_that_have_ended(spark):
+    """Points on a line whose centres creep on for more than fifty steps."""
+    rows = [(i, (i / 3000) ** 0.5, 0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    steps = []
+    found = C.spatial_blocks(df, 24, restarts=1).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.block, []).append(r.x)
+    middles = {b: sum(v) / len(v) for b, v in groups.items()}
+    start, = C.start_centres(df, 24, [42 * 1009])
+    x, now = np.array([r[1] for r in rows]), np.array([a for a, _ in start])
+    while True:
+        own = np.abs(x[:, None] - now).argmin(axis=1)
+        after = np.array([x[own == k].mean() for k in range(24)])
+        steps.append(np.abs(after - now).max())
+        now = after
+        if steps[-1] <= 1e-4:
+            break
+    assert len(steps) > 50 and sorted(middles.values()) == pytest.approx(sorted(now), abs=1e-3)
+    assert all(abs(r.x - middles[r.block]) <= min(abs(r.x - m) for m in middles.values()) + 2.5e-4 for r in found)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import kept
+
 #: Rows that one range of the order should hold, and the most quantiles that are asked for.
 RANGE_ROWS, MOST_BOUNDS = 500_000, 128
+#: Totals of groups and ranges that are sent to all tasks, so that rows needn't move to meet them.
+FEW = 50_000
 
 
 def _case(value: Column, bounds: list[float]) -> Column:
@@ -68,6 +72,8 @@ def running_totals(
     sums = held.groupBy(*groups, "__range").agg(*[F.sum(f"__{name}").alias(f"__sum_{name}") for name in totals])
     earlier = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__range").alias("__at"), *[F.coalesce(F.sum(f"__sum_{name}").over(earlier), F.lit(0)).alias(f"__before_{name}") for name in totals])
+    sums = kept(sums)
+    sums = F.broadcast(sums) if sums.count() <= FEW else sums
     same = [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups]
     held = held.join(sums, [*same, F.col("__range") == F.col("__at")])
     if wanted is not None:

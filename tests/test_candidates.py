@@ -58,3 +58,22 @@ def test_windows_by_totals(spark):
             assert {(x.row, x.col): pytest.approx(x.ratio) for x in got} == want
     with pytest.raises(ValueError):
         N.interior_centres(pixels, Grid(0, 0, 1, 1, rows, cols), 3, [0], 0.5, 1, 1)
+
+
+def test_paired_draw_moves_only_rows_that_may_be_drawn(spark, monkeypatch):
+    """Ranges that hold no row of interest are left out before rows are moved, also where tables
+    are joined by moving both sides."""
+    from terrasieve.operators import running
+
+    monkeypatch.setattr(running, "RANGE_ROWS", 500)
+    rows = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") % 5).alias("fold"))
+    want = sorted(N.paired_draw(rows, "fold", [0.1], [1, 2], "key").collect())
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = N.paired_draw(rows, "fold", [0.1], [1, 2], "key")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(want) == 10 * 160 and sorted(found.collect()) == want

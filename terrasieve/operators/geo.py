@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
@@ -40,24 +40,66 @@ def outside_radius(points: DataFrame, excluded: DataFrame, radius: float) -> Dat
     return a.join(b, near, "left_anti").drop("gx", "gy")
 
 
-#: Others in one cell beyond which nearer ones are looked for first.
-DENSE = 4096
+#: Others in one cell beyond which nearer ones are looked for first, and the most grids.
+DENSE, GRIDS = 32, 40
+
+
+def _real(points: DataFrame) -> DataFrame:
+    """Points whose place is finite: no other point is at a distance from."""
+    return points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+
+
+def _boxes(others: DataFrame, width: float) -> DataFrame:
+    """Cells that hold others, with their number and the box around them."""
+    sides = [f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))]
+    return _cells(others, width, False).groupBy("gx", "gy").agg(F.count("*").alias("n"), *sides)
+
+
+def _beyond(points: DataFrame, others: DataFrame, widths: list[float]) -> DataFrame:
+    """``id, b``: the nearest other within the greatest width, of points that may have many others
+    around. From the nine cells around a point on, cells of many others are cut in four. Only
+    cells remain that can hold the nearest: no farther than the far side of any."""
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near, far = F.col("near"), F.col("far")
+    open_ = _cells(points.select("id", "x", "y"), widths[0], False).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    open_ = open_.select("id", "x", "y", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), F.lit(widths[0]).alias("most"))
+    own, found = Window.partitionBy("id"), None
+    for level, width in enumerate(widths):
+        gap = lambda c: F.greatest(F.col(f"low{c}") - F.col(c), F.col(c) - F.col(f"high{c}"), F.lit(0.0))
+        reach = lambda c: F.greatest(F.col(f"high{c}") - F.col(c), F.col(c) - F.col(f"low{c}"))
+        met = open_.join(_boxes(others, width), ["gx", "gy"])
+        met = met.withColumns({"near": F.hypot(gap("x"), gap("y")), "far": F.hypot(reach("x"), reach("y"))}).where(near <= F.col("most") * (1 + 1e-9))
+        met = met.withColumn("most", F.least("most", F.min(far).over(own))).where(near <= F.col("most") * (1 + 1e-9))
+        met = kept(met.select("id", "x", "y", "gx", "gy", "most", "n"))
+        small = F.col("n") <= DENSE if level + 1 < len(widths) else F.lit(True)
+        b = _cells(others.select(F.col("id").alias("other"), "x", "y"), width, False).withColumnsRenamed({"x": "x2", "y": "y2"})
+        d = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
+        each = met.where(small).join(b, ["gx", "gy"]).select("id", "other", d.alias("d")).where(F.col("d") <= widths[0])
+        best = each.groupBy("id").agg(F.min(F.struct("d", "other")).alias("b"))
+        found = best if found is None else found.unionByName(best)
+        open_ = met.where(~small)
+        if level + 1 == len(widths) or open_.isEmpty():
+            return found.groupBy("id").agg(F.min("b").alias("b"))
+        half = F.array(F.lit(0), F.lit(1))
+        open_ = open_.drop("n").withColumn("dx", F.explode(half)).withColumn("dy", F.explode(half))
+        open_ = open_.withColumns({"gx": F.col("gx") * 2 + F.col("dx"), "gy": F.col("gy") * 2 + F.col("dy")}).drop("dx", "dy")
 
 
 def nearest_within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """``id, other, d``: the nearest other point within the radius (the lower id on ties), null
-    if there is none. Of others in one place only the lowest id counts. Where cells are dense,
-    radii a fourth as wide are tried before, down to cells of few points: whoever finds one there
-    needs no wider look, so pairs aren't all listed."""
-    others, radii = others.groupBy("x", "y").agg(F.min("id").alias("id")), [radius]
-    while len(radii) < 16 and (_cells(others.select("x", "y"), radii[-1], False).groupBy("gx", "gy").count().agg(F.max("count")).first()[0] or 0) > DENSE:
-        radii.append(radii[-1] / 4)
-    left, best = points, None
-    for r in reversed(radii):
-        found = pairs_within(left, others, r).groupBy("id").agg(F.min(F.struct("d", "other")).alias("b"))
-        found = kept(found) if r != radius else found
-        best = found if best is None else best.unionByName(found)
-        left = left.join(found.select("id"), "id", "left_anti")
+    if there is none. Of others in one place only the lowest id counts. The grid is made finer
+    until no cell holds many others: most points find one within its width among few. The others
+    go from the wide grid down to cells of few that can hold the nearest (``_beyond``), so pairs
+    grow with the points, not with how many others are around each."""
+    others, widths = kept(_real(others).groupBy("x", "y").agg(F.min("id").alias("id"))), [radius]
+    reach = max(others.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0, radius)
+    while len(widths) < GRIDS and reach / widths[-1] < 2**50 and (_boxes(others, widths[-1]).agg(F.max("n")).first()[0] or 0) > DENSE:
+        widths.append(widths[-1] / 2)
+    best = pairs_within(points, others, widths[-1]).groupBy("id").agg(F.min(F.struct("d", "other")).alias("b"))
+    if len(widths) > 1:
+        best = kept(best)
+        left = points.where((F.abs("x") <= reach + 2 * radius) & (F.abs("y") <= reach + 2 * radius)).join(best, "id", "left_anti")
+        best = best.unionByName(_beyond(left, others, widths))
     return points.select("id").join(best, "id", "left").select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
 

@@ -118,3 +118,25 @@ def test_nearest_among_very_many_in_one_place(spark, monkeypatch):
     for i, x, y in mine:
         d, k = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, j) for j, a, b in others)
         assert got[i] == ((k, pytest.approx(d)) if d <= 0.7 else (None, None))
+
+
+def test_nearest_within_compares_few_however_many_are_around(spark, monkeypatch):
+    """Points around a dense cluster: pairs don't grow with the cluster."""
+    r = random.Random(8)
+    cluster = [(10000 + i, 0.5 + r.gauss(0, 0.002), 0.5 + r.gauss(0, 0.002)) for i in range(3000)]
+    cluster += [(20000 + i, r.random() * 3 - 1, r.random()) for i in range(20)] + [(30000, float("nan"), 0.0), (30001, None, 0.0)]
+    lonely = [(i, r.random() * 3 - 1, r.random()) for i in range(200)] + [(200, 0.5, 0.5), (201, float("nan"), 0.5), (202, None, 0.5), (203, 1e30, 0.5)]
+    points, others = (spark.createDataFrame(rows, "id long, x double, y double") for rows in (lonely, cluster))
+    listed, plain = [], G.pairs_within
+
+    def counted(left, right, radius, strict=False):
+        listed.append(G._cells(left, radius, False).join(G._cells(right.select("x", "y"), radius, True), ["gx", "gy"]).count())
+        return plain(left, right, radius, strict)
+
+    monkeypatch.setattr(G, "pairs_within", counted)
+    got = {x.id: (x.other, x.d) for x in G.nearest_within(points, others, 0.5).collect()}
+    assert 0 < sum(listed) < 10_000
+    assert len(got) == 204 and got[201] == got[202] == got[203] == (None, None)
+    for i, x, y in lonely[:201]:
+        d, other = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, o) for o, a, b in cluster[:-2])
+        assert got[i] == ((other, pytest.approx(d)) if d <= 0.5 else (None, None))

@@ -171,3 +171,12 @@ def test_blocks_are_those_of_runs_that_have_ended(spark):
             break
     assert len(steps) > 50 and sorted(middles.values()) == pytest.approx(sorted(now), abs=1e-3)
     assert all(abs(r.x - middles[r.block]) <= min(abs(r.x - m) for m in middles.values()) + 2.5e-4 for r in found)
+
+
+def test_rules_of_capacities_hold_when_prices_are_of_no_use(spark, sf, monkeypatch):
+    from terrasieve.plans.catalogue import QUERIES
+
+    exact = C.exact_capacities
+    monkeypatch.setattr(C, "_first_prices", lambda *_: [0.0, 0.3, 0.1, 0.0])
+    monkeypatch.setattr(C, "exact_capacities", lambda *a: exact(*a, steps=0))
+    assert [(r.n, r.gap, r.settled) for r in QUERIES["capacity_rules"](spark, sf).collect()] == [(125, 0.0, True)] * 4

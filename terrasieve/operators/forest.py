@@ -19,6 +19,8 @@ node's random order is taken, and of its codes the least. Null and NaN values co
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,12 +37,23 @@ from .scratch import kept
 CUTS = 255
 #: Trees that a task grows at a time, rows times trees it should have, and rows scored together.
 TREES, ENTRIES, SCORED = 25, 4_000_000, 50_000
+#: Trees of a task that grow side by side, so that what a level takes stays small.
+BESIDE = 5
 #: Rows that a task grows trees from, and open nodes whose histograms are made together.
 LOCAL_ROWS, OPEN = 200_000, 1000
 KINDS = {"feature": np.int16, "code": np.uint8, "left": np.int32, "value": np.float64}
 MODEL = "iteration int, part int, unit int, roots int, feature binary, code binary, left binary, value binary"
 
 
+def _reuse_memory() -> None:
+    """Tells the C library to keep what is freed: a worker takes arrays of the same size over and
+    over, and fresh pages cost more than the arithmetic on them."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-4, 0)
+        libc.mallopt(-1, 1 << 28)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A hash of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,21 +79,26 @@ def best_splits(codes: np.ndarray, y: np.ndarray, row: np.ndarray, w: np.ndarray
     """For each node (``slot`` of each entry) the feature among its ``features`` and the code at
     which to split, -1 if none tells its rows apart. An entry is a row with a weight."""
     n, k = features.shape
-    key = ((slot[:, None] * k + np.arange(k)) * 256 + codes[row[:, None], features[slot]]).ravel()
-    order = np.argsort(key, kind="stable")
-    key, own = key[order], order // k
-    weight, ones = np.cumsum(w[own]), np.cumsum((w * y[row])[own])
+    # Weight and class ride in the lowest bits, so numbers are sorted and nothing is looked up.
+    code = codes.ravel().take((row * codes.shape[1])[:, None] + features[slot])
+    key = ((slot[:, None] * k + np.arange(k)) << 8 | code) << 6 | (w.astype(np.int64) << 1 | y[row].astype(np.int64))[:, None]
+    key = np.sort(key, axis=None)
+    held = key >> 1 & 31
+    weight, ones = np.cumsum(held), np.cumsum(held * (key & 1))
+    key >>= 6
     group = key >> 8
+    turn = np.flatnonzero(key[1:] != key[:-1])
+    ends = turn[group[turn + 1] != group[turn]]
     # A split is a place where the code changes within a node and feature.
-    at = np.flatnonzero((group[1:] == group[:-1]) & (key[1:] != key[:-1]))
+    at = turn[group[turn + 1] == group[turn]]
     feature, code = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     if not len(at):
         return feature, code
-    first = np.searchsorted(group, group[at])
-    last = np.searchsorted(group, group[at], "right") - 1
-    before = lambda c: np.where(first > 0, c[first - 1], 0)
-    left, left1 = weight[at] - before(weight), ones[at] - before(ones)
-    right, right1 = weight[last] - weight[at], ones[last] - ones[at]
+    own = np.searchsorted(ends, at)
+    first, last = np.append(-1, ends)[own], np.append(ends, len(key) - 1)[own]
+    before = lambda c: np.where(first >= 0, c[first], 0)
+    left, left1 = (weight[at] - before(weight)).astype(np.float64), (ones[at] - before(ones)).astype(np.float64)
+    right, right1 = (weight[last] - weight[at]).astype(np.float64), (ones[last] - ones[at]).astype(np.float64)
     score = (left1**2 + (left - left1) ** 2) / left + (right1**2 + (right - right1) ** 2) / right
     node = group[at] // k
     start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
@@ -151,19 +169,33 @@ def grow(codes: np.ndarray, y: np.ndarray, ids: np.ndarray, trees: list[np.uint6
 
 def landed(model: dict[str, np.ndarray], node: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The leaf that each row comes to in each tree, from its root (``node``: tree, row)."""
+    features, places = codes.shape[1], codes.ravel()
+    out = node.ravel()
+    on = np.arange(len(out))
+    here, row = out, np.tile(np.arange(len(codes)) * features, len(node))
     while True:
-        f = model["feature"][node]
-        t, i = np.nonzero(f >= 0)
-        if not len(t):
-            return node
-        here = node[t, i]
-        node[t, i] = model["left"][here] + (codes[i, f[t, i]] > model["code"][here])
+        f = model["feature"].take(here)
+        inner = np.flatnonzero(f >= 0)
+        if not len(inner):
+            return out.reshape(node.shape)
+        if len(inner) < len(f):  # those at a leaf stay there
+            on, here, row, f = on[inner], here[inner], row[inner], f[inner]
+        here = model["left"].take(here) + (places.take(row + f) > model["code"].take(here))
+        out[on] = here
+
+
+#: Rows that go through the trees together: their codes fit a core's cache.
+ABREAST = 2048
 
 
 def predicted(model: dict[str, np.ndarray], trees: int, codes: np.ndarray) -> np.ndarray:
     """The sum over trees of the part of ones in the leaf of each row."""
-    roots = np.repeat(np.arange(trees)[:, None], len(codes), axis=1)
-    return model["value"][landed(model, roots, codes)].sum(axis=0)
+    out = np.empty(len(codes))
+    for low in range(0, len(codes), ABREAST):
+        some = codes[low : low + ABREAST]
+        roots = np.repeat(np.arange(trees)[:, None], len(some), axis=1)
+        out[low : low + len(some)] = model["value"][landed(model, roots, some)].sum(axis=0)
+    return out
 
 
 def cut_points(rows: DataFrame, columns: list[str]) -> list[list[float]]:
@@ -374,10 +406,12 @@ def train(rows: DataFrame, trees: int, depth: int, seed: int, size: int, iterati
     parts = -(-trees // step)
 
     def run(some: pd.DataFrame) -> pd.DataFrame:
+        _reuse_memory()
         codes, iteration, part = _matrix(some["codes"]), int(some["iteration"].iloc[0]), int(some["part"].iloc[0])
+        y, ids = some["y"].to_numpy(np.float64), some["row"].to_numpy(np.int64).view(np.uint64)
         seeds = [_seeded(seed, iteration, t) for t in range(part * step, min(trees, (part + 1) * step))]
-        m = grow(codes, some["y"].to_numpy(np.float64), some["row"].to_numpy(np.int64).view(np.uint64), seeds, depth, _share(features))
-        return _row(iteration, part, -1, len(seeds), m)
+        groups = [seeds[low : low + BESIDE] for low in range(0, len(seeds), BESIDE)]
+        return pd.concat([_row(iteration, part, -1, len(g), grow(codes, y, ids, g, depth, _share(features))) for g in groups])
 
     dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     return Forests(kept(dealt.groupBy("iteration", "part").applyInPandas(run, MODEL)), trees)
@@ -388,6 +422,7 @@ def _train_below(rows: DataFrame, trees: int, depth: int, seed: int, iterations:
     roots = {(i, t, n): (top.uid[n], top.level[n]) for (i, t), top in tops.items() for n, s in enumerate(top.state) if s == UNIT}
 
     def run(some: pd.DataFrame) -> pd.DataFrame:
+        _reuse_memory()
         i, t, unit = (int(some[c].iloc[0]) for c in ("iteration", "part", "unit"))
         uid, level = roots[i, t, unit]
         m = grow(_matrix(some["codes"]), some["y"].to_numpy(np.float64), some["row"].to_numpy(np.int64).view(np.uint64), [_seeded(seed, i, t)], depth, _share(features), np.array([uid], np.uint64), level)
@@ -405,6 +440,7 @@ def score(rows: DataFrame, forests: Forests, key: str, total: int) -> DataFrame:
     def run(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(parts):
             return rows.iloc[:0][[key, "iteration"]].assign(p=0.0)
+        _reuse_memory()
         codes = _matrix(rows["codes"])
         return rows[[key, "iteration"]].assign(p=sum(predicted(_model(m), m["roots"], codes) for m in parts.to_dict("records")))
 

@@ -30,7 +30,7 @@ def lloyd_step(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 Places = list[tuple[float, float]]
 #: Points that a task packs together, points of a cell, and distances that it looks at together.
-PACK, CELL, DISTANCES = 1 << 18, 32, 4_000_000
+PACK, CELL, DISTANCES = 1 << 18, 32, 500_000
 
 
 @dataclass
@@ -148,6 +148,8 @@ def _greatest(points: DataFrame, runs: dict[int, Places], seed: int | None) -> d
     centres = np.array([runs[r] for r in names], np.float64).reshape(len(names), -1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = (max(1, centres.shape[1]) if seed is None else 1, len(names))
+        there, top, least, tx, ty = (np.zeros(shape, t) for t in (bool, np.float64, np.int64, np.float64, np.float64))
         for ids, x, y in _packs(batches):
             step = max(1, DISTANCES // max(1, len(names) * max(1, centres.shape[1])))
             for low in range(0, len(ids), step):
@@ -169,10 +171,15 @@ def _greatest(points: DataFrame, runs: dict[int, Places], seed: int | None) -> d
                     own = np.where(k == c, key, -np.inf if seed is None else key)
                     best = np.lexsort((np.broadcast_to(-i[:, None], own.shape), own), axis=0)[-1]
                     r = np.arange(len(names))
-                    there = k[best, r] == c
-                    best, r = best[there], r[there]
-                    columns = [np.array(names, np.int64)[r], np.full(len(r), c, np.int32), own[best, r], -i[best], px[best], py[best]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["run", "k", "key", "low", "x", "y"])
+                    new = k[best, r] == c
+                    value, number = own[best, r], -i[best]
+                    new &= ~there[c] | (value > top[c]) | ((value == top[c]) & (number > least[c]))
+                    there[c] |= new
+                    for held, v in ((top, value), (least, number), (tx, px[best]), (ty, py[best])):
+                        held[c] = np.where(new, v, held[c])
+        c, r = np.nonzero(there)
+        columns = [np.array(names, np.int64)[r], c.astype(np.int32), top[c, r], least[c, r], tx[c, r], ty[c, r]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["run", "k", "key", "low", "x", "y"])
 
     found = _places(points).mapInArrow(run, "run long, k int, key double, low long, x double, y double")
     out: dict[int, list] = {}

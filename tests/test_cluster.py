@@ -180,3 +180,15 @@ def test_rules_of_capacities_hold_when_prices_are_of_no_use(spark, sf, monkeypat
     monkeypatch.setattr(C, "_first_prices", lambda *_: [0.0, 0.3, 0.1, 0.0])
     monkeypatch.setattr(C, "exact_capacities", lambda *a: exact(*a, steps=0))
     assert [(r.n, r.gap, r.settled) for r in QUERIES["capacity_rules"](spark, sf).collect()] == [(125, 0.0, True)] * 4
+
+
+def test_sums_of_many_runs_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    cells, centres = C.pack(*rng.normal(size=(2, 20000))), rng.normal(size=(300, 4, 2))
+    tracemalloc.start()
+    C.run_sums(cells, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000

@@ -182,6 +182,17 @@ def test_rules_of_capacities_hold_when_prices_are_of_no_use(spark, sf, monkeypat
     assert [(r.n, r.gap, r.settled) for r in QUERIES["capacity_rules"](spark, sf).collect()] == [(125, 0.0, True)] * 4
 
 
+def test_rules_of_capacities_hold_for_many_copies_of_few_points(spark, tmp_path):
+    """Copies ask for a cluster all at once, so no prices meet the sizes and points change places."""
+    from terrasieve.plans.catalogue import QUERIES
+
+    r = random.Random(1)
+    places = [[r.gauss(0, 0.3), r.gauss(0, 0.3)] for _ in range(11)]
+    rows = [(i, places[r.randrange(11)], 0) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(x.n, x.gap, x.settled) for x in QUERIES["capacity_rules"](spark, str(tmp_path)).collect()] == [(100, 0.0, True)] * 4
+
+
 def test_sums_of_many_runs_take_bounded_memory():
     import tracemalloc
 

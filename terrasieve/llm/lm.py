@@ -7,10 +7,12 @@ Tokens are lower-cased words and one end. Two things are learned from the traini
   range answers with the total of each hash, in the order sent. No vocabulary is ever whole in
   one place, and a word that is in every document is one row a chunk.
 * a model over subword ids (``attention``). Ids are byte-pair ids of each word with a space
-  before it, from the first ``IDS`` ranks of a rank file (ranks only build on lower ones, so that
-  is a vocabulary of its own). Classes of ids go by counts over all training rows, ids that open
-  a word (or end the text) apart from those that go on with one, and the output biases start
-  from the logs of the counts.
+  before it. Their ``IDS`` ranks are learned from the training rows: the most frequent words by
+  those exact counts are merged pair by pair (``fit_ranks``), so that a text has few ids; bytes
+  are ids too, so every word has some. Or they are the first ``IDS`` ranks of a rank file (ranks
+  only build on lower ones, so that is a vocabulary of its own). Classes of ids go by counts over
+  all training rows, ids that open a word (or end the text) apart from those that go on with one,
+  and the output biases start from the logs of the counts.
 
 Training: one pass over every window of every training document, at all sizes. A chunk is a
 replica, and its windows, side by side, are dealt to ``ROUNDS`` rounds; in a round every replica
@@ -23,8 +25,9 @@ that gives it at least so much to look back on (less only at the start of a text
 word and the chance that it stops there make the word's probability. The score is the sum of its
 log10 over the words and the end: the network's alone, counts of words have no part in it.
 
-Texts are read once: what training and scoring need of a chunk (ids, and the place of each word
-in what was sent) is a table bucketed by chunk, so that answers meet it without moving it.
+Texts are read once: a chunk's distinct words, and the place of each of its words among them, are
+a table bucketed by chunk; its ids are another one with the same buckets, so that answers and ids
+meet it without moving it.
 
 Null text is empty: one token, the end. Rows with a null ``doc_id`` are scored, never learned
 from, and are not held out. Repeated rows count each. An empty table gives an empty result;
@@ -38,8 +41,10 @@ from __future__ import annotations
 import base64
 import contextlib
 import ctypes
+import heapq
 import math
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +76,8 @@ ROUNDS = 4
 TASK_BYTES = 32_000_000
 FAN_IN = 8
 ADD = 0.1
+#: Words that ranks are learned from, and how often a pair must be there to be merged.
+FIT_WORDS, LEAST_SEEN = 20_000, 200
 
 
 def _keep_memory() -> None:
@@ -85,13 +92,62 @@ def _keep_memory() -> None:
 # ---- words and subword ids -------------------------------------------------------------------
 
 
+def file_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    return {k: v for k, v in ranks.items() if v < IDS}
+
+
+def fit_ranks(counts: dict[bytes, int]) -> dict[bytes, int]:
+    """Byte-pair ranks of words that stand so often, with a space before them: all bytes, and then
+    the most frequent pair of neighbours becomes one, again and again (ties by the bytes)."""
+    words = [([bytes([b]) for b in b" " + w], n) for w, n in counts.items()]
+    pairs: Counter = Counter()
+    where = defaultdict(set)
+    for i, (parts, n) in enumerate(words):
+        for pair in zip(parts, parts[1:]):
+            pairs[pair] += n
+            where[pair].add(i)
+    ranks = {bytes([b]): b for b in range(256)}
+    heap = [(-n, pair) for pair, n in pairs.items()]
+    heapq.heapify(heap)
+    while heap and len(ranks) < IDS:
+        n, pair = heapq.heappop(heap)
+        if -n != pairs[pair]:  # it has changed meanwhile
+            if pairs[pair]:
+                heapq.heappush(heap, (-pairs[pair], pair))
+            continue
+        if -n < LEAST_SEEN:
+            break
+        whole, touched = pair[0] + pair[1], set()
+        ranks.setdefault(whole, len(ranks))
+        for i in where.pop(pair):
+            parts, n = words[i]
+            after: list[bytes] = []
+            at = 0
+            while at < len(parts):
+                step = 2 if (*parts[at : at + 2],) == pair else 1
+                after.append(whole if step == 2 else parts[at])
+                at += step
+            for old in zip(parts, parts[1:]):
+                pairs[old] -= n
+                touched.add(old)
+            for new in zip(after, after[1:]):
+                pairs[new] += n
+                where[new].add(i)
+                touched.add(new)
+            words[i] = after, n
+        for x in touched:
+            if pairs[x]:
+                heapq.heappush(heap, (-pairs[x], x))
+    return ranks
+
+
 class Subwords:
-    def __init__(self, path: str):
+    def __init__(self, ranks: str | dict[bytes, int]):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        ranks = {k: v for k, v in ranks.items() if v < IDS}
+        ranks = file_ranks(ranks) if isinstance(ranks, str) else ranks
         self.encoding = tiktoken.Encoding("prefix", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(IDS, bool)  # only a word's first id starts with a space
         self.opens[[v for k, v in ranks.items() if k[:1] == b" "]] = True
@@ -152,20 +208,26 @@ class Text:
         return np.bincount(self.number[np.repeat(self.train, self.lengths)], minlength=len(self.words))
 
     def subwords(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All documents' ids one after the other, each ended by IDS, their lengths, and the
-        counts of ids in the training documents."""
-        flat, edge = sub.encode(self.words)
-        counts = np.bincount(flat, np.repeat(self.training_counts(), np.diff(edge)), minlength=IDS + 1).astype(np.int64)
-        counts[IDS] = self.train.sum()
-        size = np.diff(edge)[self.number]
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        lengths = np.bincount(doc, size, minlength=len(self.lengths)).astype(np.int64)
-        out = np.full(int((lengths + 1).sum()), IDS, np.int16)
-        before = np.cumsum(size) - size
-        place = np.arange(int(size.sum()))
-        # An end stands before each later document.
-        out[place + np.repeat(doc, size)] = flat[place + np.repeat(edge[:-1][self.number] - before, size)]
-        return out, lengths + 1, counts
+        return subword_ids(sub, self.words, self.number, self.lengths, self.train)
+
+
+def subword_ids(sub: Subwords, words: list[bytes], number: np.ndarray, own: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' ids one after the other, each ended by IDS, their lengths, and the counts of
+    ids in the training documents: of distinct words, the number of each word in order, and how
+    many words each document has."""
+    flat, edge = sub.encode(words)
+    seen = np.bincount(number[np.repeat(train, own)], minlength=len(words))
+    counts = np.bincount(flat, np.repeat(seen, np.diff(edge)), minlength=IDS + 1).astype(np.int64)
+    counts[IDS] = train.sum()
+    size = np.diff(edge)[number]
+    doc = np.repeat(np.arange(len(own)), own)
+    lengths = np.bincount(doc, size, minlength=len(own)).astype(np.int64)
+    out = np.full(int((lengths + 1).sum()), IDS, np.int16)
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum()))
+    # An end stands before each later document.
+    out[place + np.repeat(doc, size)] = flat[place + np.repeat(edge[:-1][number] - before, size)]
+    return out, lengths + 1, counts
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray, overlap: int = CONTEXT, kept: slice = slice(None)) -> tuple[np.ndarray, ...]:
@@ -212,17 +274,29 @@ def _sent(text: Text, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _totals(sent: pd.DataFrame) -> pd.DataFrame:
     """The total count of each hash of one range, in the order in which each chunk sent them,
-    and a row without a chunk: how many of them have a count, and the sum of counts."""
+    and a row without a chunk: how many of them have a count, the sum of counts, and the most
+    frequent words with theirs."""
     h = np.frombuffer(b"".join(sent["hashes"]), "<u8")
     n = np.frombuffer(b"".join(sent["counts"]), "<u4").astype(np.int64)
-    _, inverse = np.unique(h, return_inverse=True)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     total = np.bincount(inverse, n).astype(np.int64)
     told = total[inverse].astype("<u8")
     edge = np.cumsum([0] + [len(x) // 8 for x in sent["hashes"]])
     parts = zip(sent["chunk"], sent["range"], edge[:-1], edge[1:], strict=True)
-    out = [(c, r, told[a:b].tobytes(), None, None) for c, r, a, b in parts]
-    out.append((None, sent["range"].iloc[0], None, int((total > 0).sum()), int(total.sum())))
-    return pd.DataFrame(out, columns=["chunk", "range", "totals", "v", "n"]).astype({"chunk": "Int64", "v": "Int64", "n": "Int64"})
+    out = [(c, r, told[a:b].tobytes(), None, None, None) for c, r, a, b in parts]
+    words = b" ".join(sent["distinct"]).split(b" ")
+    most = [(words[first[i]], int(total[i])) for i in _most_frequent(total, [words[k] for k in first]) if total[i]]
+    out.append((None, sent["range"].iloc[0], None, int((total > 0).sum()), int(total.sum()), most))
+    return pd.DataFrame(out, columns=["chunk", "range", "totals", "v", "n", "most"]).astype({"chunk": "Int64", "v": "Int64", "n": "Int64"})
+
+
+def _most_frequent(total: np.ndarray, words: list[bytes]) -> list[int]:
+    """Where the FIT_WORDS greatest counts are, ties by word."""
+    if len(total) > FIT_WORDS:
+        near = np.flatnonzero(total >= np.partition(total, -FIT_WORDS)[-FIT_WORDS])
+    else:
+        near = np.arange(len(total))
+    return sorted(near.tolist(), key=lambda i: (-total[i], words[i]))[:FIT_WORDS]
 
 
 def _add_up(some: pd.DataFrame) -> pd.DataFrame:
@@ -287,58 +361,68 @@ def word_scores(w: dict, place: np.ndarray, opening: int, opens: np.ndarray, ids
 
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row, with
+    ids by ranks learned from the training rows, or those of a file."""
     own = texts(docs)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-total // (24 * RANGE_WORDS)))
-    schema = (
-        "chunk long, range long, hashes binary, counts binary, "
-        "ids array<long>, held_out array<boolean>, learn binary, words binary, lengths binary, subwords binary, number binary, id_counts binary"
-    )
-    binary = ("hashes", "counts", "learn", "words", "lengths", "subwords", "number", "id_counts")
+    schema = "chunk long, range long, hashes binary, counts binary, distinct binary, ids array<long>, held_out array<boolean>, learn binary, words binary, number binary"
+    binary = ("hashes", "counts", "distinct", "learn", "words", "number", "lengths", "subwords", "id_counts")
     fields = [("chunk", pa.int64()), ("range", pa.int64()), ("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_()))]
     kinds = dict(fields) | {k: pa.binary() for k in binary}
-    layout = pa.schema([(part.split()[0], kinds[part.split()[0]]) for part in schema.split(", ")])
+    layout = lambda schema: pa.schema([(part.split()[0], kinds[part.split()[0]]) for part in schema.split(", ")])
 
     def gather(batches):
-        """What a chunk sends to ranges of words, and what training and scoring need of it."""
+        """What a chunk sends to ranges of words, and what is needed of it later on."""
         _keep_memory()
-        sub = Subwords(path)
         for chunk, ids, raw in packed(batches, CHUNK_BYTES):
             t = Text(ids, raw)
             order, own, cuts = _sent(t, ranges)
             where = np.empty(len(order), np.int32)
             where[order] = np.arange(len(order))
+            words, edge = [t.words[i] for i in order.tolist()], [0, *cuts.tolist(), len(order)]
             out = []
             if len(order):
                 h, n = t.hashes[order].astype("<u8"), t.training_counts()[order].astype("<u4")
-                sent = zip(own[np.append(0, cuts)].tolist(), np.split(h, cuts), np.split(n, cuts), strict=True)
-                out += [{"range": r, "hashes": x.tobytes(), "counts": y.tobytes()} for r, x, y in sent]
-            subwords, lengths, counts = t.subwords(sub)
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    out.append({"range": int(own[a]), "hashes": h[a:b].tobytes(), "counts": n[a:b].tobytes(), "distinct": b" ".join(words[a:b])})
             out.append(
                 {
+                    "distinct": b" ".join(words),
                     "ids": t.ids,
                     "held_out": t.held_out.tolist(),
                     "learn": t.train.tobytes(),
                     "words": t.lengths.tobytes(),
-                    "lengths": lengths.tobytes(),
-                    "subwords": subwords.astype("<i2").tobytes(),
                     "number": where[t.number].astype("<i4").tobytes(),
-                    "id_counts": counts.astype("<i8").tobytes(),
                 }
             )
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk} | x for x in out], schema=layout)
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk} | x for x in out], schema=layout(schema))
 
     gathered, drop = write_table(own.mapInArrow(gather, schema), total)
-    sent = gathered.where("range is not null").select("chunk", "range", "hashes", "counts")
-    answers = sent.groupBy("range").applyInPandas(_totals, "chunk long, range long, totals binary, v long, n long")
+    sent = gathered.where("range is not null").select("chunk", "range", "hashes", "counts", "distinct")
+    answers = sent.groupBy("range").applyInPandas(_totals, "chunk long, range long, totals binary, v long, n long, most array<struct<word: binary, n: long>>")
     answers = materialise(answers, "lm-words")
     found = answers.where("chunk is null").agg(F.sum("v"), F.sum("n")).first()
     each = gathered.where("ids is not null")
+    if path is None:
+        most = answers.where("chunk is null").select(F.explode("most").alias("m")).select("m.word", "m.n")
+        # Written first: collected at once, each partition would send its own FIT_WORDS to the driver.
+        most = materialise(most.orderBy(F.desc("n"), "word").limit(FIT_WORDS), "lm-most")
+        ranks = fit_ranks({bytes(r.word): r.n for r in most.collect()})
+    else:
+        ranks = file_ranks(path)
+    encoded = "chunk long, learn binary, lengths binary, subwords binary, id_counts binary"
+
+    def encode(batches):
+        _keep_memory()
+        sub = Subwords(ranks)
+        for row in rows(batches):
+            words, learn = row["distinct"].split(b" ") if row["distinct"] else [], np.frombuffer(row["learn"], bool)
+            subwords, lengths, counts = subword_ids(sub, words, np.frombuffer(row["number"], "<i4"), np.frombuffer(row["words"], "<i8"), learn)
+            out = {"chunk": row["chunk"], "learn": row["learn"], "lengths": lengths.tobytes(), "subwords": subwords.astype("<i2").tobytes(), "id_counts": counts.astype("<i8").tobytes()}
+            yield pa.RecordBatch.from_pylist([out], schema=layout(encoded))
+
+    with_ids, drop_ids = write_table(each.select("chunk", "distinct", "number", "words", "learn").mapInArrow(encode, encoded), total)
 
     def add(parts):
         from pyspark import TaskContext
@@ -350,14 +434,14 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
         if total is not None:
             yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "counts": [total.tobytes()]})
 
-    parts = each.select("id_counts").mapInPandas(add, "g long, counts binary")
-    parts = _tree(parts, each.rdd.getNumPartitions(), _add_up, "counts binary")
+    parts = with_ids.select("id_counts").mapInPandas(add, "g long, counts binary")
+    parts = _tree(parts, with_ids.rdd.getNumPartitions(), _add_up, "counts binary")
     counts = sum((np.frombuffer(r.counts, "<i8") for r in parts), np.zeros(IDS + 1, np.int64))
     ends = int(counts[IDS])
     big_v, big_n = int(found[0] or 0) + (ends > 0), int(found[1] or 0) + ends
-    opens = np.append(Subwords(path).opens, True)
+    opens = np.append(Subwords(ranks).opens, True)
     place, opening = slots(counts, opens)
-    replicas = each.select("subwords", "lengths", "learn")
+    replicas = with_ids.select("subwords", "lengths", "learn")
     flat = train(replicas.coalesce(max(own.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)), counts, place)
     low = big_n + ADD * (big_v + 1)
     log_end = math.log10((ends + ADD) / low)
@@ -387,8 +471,8 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=list(names))
 
     by_chunk = answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("range", "totals")).alias("answers"))
-    held = each.select("chunk", "ids", "held_out", "words", "lengths", "subwords", "number").join(by_chunk, "chunk", "left")
+    held = each.select("chunk", "ids", "held_out", "words", "number").join(with_ids.select("chunk", "lengths", "subwords"), "chunk").join(by_chunk, "chunk", "left")
     out = held.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = materialise(out, "lm-scores")
-    drop()
+    drop(), drop_ids()
     return out

@@ -185,3 +185,36 @@ def test_score_is_the_networks_alone(spark):
 def test_network_alone_beats_unigrams_of_words_on_held_out_text(spark):
     got = L.score(spark.createDataFrame(fixture(), "doc_id long, text string")).where("held_out and n_known = n_tokens").collect()
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_ranks_are_the_most_frequent_pairs():
+    counts = {w: n for n, w in enumerate([b"abab", b"aab", "é".encode(), b"ab", b"x", b"zz"], L.LEAST_SEEN)}
+    parts, ranks = {w: [bytes([b]) for b in b" " + w] for w in counts}, {bytes([b]): b for b in range(256)}
+    while True:
+        seen = Counter()
+        for w, p in parts.items():
+            for pair in zip(p, p[1:]):
+                seen[pair] += counts[w]
+        pair = min(seen, key=lambda x: (-seen[x], x), default=None)
+        if pair is None or seen[pair] < L.LEAST_SEEN:
+            break
+        ranks.setdefault(b"".join(pair), len(ranks))
+        for w, p in parts.items():
+            at = 0
+            while at + 1 < len(p):
+                if (p[at], p[at + 1]) == pair:
+                    p[at : at + 2] = [b"".join(pair)]
+                at += 1
+    assert L.fit_ranks(counts) == ranks
+    assert L.fit_ranks({b"once": L.LEAST_SEEN - 1}) == {bytes([b]): b for b in range(256)}
+
+
+def test_learned_ranks_need_few_ids_and_lose_no_word():
+    r = random.Random(5)
+    syllables = [a + b for a in ("qux", "vlo", "zny", "wö") for b in ("ka", "wuj", "ybb")]
+    words = ["".join(r.choice(syllables) for _ in range(3)) for _ in range(3000)]
+    learned, public = L.Subwords(L.fit_ranks(Counter(w.encode() for w in words))), L.Subwords(PATH)
+    fresh = ["".join(r.choice(syllables) for _ in range(3)).encode() for _ in range(500)] + ["日本".encode(), b"Q"]
+    ids, edge = learned.encode(fresh)
+    assert [learned.encoding.decode_bytes(ids[a:b].tolist()) for a, b in zip(edge[:-1], edge[1:], strict=True)] == [b" " + w for w in fresh]
+    assert len(ids) < 0.5 * len(public.encode(fresh)[0])

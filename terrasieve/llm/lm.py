@@ -14,11 +14,11 @@ Tokens are lower-cased words and one end. Two things are learned from the traini
   all training rows, ids that open a word (or end the text) apart from those that go on with one,
   and the output biases start from the logs of the counts.
 
-Training: one pass over every window of every training document, at all sizes. A chunk is a
-replica, and its windows, side by side, are dealt to ``ROUNDS`` rounds; in a round every replica
-takes Adam steps from the current weights over its windows of that round, and weights are
-averaged by windows seen: by task, then in a tree of ``FAN_IN``. More data means more replicas,
-not longer ones.
+Training: one pass over every window of every training document, at all sizes. The chunks of a
+task are a replica, and the windows of each chunk, side by side, are dealt to ``ROUNDS`` rounds;
+in a round every replica takes Adam steps from the current weights over its windows of that
+round, and weights are averaged by windows seen, in a tree of ``FAN_IN``. A task holds about
+``TASK_BYTES`` of text: more data means more replicas, not longer ones.
 
 Scoring: windows of ``WIDTH`` ids overlap by ``CONTEXT``; each id is scored once, in the window
 that gives it at least so much to look back on (less only at the start of a text). The ids of a
@@ -72,7 +72,7 @@ from .common import materialise, texts
 CHUNK_BYTES = 4_000_000
 RANGE_WORDS = 1_000_000
 ROUNDS = 4
-#: Bytes of text whose replicas one task trains; it answers with one set of weights a round.
+#: Bytes of text that one task, a replica, trains on; it answers with one set of weights a round.
 TASK_BYTES = 32_000_000
 FAN_IN = 8
 ADD = 0.1
@@ -168,12 +168,24 @@ _BASE = 0x9E3779B97F4A7C15
 def _word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit key of each word of a chunk, from running sums of its bytes."""
     n = len(data) + 1
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    np.cumprod(up, out=up), np.cumprod(down, out=down)
     total = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    return (total[end] - total[start]) * down[start]
+    np.cumsum(_BYTE[data] * _powers(_BASE, n)[:-1], out=total[1:])
+    return (total[end] - total[start]) * _powers(pow(_BASE, -1, 2**64), n)[start]
+
+
+#: Powers of each base, as many as a chunk at most has bytes (but for one of a longer document).
+_known: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if n <= len(_known.get(base, ())):
+        return _known[base][:n]
+    out = np.full(max(n, CHUNK_BYTES + 65_536), base, np.uint64)
+    out[0] = 1
+    np.cumprod(out, out=out)
+    if n <= CHUNK_BYTES + 65_536:
+        _known[base] = out
+    return out[:n]
 
 
 class Text:
@@ -191,15 +203,12 @@ class Text:
         begin = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
         self.lengths = np.bincount(np.searchsorted(begin, start, "right") - 1, minlength=len(raw)).astype(np.int64)
         key = _word_keys(data, start, end)
-        order = np.argsort(key)
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[order[1:]] != key[order[:-1]]
-        self.number = np.empty(len(key), np.int64)
-        self.number[order] = np.cumsum(fresh) - 1
-        first = order[fresh]
+        self.number, distinct = pd.factorize(key)
+        first = np.empty(len(distinct), np.int64)
+        first[self.number[::-1]] = np.arange(len(key))[::-1]  # the last that is put stays: the first word
         self.words = [blob[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         digest = xxhash.xxh64_intdigest
-        self.hashes = np.fromiter((digest(w) for w in self.words), np.uint64, len(self.words))
+        self.hashes = np.fromiter(map(digest, self.words), np.uint64, len(self.words))
         crc = [None if i is None else zlib.crc32(str(i).encode()) for i in ids]
         self.held_out = np.array([c is not None and c % 10 == 0 for c in crc], bool)
         self.train = np.array([c is not None and c % 10 != 0 for c in crc], bool)
@@ -311,22 +320,21 @@ def _mean(some: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replicas(now: np.ndarray, place: np.ndarray, rate: float, r: int):
-    """A task's part of a round: its replicas go from the weights of now to their own, and
-    their mean, by windows, is what it answers."""
+    """A task's part of a round: from the weights of now to its own, over all windows of its
+    chunks in this round."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         _keep_memory()
-        n, total = 0, np.zeros(len(now))
+        dealt = []
         for part in parts:
             for ids, lengths, learn in zip(part["subwords"], part["lengths"], part["learn"], strict=True):
-                own = np.frombuffer(ids, "<i2"), np.frombuffer(lengths, "<i8"), np.frombuffer(learn, bool)
-                given, target = round_windows(*own, r)
-                if len(given):
-                    n, total = n + len(given), total + take_steps(now, place, given, target, rate, 100 + r) * float(len(given))
-        if n:
-            yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "n": [n], "w": [(total / n).astype("<f4").tobytes()]})
+                dealt.append(round_windows(np.frombuffer(ids, "<i2"), np.frombuffer(lengths, "<i8"), np.frombuffer(learn, bool), r))
+        given, target = (np.concatenate(x) for x in zip(*dealt, strict=True)) if dealt else ((), ())
+        if len(given):
+            w = take_steps(now, place, given, target, rate, 100 + r)
+            yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "n": [len(given)], "w": [w.astype("<f4").tobytes()]})
 
     return run
 

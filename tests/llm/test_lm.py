@@ -218,3 +218,25 @@ def test_learned_ranks_need_few_ids_and_lose_no_word():
     ids, edge = learned.encode(fresh)
     assert [learned.encoding.decode_bytes(ids[a:b].tolist()) for a, b in zip(edge[:-1], edge[1:], strict=True)] == [b" " + w for w in fresh]
     assert len(ids) < 0.5 * len(public.encode(fresh)[0])
+
+
+def test_three_short_rows_of_scores_cost_less_than_two_long_ones():
+    counts, opens = np.arange(A.IDS + 1), np.arange(A.IDS + 1) % 5 > 0
+    place, n = A.slots(counts, opens)
+    widths = [A.shapes(A.n_classes(place))[k][-1] for k in ("G", "C", "U")]
+    assert len(set(place.tolist())) == A.IDS + 1 and sum(widths) <= 52
+    assert (place[opens] < n * A.FAN**2).all() and (place[~opens] >= n * A.FAN**2).all()
+
+
+def test_a_task_is_one_replica(spark):
+    text = L.Text(list(range(1, 41)), [b"the of and " * 40] * 40)
+    sub = L.Subwords(PATH)
+    ids, lengths, counts = text.subwords(sub)
+    place, _ = A.slots(counts, np.append(sub.opens, True))
+    now = A.start_weights(counts, place)
+    row = {"subwords": ids.astype("<i2").tobytes(), "lengths": lengths.tobytes(), "learn": text.train.tobytes()}
+    made = spark.createDataFrame([row] * 3, "subwords binary, lengths binary, learn binary").coalesce(1)
+    (got,) = made.mapInPandas(L._replicas(now, place, A.RATE, 0), "g long, n long, w binary").collect()
+    given, target = L.round_windows(ids, lengths, text.train, 0)
+    want = A.take_steps(now, place, np.concatenate([given] * 3), np.concatenate([target] * 3), A.RATE, 100)
+    assert got.n == 3 * len(given) and np.allclose(np.frombuffer(got.w, "<f4"), want, atol=1e-4)

@@ -247,13 +247,14 @@ def windows(ids: np.ndarray, lengths: np.ndarray, overlap: int = CONTEXT, kept:
     count = 1 + np.maximum(0, -(-(lengths - WIDTH) // step))
     doc = np.repeat(np.arange(len(lengths)), count)[kept]
     k = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))[kept]
-    start = np.cumsum(lengths) - lengths
-    rel = k[:, None] * step + np.arange(WIDTH)
-    there = rel < lengths[doc][:, None]
-    at = np.where(there, start[doc][:, None] + rel, 0)
-    target = np.where(there, ids[at], -1).astype(np.int32)
-    given = np.where((rel == 0) | ~there, IDS, ids[np.maximum(at - 1, 0)]).astype(np.int32)
-    return given, target, np.where(k > 0, overlap, 0), doc, start[doc] + k * step
+    start = (np.cumsum(lengths) - lengths)[doc] + k * step
+    row = np.concatenate([np.full(1, IDS, ids.dtype), ids, np.zeros(WIDTH, ids.dtype)])
+    row = np.lib.stride_tricks.sliding_window_view(row, WIDTH + 1)[start]
+    gone = np.arange(WIDTH) >= (lengths[doc] - k * step)[:, None]
+    given, target = row[:, :-1].astype(np.int32), row[:, 1:].astype(np.int32)
+    given[gone], target[gone] = IDS, -1
+    given[k == 0, 0] = IDS
+    return given, target, np.where(k > 0, overlap, 0), doc, start
 
 
 def round_windows(ids: np.ndarray, lengths: np.ndarray, learn: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:

@@ -54,12 +54,13 @@ def bagged_scores(
     keeps."""
     every = positives.select(key, *columns).withColumn("y", F.lit(1)).unionByName(unlabeled.select(key, *columns).withColumn("y", F.lit(0)))
     cuts = cut_points(every, columns)
-    code = lambda rows: coded(rows, columns, cuts, key)
-    known = kept(code(positives).select("row", "codes"))
-    drawn = bags(unlabeled.select(key), iterations, m, seed, key)
-    drawn = kept(drawn.withColumnRenamed(key, "__key").join(code(unlabeled), F.col("__key").eqNullSafe(F.col(key))).drop("__key"))
+    tasks = 4 * every.sparkSession.sparkContext.defaultParallelism
+    code = lambda rows: kept(coded(rows, columns, cuts, key).repartition(tasks, "row"))
+    known, free = code(positives), code(unlabeled)
+    # Who is drawn is told from digests, whenever it is asked for; copies of rows are not written.
+    drawn, n = bags(free, iterations, m, seed, key), free.count()
     ones = known.select(F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"), "row", "codes", F.lit(1).alias("y"))
     rows = ones.unionByName(drawn.where("in_bag").select("iteration", "row", "codes", F.lit(0).alias("y")))
-    forests = train(kept(rows), trees, depth, seed, known.count() + m, iterations, len(columns))
+    forests = train(rows, trees, depth, seed, known.count() + m, iterations, len(columns))
     rest = drawn.where("not in_bag").select(key, "iteration", "codes")
-    return score(rest, forests, key, max(0, drawn.count() // iterations - m))
+    return score(rest, forests, key, max(0, n - m))

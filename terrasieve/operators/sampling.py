@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_totals
+from .scratch import kept
 
 
 def draw_key(seed: int | str, *key: str) -> Column:
@@ -80,6 +81,7 @@ def _edges(each: DataFrame, n: int, m: int, key: str) -> DataFrame:
         near = left.where((F.col("__head") >= low) & (F.col("__head") <= high)).join(F.broadcast(below.withColumnRenamed("iteration", "__of")), F.col("iteration") == F.col("__of"))
         rank = F.row_number().over(Window.partitionBy("iteration").orderBy("__digest", key))
         hit = near.withColumn("__rank", rank + F.col("__below")).where(F.col("__rank") == m).select("__of", F.struct("__digest", F.col(key).alias("__key")).alias("__edge"))
+        hit = kept(hit)  # a row for each iteration: the digests are not made again
         found = hit if found is None else found.unionByName(hit)
         left = left.join(F.broadcast(hit.select("__of")), F.col("iteration") == F.col("__of"), "left_anti")
         if high > 1 and low == 0 or left.isEmpty():

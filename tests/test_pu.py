@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -165,3 +166,72 @@ def test_scores_match_a_library_of_forests(spark):
     other = model.transform(together.transform(bag.where("not in_bag"))).select("id", vector_to_array("probability")[1].alias("p")).collect()
     gap = [abs(own[x.id, 0] - x.p) for x in other]
     assert len(gap) == len(own) and np.mean(gap) < 0.08
+
+
+def test_trees_take_few_sorts():
+    """A tree of 20,000 rows takes no longer than twenty sorts of its rows by code."""
+    rng = np.random.default_rng(5)
+    codes, y = rng.integers(0, 256, (20_000, 64)).astype(np.uint8), rng.integers(0, 2, 20_000).astype(float)
+    ids = rng.integers(0, 2**63, 20_000).astype(np.uint64)
+    key = rng.integers(0, 2**30, 8 * 12_600)
+
+    def least(f):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            f()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert least(lambda: R.grow(codes, y, ids, [R._seeded(1)], 30, 8)) < 20 * least(lambda: np.argsort(key, kind="stable"))
+
+
+def test_nodes_split_alike_from_counts_and_from_order(monkeypatch):
+    """Whatever a node's size and however few nodes are looked at together, trees are the same."""
+    rng = np.random.default_rng(6)
+    codes, y = rng.integers(0, 30, (900, 12)).astype(np.uint8), rng.integers(0, 2, 900).astype(float)
+    codes[:, :9] //= 15  # often the drawn features tell no rows apart, or equally well
+    ids, seeds = rng.integers(0, 2**63, 900).astype(np.uint64), [R._seeded(2, t) for t in range(3)]
+    first = R.grow(codes, y, ids, seeds, 30, 3)
+    for many, at_once in ((1, 32_768), (10**6, 32_768), (20, 1), (20, 700)):
+        monkeypatch.setattr(R, "MANY", many)
+        monkeypatch.setattr(R, "AT_ONCE", at_once)
+        other = R.grow(codes, y, ids, seeds, 30, 3)
+        assert all(np.array_equal(first[c], other[c]) for c in R.KINDS)
+
+
+def test_trees_are_sent_small_and_few_at_a_time(spark, monkeypatch):
+    """A node takes 7 bytes or so of a sent tree (a leaf's value and no children), and the trees
+    that come back are those that were grown."""
+    monkeypatch.setattr(R, "BESIDE", 200)
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 9, (80, 6)).astype(np.uint8)
+    data = [(i, j, j % 2, bytearray(codes[j].tobytes())) for i in range(2) for j in range(80)]
+    rows = spark.createDataFrame(data, "iteration int, row long, y int, codes binary")
+    found = R.train(rows, 12, 30, 3, 80, 2, 6).models.collect()
+    assert max(m.roots for m in found) <= 2 and all(sum(m.roots for m in found if m.iteration == i) == 12 for i in range(2))
+    sent = sum(len(v) for m in found for v in m if isinstance(v, bytes | bytearray))
+    assert sent <= 8 * sum(len(m.feature) // 2 for m in found)
+    got, total = sum(R.predicted(R._model(m.asDict()), m.roots, codes) for m in found if m.iteration == 1), np.zeros(80)
+    order = np.array([m[1] for m in data[80:]])
+    for t in range(12):
+        grown = R.grow(codes[order], np.arange(80) % 2.0, order.astype(np.uint64), [R._seeded(3, 1, t)], 30, 2)
+        total += R.predicted(grown, 1, codes)
+    assert got == pytest.approx(total)
+
+
+def test_rows_are_not_written_for_each_iteration(spark, monkeypatch):
+    """Who is drawn is told from digests; no table holds every row once for each iteration."""
+    _, _, positives, unlabeled = fixture(spark)
+    sizes = []
+
+    def kept(df):
+        out = held(df)
+        sizes.append(out.count())
+        return out
+
+    held = P.kept
+    for module in (P, R, E):
+        monkeypatch.setattr(module, "kept", kept, raising=False)
+    assert P.bagged_scores(positives, unlabeled, ["a", "b"], "id", 6, 40, trees=3, depth=4).count() == 6 * 40
+    assert max(sizes) <= 80
